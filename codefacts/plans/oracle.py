@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from codefacts import schemas
+from codefacts.plans import ingest_oracle
 
 TARGET = "NATION_1"
 
@@ -623,6 +624,8 @@ def _recipe(name: str) -> str:
 
 
 ORACLE.update({f"recipe_{name}": _recipe(name) for name in schemas.RECIPES})
+ORACLE.update(ingest_oracle.ORACLE)
+SEED.update(ingest_oracle.SEED)
 
 _RECURSIVE = {
     "paths": """
@@ -657,7 +660,10 @@ def render(sql: str) -> str:
     if not used:
         return sql
     body = ",\n".join(f"{name} AS ({ctes[name]})" for name in used)
-    return f"WITH RECURSIVE {body}\n{sql}"
+    text = sql.strip()
+    if text.startswith("WITH "):
+        return f"WITH RECURSIVE {body},\n{text[len('WITH '):]}"
+    return f"WITH RECURSIVE {body}\n{text}"
 
 
 def oracle_sql() -> dict[str, str]:
