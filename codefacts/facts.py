@@ -36,6 +36,7 @@ TABLES = (
     "icf_group_members",
     "link_resolutions",
     "link_losers",
+    "object_defs",
     "symbol_tokens",
     "type_tokens",
     "meta",
