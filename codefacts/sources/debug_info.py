@@ -65,7 +65,7 @@ def entries(lines: DataFrame) -> DataFrame:
         ),
     )
     relevant = lines.filter(row.rlike(ENTRY) | row.rlike(ATTRIBUTE))
-    marked = carry_forward(relevant, header, "entry").filter(F.col("entry").isNotNull())
+    marked = carry_forward(relevant, {"entry": header}).filter(F.col("entry").isNotNull())
     pairs = marked.select(
         "file",
         "entry.*",
@@ -87,7 +87,7 @@ def entries(lines: DataFrame) -> DataFrame:
     )
     return wide.select(
         "file", "offset", "depth", "tag", "block", "pos",
-        *[F.regexp_extract(f"raw_{a}", QUOTED, 1).alias(a) for a in TEXT_ATTRIBUTES],
+        *[F.coalesce(F.regexp_extract(f"raw_{a}", QUOTED, 1), F.lit("")).alias(a) for a in TEXT_ATTRIBUTES],
         *[_number(F.col(f"raw_{a}")).alias(a) for a in NUMBER_ATTRIBUTES],
         *[_number(F.col(f"raw_{a}")).alias(f"{a}_ref") for a in REFERENCE_ATTRIBUTES],
         *[F.col(f"raw_{a}").isNotNull().alias(f"has_{a}") for a in PRESENCE_ATTRIBUTES],
@@ -107,7 +107,7 @@ def with_parents(entry_rows: DataFrame) -> DataFrame:
     looking = places.filter(F.col("depth") > 0).select(
         "file", (F.col("depth") - 1).alias("level"), "block", "pos", F.lit(None).cast("long").alias("mark"), F.col("offset").alias("child")
     )
-    found = carry_forward(itself.unionByName(looking), F.col("mark"), "parent", by=("file", "level"))
+    found = carry_forward(itself.unionByName(looking), {"parent": F.col("mark")}, by=("file", "level"))
     parents = found.filter(F.col("child").isNotNull()).select(
         "file", F.col("child").alias("offset"), "parent"
     )
@@ -353,7 +353,7 @@ def line_at(addresses: DataFrame, line_rows: DataFrame) -> DataFrame:
     table = placed(line_rows, 0, F.struct("source", "line", "column")).select("file", "block", "pos", "mark")
     asked = placed(addresses, 1, F.lit(None).cast(table.schema["mark"].dataType))
     rows = asked.withColumn("asked", F.lit(True)).unionByName(table, allowMissingColumns=True)
-    found = carry_forward(rows, F.col("mark"), "at").filter("asked")
+    found = carry_forward(rows, {"at": F.col("mark")}).filter("asked")
     return found.drop("block", "pos", "mark", "asked")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -9,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.functions import paths
 
-# File signature, version and record limits.
+# File name, signature, version and record limits.
+LOG_NAME = ".ninja_deps"
 MAGIC = b"# ninjadeps\n"
 VERSION = 4
 GREATEST_RECORD = 1 << 24
@@ -70,11 +71,19 @@ def dependencies(logs: DataFrame) -> DataFrame:
     )
 
 
-def read_dependencies(spark: SparkSession, build_dir: str) -> DataFrame:
-    logs = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", ".ninja_deps")
-        .load(build_dir)
-        .select(paths.local_path(F.col("path")).alias("file"), "content")
-    )
-    return dependencies(logs)
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        present = batch[[os.path.exists(p) for p in batch["file"]]]
+        for file in present["file"]:
+            with open(file, "rb") as log:
+                yield pd.DataFrame({"file": [file], "content": [log.read()]})
+
+
+def read_dependencies(spark: SparkSession, *build_dirs: str) -> DataFrame:
+    """Dependencies of one or more builds; a build without a log has none.
+
+    The log's name starts with a dot, which Spark's file sources leave out, so
+    each log is opened by the task that parses it.
+    """
+    files = spark.createDataFrame([(f"{d.rstrip('/')}/{LOG_NAME}",) for d in build_dirs], "file string")
+    return dependencies(files.mapInPandas(_read, "file string, content binary"))

@@ -29,7 +29,7 @@ def direct_calls(lines: DataFrame) -> DataFrame:
         ),
     )
     return (
-        carry_forward(relevant, label, "function")
+        carry_forward(relevant, {"function": label})
         .filter(~is_label & F.col("function").isNotNull())
         .select(
             "file",

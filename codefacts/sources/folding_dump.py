@@ -30,7 +30,7 @@ def members(lines: DataFrame) -> DataFrame:
     )
     current = F.when(analyses & ~announces, F.regexp_extract(row, ANALYZING, 1))
     calls = (
-        carry_forward(signal, current, "loser")
+        carry_forward(signal, {"loser": current})
         .filter(~announces & ~analyses & F.col("loser").isNotNull())
         .select(
             "file", "loser", F.explode(F.regexp_extract_all(row, F.lit(ALIAS_CALL), F.lit(1))).alias("winner")

@@ -25,12 +25,12 @@ def _marked(lines: DataFrame) -> DataFrame:
         (F.regexp_extract(row, SUMMARY, 3) == "inlinable").alias("inlinable"),
         F.struct("block", "pos").alias("at"),
     )
-    marked = carry_forward(lines, F.when(starts | ends, header), "obs")
     section = (
         F.when(F.trim("line") == "calls:", F.lit(True))
         .when(starts | ends | (F.trim("line") == ""), F.lit(False))
     )
-    return carry_forward(marked, section, "in_calls").filter(F.col("obs.local_id").isNotNull())
+    marked = carry_forward(lines, {"obs": F.when(starts | ends, header), "in_calls": section})
+    return marked.filter(F.col("obs.local_id").isNotNull())
 
 
 def summaries(lines: DataFrame) -> DataFrame:

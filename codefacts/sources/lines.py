@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 
 from codefacts.functions import paths
 
-ORDER = ("block", "pos")
-
 
 def read_lines(spark: SparkSession, root: str | list[str], pattern: str | None = None) -> DataFrame:
     """Lines of every file under ``root`` whose name matches ``pattern``."""
@@ -31,41 +29,40 @@ def read_lines(spark: SparkSession, root: str | list[str], pattern: str | None =
 
 def carry_forward(
     rows: DataFrame,
-    value: Column,
-    out: str,
+    values: dict[str, Column],
     by: tuple[str, ...] = ("file",),
     include_current: bool = True,
 ) -> DataFrame:
-    """Add ``out``: the latest non-NULL ``value`` at or before each row.
+    """Add, for each name in ``values``, its latest non-NULL value at or before each row.
 
     The scan happens per block; one summary row per block then carries the
-    last value of earlier blocks in. A file as large as a third of the input is
-    so split over as many tasks as it has blocks.
+    last values of earlier blocks in. A file as large as a third of the input is
+    so split over as many tasks as it has blocks. The summary is aggregated
+    before it is shuffled, so it costs a second read of ``rows`` but next to no
+    traffic; values that do not depend on each other should share one call.
     """
     keys = list(by)
-    tagged = rows.withColumn("__value", value)
     here = Window.partitionBy(*keys, "block").orderBy("pos")
-    frame = here.rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if include_current else -1
+    frame = here.rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1)
+    tagged = rows.withColumns({f"__v_{n}": v for n, v in values.items()})
+    local = tagged.withColumns(
+        {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(frame) for n in values}
     )
-    local = tagged.withColumn("__local", F.last("__value", ignorenulls=True).over(frame))
 
-    ends = (
-        tagged.filter(F.col("__value").isNotNull())
-        .groupBy(*keys, "block")
-        .agg(F.max_by("__value", "pos").alias("__end"))
+    ends = tagged.groupBy(*keys, "block").agg(
+        *[
+            F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col("pos"))).alias(f"__e_{n}")
+            for n in values
+        ]
     )
-    blocks = tagged.select(*keys, "block").distinct().join(ends, [*keys, "block"], "left")
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.withColumn("__carried", F.last("__end", ignorenulls=True).over(before))
-    carried = carried.filter(F.col("__carried").isNotNull()).drop("__end")
+    carried = ends.select(
+        *keys,
+        "block",
+        *[F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values],
+    )
     return (
         local.join(carried, [*keys, "block"], "left")
-        .withColumn(out, F.coalesce("__local", "__carried"))
-        .drop("__value", "__local", "__carried")
+        .withColumns({n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in values})
+        .drop(*[f"__{k}_{n}" for k in ("v", "l", "c") for n in values])
     )
-
-
-def first_of(rows: DataFrame, condition: Column, out: str, by: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Per group the ``(block, pos)`` of the first row that satisfies ``condition``."""
-    return rows.filter(condition).groupBy(*by).agg(F.min(F.struct(*ORDER)).alias(out))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.sources.lines import carry_forward, first_of
+from codefacts.session import cut_lineage
+from codefacts.sources.lines import carry_forward
 
 # The map's grammar.
 LOAD_LIST = "Archive member included"
@@ -26,25 +27,45 @@ LOADED_FOR = r"^\s+(\S+\.o)\s+\(([^)]+)\)$"
 def _phases(lines: DataFrame) -> DataFrame:
     """Lines with ``phase`` 1 inside the load list and 2 in the section listing."""
     text = F.trim("line")
-    opens = first_of(lines, text.startswith(LOAD_LIST), "opened")
-    ends = text.startswith(LOAD_LIST_ENDS[0])
-    for word in LOAD_LIST_ENDS[1:]:
-        ends = ends | text.startswith(word)
+    opens = text.startswith(LOAD_LIST)
+    ends = F.lit(False)
+    for words in LOAD_LIST_ENDS:
+        ends = ends | text.startswith(words)
+    # A handful of lines per map decide the phases; find them in one read.
+    marks = cut_lineage(
+        lines.filter(opens | ends).select(
+            "file", F.struct("block", "pos").alias("at"), opens.alias("opens"), ends.alias("ends")
+        )
+    )
+    opened = marks.filter("opens").groupBy("file").agg(F.min("at").alias("opened"))
+    closed = (
+        marks.filter("ends")
+        .join(opened, "file")
+        .filter(F.col("at") > F.col("opened"))
+        .groupBy("file")
+        .agg(F.min("at").alias("closed"))
+    )
+    bounds = opened.join(closed, "file", "left")
     here = F.struct("block", "pos")
-    listed = lines.join(opens, "file").filter(here > F.col("opened"))
-    closes = first_of(listed, ends, "closed")
-    phase = F.when(F.col("closed").isNull() | (here < F.col("closed")), 1).when(
-        here > F.col("closed"), 2
+    phase = F.when(F.col("closed").isNull() | (here < F.col("closed")), 1).when(here > F.col("closed"), 2)
+    return (
+        lines.join(bounds, "file")
+        .filter(here > F.col("opened"))
+        .withColumn("phase", phase)
+        .drop("opened", "closed")
     )
-    return listed.join(closes, "file", "left").withColumn("phase", phase).drop("opened", "closed")
 
 
 def origins(lines: DataFrame) -> DataFrame:
     """``(file, name, object)``: the first contribution that lists a symbol wins."""
     row = F.col("line")
-    body = _phases(lines).filter(F.col("phase") == 2)
-    # Long section names push address, size and object to the next line.
-    body = carry_forward(body, row.rlike(SECTION_ALONE), "after_section", include_current=False)
+    body = _phases(lines).filter(F.col("phase") == 2).drop("phase")
+    # Long section names push address, size and object to the next line. What
+    # a line means depends on the line before it and what scope it is in on all
+    # lines before it, so the first answer is stored before the second is asked.
+    body = cut_lineage(
+        carry_forward(body, {"after_section": row.rlike(SECTION_ALONE)}, include_current=False)
+    )
     completes = F.coalesce("after_section", F.lit(False)) & row.rlike(REST_OF_SPLIT)
     contributes = row.rlike(CONTRIBUTION)
     alone = row.rlike(SECTION_ALONE)
@@ -55,7 +76,7 @@ def origins(lines: DataFrame) -> DataFrame:
         .when(~alone & ~names & ~row.startswith("  "), F.lit(""))
     )
     return (
-        carry_forward(body, scope, "object")
+        carry_forward(body, {"object": scope})
         .filter(names & (F.col("object") != ""))
         .select("file", "block", "pos", F.regexp_extract(row, SYMBOL, 1).alias("name"), "object")
         .groupBy("file", "name")
@@ -70,7 +91,7 @@ def archive_pulls(lines: DataFrame) -> DataFrame:
     loaded, because = text.rlike(LOADED), row.rlike(LOADED_FOR)
     event = F.when(loaded, F.regexp_extract(text, LOADED, 1)).when(because, F.lit(""))
     return (
-        carry_forward(body, event, "object", include_current=False)
+        carry_forward(body.filter(loaded | because), {"object": event}, include_current=False)
         .filter(because & ~loaded & (F.col("object") != ""))
         .select(
             "file",

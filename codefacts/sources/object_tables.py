@@ -29,7 +29,7 @@ def line_rows(lines: DataFrame) -> DataFrame:
         row.rlike(DIRECTORY) | row.rlike(FILE_HEAD) | row.rlike(FILE_NAME) | row.rlike(FILE_DIR) | row.rlike(LINE_ROW)
     )
     number = F.when(row.rlike(FILE_HEAD), F.regexp_extract(row, FILE_HEAD, 1).try_cast("int"))
-    headed = carry_forward(relevant, number, "file_index")
+    headed = carry_forward(relevant, {"file_index": number})
     directories = relevant.filter(row.rlike(DIRECTORY)).groupBy(
         "file", F.regexp_extract(row, DIRECTORY, 1).try_cast("int").alias("dir_index")
     ).agg(F.max(F.regexp_extract(row, DIRECTORY, 2)).alias("directory"))
@@ -74,7 +74,7 @@ def relocations(lines: DataFrame) -> DataFrame:
     section = F.when(row.rlike(RELOCATION_SECTION), F.regexp_extract(row, RELOCATION_SECTION, 1))
     amount = F.coalesce(_hex(F.nullif(F.regexp_extract(row, RELOCATION, 5), F.lit(""))), F.lit(0))
     return (
-        carry_forward(relevant, section, "section")
+        carry_forward(relevant, {"section": section})
         .filter(row.rlike(RELOCATION) & F.col("section").isNotNull())
         .select(
             "file",

@@ -21,29 +21,37 @@ CLONE_OF = rf"^Clone of {NAME}/(\d+)$"
 TABLE_TITLE = "Symbol table:"
 NEEDED = "Trivially needed"
 BLOCK_ENDS = ("Removing ", "Reclaiming ", "Clearing ")
+# Lines of a block that say something kept; the rest is dropped where it is read.
+KEPT = ("Type:", "Body removed", "Visibility:", "Address is taken.", "Clone of ", "Referring:", "Calls:")
 
 
 def _observations(lines: DataFrame) -> DataFrame:
     """Attribute lines with the header (``obs``) of the block they belong to."""
-    row, text = F.col("line"), F.trim("line")
-    starts = row.rlike(HEADER)
-    ends = (
-        text.startswith(NEEDED)
-        | text.endswith(TABLE_TITLE)
-        | (text == "")
-        | text.startswith(BLOCK_ENDS[0])
-        | text.startswith(BLOCK_ENDS[1])
-        | text.startswith(BLOCK_ENDS[2])
-        | ~row.startswith(" ")
+    # Each test is a column of its own so that it runs once per line.
+    row, text = F.col("line"), F.col("text")
+    says = F.lit(False)
+    for label in KEPT:
+        says = says | text.startswith(label)
+    ends = text.startswith(NEEDED) | text.endswith(TABLE_TITLE) | (text == "") | ~row.startswith(" ")
+    for label in BLOCK_ENDS:
+        ends = ends | text.startswith(label)
+    read = lines.withColumn("text", F.trim("line")).withColumn(
+        "role",
+        F.when(~row.startswith(" ") & row.rlike(HEADER), F.lit("start"))
+        .when(ends, F.lit("end"))
+        .when(says, F.lit("says")),
     )
+    starts = F.col("role") == "start"
     header = F.struct(
         F.when(starts, F.regexp_extract(row, HEADER, 2)).alias("local_id"),
-        F.regexp_extract(row, HEADER, 1).alias("name"),
-        F.regexp_extract(row, HEADER, 3).alias("linkage_name"),
+        F.when(starts, F.regexp_extract(row, HEADER, 1)).alias("name"),
+        F.when(starts, F.regexp_extract(row, HEADER, 3)).alias("linkage_name"),
         F.struct("block", "pos").alias("at"),
     )
-    marked = carry_forward(lines, F.when(starts | ends, header), "obs")
-    return marked.filter(F.col("obs.local_id").isNotNull()).select(
+    relevant = read.filter(F.col("role").isNotNull())
+    marked = carry_forward(relevant, {"obs": F.when(F.col("role") != "says", header)})
+    # After this only headers and attribute lines are left.
+    return marked.filter(F.col("obs.local_id").isNotNull() & (F.col("role") != "end")).select(
         "file",
         F.col("obs.local_id").alias("local_id"),
         F.col("obs.name").alias("name"),
@@ -91,8 +99,8 @@ def nodes(lines: DataFrame) -> DataFrame:
         )
     )["v"]
     folded = rows.groupBy("file", "local_id").agg(
-        latest(F.col("name") != "", F.col("name")).alias("name"),
-        latest(F.col("linkage_name") != "", F.col("linkage_name")).alias("linkage_name"),
+        latest((text == "") & (F.col("name") != ""), F.col("name")).alias("name"),
+        latest((text == "") & (F.col("linkage_name") != ""), F.col("linkage_name")).alias("linkage_name"),
         latest(kind_line & (F.size(_words(_after(text, "Type:"))) > 0),
                F.try_element_at(_words(_after(text, "Type:")), F.lit(1))).alias("kind"),
         flag(kind_line & text.contains("definition analyzed")).alias("analyzed"),
