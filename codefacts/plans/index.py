@@ -73,8 +73,9 @@ class Index:
         cut = ordered.limit(limit + 1).count() > limit
         return Answer(ordered.limit(limit), truncated=cut, **extra)
 
-    def _located(self, facts, rows: DataFrame, snippets: bool) -> DataFrame:
-        return common.with_location(rows, facts, snippets, project_root=self._project_root)
+    def _located(self, facts, rows: DataFrame, snippets: bool, keys: list) -> DataFrame:
+        """Rows with locations; the joins do not keep order, so a page is sorted again."""
+        return common.with_location(rows, facts, snippets, project_root=self._project_root).orderBy(*keys)
 
     # -- schema, SQL, reload -------------------------------------------------
 
@@ -153,12 +154,11 @@ class Index:
         self._has_sources(facts, target)
         filters = dict(target=target, path_prefix=path_prefix, kind=kind, include_external=include_external)
         matches = source_text.search_matches(facts, pattern, regex, **filters)
-        answer = self._paged(
-            matches, ["table_ord", "path", "line", "column"], common.page_size("search_source", limit)
-        )
-        lines = max(0, min(context, 20))
+        keys = ["table_ord", "path", "line", "column"]
+        answer = self._paged(matches, keys, common.page_size("search_source", limit))
         # Without context the window is the matching line itself.
-        answer.rows = source_text.with_context(facts, answer.rows, lines)
+        lines = max(0, min(context, 20))
+        answer.rows = source_text.with_context(facts, answer.rows, lines).orderBy(*keys)
         by_file = source_text.search_by_file(facts, pattern, regex, **filters)
         answer.parts = {
             "summary": source_text.search_summary(by_file, source_text.files(facts, **filters)),
@@ -175,13 +175,15 @@ class Index:
     def describe_target(self, name: str) -> Answer:
         facts = self._facts
         self._target(facts, name)
-        entries = self._located(facts, targets.target_entry_points(facts, name), True)
+        entries = self._located(
+            facts, targets.target_entry_points(facts, name), True, [F.desc("own"), "file", "line"]
+        )
         return Answer(
             targets.describe_target(facts, name),
             {
                 "sources": targets.target_source_files(facts, name).orderBy("file"),
                 "archives": targets.target_archives(facts, name).orderBy("archive"),
-                "entry_points": entries.orderBy(F.desc("own"), "file", "line"),
+                "entry_points": entries,
             },
         )
 
@@ -201,12 +203,13 @@ class Index:
     def describe_symbol(self, usr: str) -> Answer:
         facts = self._facts
         self._symbol(facts, usr)
-        definitions = symbols.definitions(facts, usr)
+        found = facts.symbol_definitions.filter(F.col("usr") == usr)
+        definitions = self._located(facts, found, True, ["file", "line"])
         return Answer(
             symbols.describe_symbol(facts, usr),
             {
                 "linkage_names": symbols.linkage_names(facts, usr).orderBy("linkage_name"),
-                "definitions": definitions.orderBy("file", "line"),
+                "definitions": definitions,
                 "targets": symbols.symbol_targets(facts, usr).orderBy("target"),
                 "link_resolutions": symbols.resolutions(facts, usr).orderBy("target"),
                 "losing_objects": facts.link_losers.filter(F.col("usr") == usr).orderBy("target", "object"),
@@ -260,14 +263,17 @@ class Index:
         facts = self._facts
         self._symbol(facts, caller_usr)
         n = common.page_size("inline_rows", limit)
-        records = self._paged(inlining.records(facts, caller_usr), ["pass", "callee", "file", "line", "column"], n)
-        bodies = self._paged(inlining.instances(facts, caller_usr), ["depth", "callee", "file", "line", "column"], n)
+        by_pass, by_depth = (
+            [first, "callee", "file", "line", "column"] for first in ("pass", "depth")
+        )
+        records = self._paged(inlining.records(facts, caller_usr), by_pass, n)
+        bodies = self._paged(inlining.instances(facts, caller_usr), by_depth, n)
         cgraph = self._paged(inlining.decisions(facts, caller_usr), ["callee", "callee_usr"], n)
         return Answer(
             inlining.summary(facts, caller_usr),
             {
-                "records": self._located(facts, records.rows, include_snippets),
-                "instances": self._located(facts, bodies.rows, include_snippets),
+                "records": self._located(facts, records.rows, include_snippets, by_pass),
+                "instances": self._located(facts, bodies.rows, include_snippets, by_depth),
                 "cgraph_decisions": cgraph.rows,
             },
             records.truncated or bodies.truncated or cgraph.truncated,
@@ -279,13 +285,16 @@ class Index:
         facts = self._facts
         self._symbol(facts, callee_usr)
         n = common.page_size("inline_rows", limit)
-        records = self._paged(inlining.records(facts, callee_usr, "callee_usr"), ["pass", "caller", "file", "line", "column"], n)
-        bodies = self._paged(inlining.instances(facts, callee_usr, "callee_usr"), ["depth", "caller", "file", "line", "column"], n)
+        by_pass, by_depth = (
+            [first, "caller", "file", "line", "column"] for first in ("pass", "depth")
+        )
+        records = self._paged(inlining.records(facts, callee_usr, "callee_usr"), by_pass, n)
+        bodies = self._paged(inlining.instances(facts, callee_usr, "callee_usr"), by_depth, n)
         return Answer(
             inlining.summary(facts, callee_usr, "callee_usr"),
             {
-                "records": self._located(facts, records.rows, include_snippets),
-                "instances": self._located(facts, bodies.rows, include_snippets),
+                "records": self._located(facts, records.rows, include_snippets, by_pass),
+                "instances": self._located(facts, bodies.rows, include_snippets, by_depth),
             },
             records.truncated or bodies.truncated,
         )
@@ -301,14 +310,15 @@ class Index:
         overall, per_object = inlining.explain_call(facts, caller_usr, callee_usr, target)
         this = F.col("callee_usr") == callee_usr
         n = common.page_size("inline_rows", limit)
-        records = self._paged(inlining.records(facts, caller_usr).filter(this), ["pass", "file", "line", "column"], n)
-        bodies = self._paged(inlining.instances(facts, caller_usr).filter(this), ["depth", "file", "line", "column"], n)
+        by_pass, by_depth = ([first, "file", "line", "column"] for first in ("pass", "depth"))
+        records = self._paged(inlining.records(facts, caller_usr).filter(this), by_pass, n)
+        bodies = self._paged(inlining.instances(facts, caller_usr).filter(this), by_depth, n)
         return Answer(
             overall,
             {
                 "per_object": per_object.orderBy("object"),
-                "records": self._located(facts, records.rows, include_snippets),
-                "instances": self._located(facts, bodies.rows, include_snippets),
+                "records": self._located(facts, records.rows, include_snippets, by_pass),
+                "instances": self._located(facts, bodies.rows, include_snippets, by_depth),
             },
             records.truncated or bodies.truncated,
         )
@@ -345,8 +355,9 @@ class Index:
     ) -> Answer:
         facts = self._facts
         rows = indirect.list_indirect_call_sites(facts, caller_usr, callee_type, target)
-        answer = self._paged(rows, ["file", "line", "column", "site_id"], common.page_size("indirect_sites", limit))
-        answer.rows = self._located(facts, answer.rows, include_snippets)
+        keys = ["file", "line", "column", "site_id"]
+        answer = self._paged(rows, keys, common.page_size("indirect_sites", limit))
+        answer.rows = self._located(facts, answer.rows, include_snippets, keys)
         return answer
 
     def list_address_taken_functions(self, fn_ptr_type: str | None = None, target: str | None = None) -> Answer:
@@ -372,7 +383,8 @@ class Index:
         facts = self._facts
         rows = linkage.list_weak_symbols(facts, target, strict)
         listed = rows.select("usr")
-        weak = linkage.weak_definitions(facts, snippets=True).join(listed, "usr", "left_semi")
+        weak = facts.symbol_definitions.filter("is_weak").select("usr", "file", "line")
+        weak = self._located(facts, weak.join(listed, "usr", "left_semi"), True, ["usr", "file", "line"])
         resolutions = facts.link_resolutions.join(listed, "usr", "left_semi")
         return Answer(rows.orderBy("name", "usr"), {"definitions": weak, "resolutions": resolutions})
 
@@ -399,7 +411,8 @@ class Index:
         facts = self._facts
         self._target(facts, target)
         rows = linkage.list_entry_points(facts, target)
-        answer = self._paged(rows, [F.desc("is_main"), "name", "usr"], common.page_size("linkage_rows", limit))
-        answer.rows = self._located(facts, answer.rows, include_snippets)
+        keys = [F.desc("is_main"), "name", "usr"]
+        answer = self._paged(rows, keys, common.page_size("linkage_rows", limit))
+        answer.rows = self._located(facts, answer.rows, include_snippets, keys)
         answer.note = "Constructors and init-array entries are not classified."
         return answer

@@ -47,18 +47,19 @@ TABLE_SCHEMAS = {
         "inlined boolean, reason string, file string, line int, column int, object string"
     ),
     "inline_instances": (
-        "callee_id bigint, caller_id bigint, callee_usr string, caller_usr string, "
+        "callee_id bigint, caller_id bigint, parent_callee_id bigint, callee_usr string, caller_usr string, "
         "parent_callee_usr string, depth int, file string, line int, column int, object string"
     ),
-    "icf_groups": "winner_symbol_id bigint, winner_usr string, object_file string",
+    "icf_groups": "id bigint, winner_symbol_id bigint, winner_usr string, object_file string",
     "icf_group_members": (
-        "symbol_id bigint, winner_usr string, object_file string, loser_usr string"
+        "group_id bigint, symbol_id bigint, winner_usr string, object_file string, loser_usr string"
     ),
     "link_resolutions": (
-        "target_id bigint, target string, usr string, winning_object string, linkage_kind string, "
-        "archive string"
+        "target_id bigint, target string, usr string, name string, winning_object string, "
+        "linkage_kind string, archive string"
     ),
-    "link_losers": "target_id bigint, target string, usr string, object string",
+    "link_losers": "target string, usr string, object string",
+    "object_defs": "name string, object string, nm_kind string",
     "symbol_tokens": "token string, usr string",
     "type_tokens": "token string, usr string",
     "symbol_reachability": (
