@@ -216,6 +216,44 @@ ORACLE: dict[str, str] = {
     "scan_map_pulls": """
         SELECT DISTINCT target AS file, 'lib/libshared.a.p/u_1.c.o' AS object, 'app/app.p/u_9.c.o' AS referrer,
                'hook' AS symbol FROM map_origins""",
+    "scan_dwarf": """
+        SELECT object AS file, name, '/work/proj/include/h_' || unit || '.h' AS decl_file, pk % 50 + 1 AS decl_line,
+               CASE WHEN size > 10 THEN 1 ELSE 0 END AS definition, CASE WHEN size <= 10 THEN 1 ELSE 0 END AS declaration,
+               CASE WHEN size BETWEEN 11 AND 25 THEN 1 ELSE 0 END AS abstract_inline FROM unit_parts""",
+    "dwarf_signature": "SELECT object AS file, name, signature FROM unit_parts",
+    "scan_dwarf_inlined": """
+        SELECT a.object AS file, b.name AS callee, a.name AS caller, '' AS parent_callee, 1 AS depth,
+               callee_pk % 90 + 1 AS line
+        FROM call_rows c JOIN unit_parts a ON a.unit = c.unit AND a.pk = caller_pk
+        JOIN unit_parts b ON b.unit = c.unit AND b.pk = callee_pk WHERE inl""",
+    "scan_dwarf_types": """
+        SELECT DISTINCT object AS file, lower(p_type) AS name, 'typedef' AS kind,
+               '/work/proj/include/types.h' AS decl_file, length(p_type) AS decl_line, 'int' AS underlying
+        FROM unit_parts JOIN part ON p_partkey = pk WHERE p_type NOT IN ('SMALL', 'ECONOMY')""",
+    "scan_ninja_deps": """
+        SELECT DISTINCT file, output, ordinal, input FROM (
+          SELECT 'log/' || l_orderkey || '/' || l_partkey || '/' || l_suppkey AS file, 'o' || l_orderkey || '.o' AS output,
+                 CASE WHEN l_suppkey % 2 = 0 THEN ['s' || l_suppkey || '.h', 'p' || l_partkey || '.c']
+                      ELSE ['p' || l_partkey || '.c'] END AS inputs FROM lineitem),
+        LATERAL (SELECT unnest(inputs) AS input, unnest(range(len(inputs))) AS ordinal)""",
+    "scan_meson": """
+        SELECT t.target, d.path, CASE WHEN d.path LIKE '%.h' THEN 1 ELSE 0 END AS generated
+        FROM doc_paths d JOIN target_keys t ON t.nk = d.doc_id % 25 WHERE d.path NOT LIKE '%.txt'""",
+    "scan_meson_targets": """
+        SELECT DISTINCT t.target AS name, t.kind, 'cc -o ' || t.target AS link_command
+        FROM doc_paths d JOIN target_keys t ON t.nk = d.doc_id % 25""",
+    "scan_builddir": """
+        SELECT substr(stem, length('/work/proj/build/') + 1) || '.o' AS object,
+               CASE WHEN size > 10 THEN stem || '.ci' END AS ci,
+               CASE WHEN size > 20 THEN stem || '.c.000i.cgraph' END AS cgraph,
+               CASE WHEN size > 30 THEN stem || '.c.opt-record.json.gz' END AS opt_record, CAST(NULL AS VARCHAR) AS icf
+        FROM (SELECT size, '/work/proj/build/obj/' || brand || '/p_' || pk || '.c' AS stem FROM part_symbols)""",
+    "sink_publish": """
+        SELECT a.id AS caller_id, b.id AS callee_id, e.source, t.id AS target_id
+        FROM call_edges e
+        JOIN (SELECT usr, row_number() OVER (ORDER BY usr) AS id FROM symbols) a ON a.usr = e.caller_usr
+        JOIN (SELECT usr, row_number() OVER (ORDER BY usr) AS id FROM symbols) b ON b.usr = e.callee_usr
+        LEFT JOIN (SELECT name, row_number() OVER (ORDER BY name) AS id FROM targets) t ON t.name = e.target""",
     "object_to_source": "SELECT object, tu AS source FROM unit_paths WHERE unit < 15",
     "symbol_observe": f"""
         SELECT object, local_id, usr, name, 'function' AS kind, {_LINKAGE} AS linkage,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -17,11 +18,17 @@ from codefacts.operators import (
     source_ingest,
     symbol_ingest,
 )
+from codefacts.plans import snapshot
 from codefacts.plans.queries import facts_of, longs, query
 from codefacts.seed import Seed
 from codefacts.seed_dumps import BUILD_DIR, PROJECT_ROOT, Dumps
+from codefacts.session import cut_lineage, ensure_checkpoint_dir
 from codefacts.sources import (
+    build_description,
+    build_tree,
     callgraph_info,
+    debug_info,
+    dependency_log,
     disassembly,
     folding_dump,
     inline_dump,
@@ -129,6 +136,79 @@ def _scan_map_pulls(facts: Facts, seed: Seed) -> DataFrame:
     return linker_map.archive_pulls(dumps_of(seed).map_lines())
 
 
+@lru_cache(maxsize=8)
+def debug_entries_of(seed: Seed) -> DataFrame:
+    return cut_lineage(debug_info.with_parents(debug_info.entries(dumps_of(seed).dwarf_lines())))
+
+
+@lru_cache(maxsize=8)
+def debug_types_of(seed: Seed) -> DataFrame:
+    return cut_lineage(debug_info.render_types(debug_entries_of(seed)))
+
+
+@query("scan_dwarf")
+def _scan_dwarf(facts: Facts, seed: Seed) -> DataFrame:
+    """Functions as the entries describe them, without their signatures."""
+    found = debug_info.subprograms(debug_entries_of(seed), debug_types_of(seed))
+    return longs(found.select("file", "name", "decl_file", "decl_line", "definition", "declaration", "abstract_inline"))
+
+
+@query("dwarf_signature")
+def _dwarf_signature(facts: Facts, seed: Seed) -> DataFrame:
+    found = debug_info.subprograms(debug_entries_of(seed), debug_types_of(seed))
+    return found.select("file", "name", "signature")
+
+
+@query("scan_dwarf_inlined")
+def _scan_dwarf_inlined(facts: Facts, seed: Seed) -> DataFrame:
+    found = debug_info.inline_instances(debug_entries_of(seed))
+    return longs(found.select("file", "callee", "caller", "parent_callee", "depth", "line"))
+
+
+@query("scan_dwarf_types")
+def _scan_dwarf_types(facts: Facts, seed: Seed) -> DataFrame:
+    found = debug_info.type_records(debug_entries_of(seed), debug_types_of(seed))
+    return longs(found.select("file", "name", "kind", "decl_file", "decl_line", "underlying"))
+
+
+@query("scan_ninja_deps")
+def _scan_dependencies(facts: Facts, seed: Seed) -> DataFrame:
+    return longs(dependency_log.dependencies(dumps_of(seed).dependency_logs()))
+
+
+def _described(seed: Seed) -> DataFrame:
+    schema = build_description.TARGETS_SCHEMA
+    parsed = F.from_json("document", schema)
+    return dumps_of(seed).target_documents().select(parsed.alias("t")).select("t.*")
+
+
+@query("scan_meson")
+def _scan_meson(facts: Facts, seed: Seed) -> DataFrame:
+    return longs(build_description.target_files(_described(seed)))
+
+
+@query("scan_meson_targets")
+def _scan_meson_targets(facts: Facts, seed: Seed) -> DataFrame:
+    return build_description.targets(_described(seed)).select("name", "kind", "link_command").distinct()
+
+
+@query("scan_builddir")
+def _scan_builddir(facts: Facts, seed: Seed) -> DataFrame:
+    return build_tree.artifacts(dumps_of(seed).build_files(), BUILD_DIR).select(
+        "object", "ci", "cgraph", "opt_record", "icf"
+    )
+
+
+@query("sink_publish")
+def _publish(facts: Facts, seed: Seed) -> DataFrame:
+    """Publish every table, open the result and read the edges with their ids."""
+    root = f"{ensure_checkpoint_dir(facts.spark)}/codefacts-{uuid.uuid4().hex}"
+    snapshot.publish(facts, root)
+    opened = snapshot.open_snapshot(facts.spark, root)
+    base = f"{root}/{opened.version}"
+    return facts.spark.read.parquet(f"{base}/call_edges").select("caller_id", "callee_id", "source", "target_id")
+
+
 # -- compiler plane ----------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from codefacts.seed import N_TARGETS, Seed
 
 N_UNITS = 17
 # Room for the lines of one symbol block, and symbol blocks per text block.
-LINES_PER_SYMBOL = 1 << 24
+LINES_PER_SYMBOL = 1 << 28
 SYMBOLS_PER_BLOCK = 256
 BUILD_DIR = "/work/proj/build"
 PROJECT_ROOT = "/work/proj"
@@ -519,3 +519,153 @@ class Dumps:
             F.lit('[{"format":"1"},' + tree + ",["), record, F.lit(","), note, F.lit("]]")
         )
         return rows.select(unit_object(F.col("unit")).alias("file"), document.alias("document"))
+
+    # -- debug information ------------------------------------------------------
+
+    @staticmethod
+    def _entry(offset: Column, depth: int, tag: str, *attributes: tuple[str, Column]) -> Column:
+        """Lines of one entry; an attribute whose value is NULL is left out."""
+        head = F.concat(F.lit("0x"), F.lower(F.hex(offset)), F.lit(": " + "  " * depth + "DW_TAG_" + tag))
+        lines = [
+            F.concat(F.lit(" " * (14 + 2 * depth) + f"DW_AT_{name}\t("), value, F.lit(")"))
+            for name, value in attributes
+        ]
+        return F.array(head, *lines)
+
+    def _entry_lines(self, rows: DataFrame, unit: Column, symbol: Column, place: Column, entry: Column) -> DataFrame:
+        spread = rows.select(unit.alias("u"), symbol.alias("s"), place.alias("p"), F.posexplode(entry).alias("i", "text"))
+        return self._lines(
+            spread, unit_object(F.col("u")), F.col("s"), F.col("p") + F.col("i"), F.col("text")
+        )
+
+    @cache
+    def dwarf_lines(self) -> DataFrame:
+        """Debug entries of each unit: its types, the functions it mentions, bodies inlined into them."""
+        quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        ref = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+        unit, pk = F.col("unit"), F.col("pk")
+        int_type = F.lit(48)
+        source = F.concat(F.lit("../src/unit_"), unit.cast("string"), F.lit(".c"))
+        units = self.titles().select("unit")
+        top = self._entry_lines(
+            units, unit, F.lit(0), F.lit(0),
+            self._entry(F.lit(11), 0, "compile_unit", ("name", quoted(source)), ("comp_dir", F.lit(f'"{BUILD_DIR}"'))),
+        )
+        base = self._entry_lines(
+            units, unit, F.lit(0), F.lit(16),
+            self._entry(int_type, 1, "base_type", ("byte_size", F.lit("0x04")), ("encoding", F.lit("DW_ATE_signed")), ("name", F.lit('"int"'))),
+        )
+        # A part's type is the pointee of its function's only parameter.
+        kinds = self.seed.table("part").select(F.col("p_partkey").alias("pk"), F.lower("p_type").alias("type_name"))
+        parts = self.unit_parts().join(kinds, "pk")
+        pointer_to = F.lit(8192) + F.ascii("type_name") * 16
+        named = parts.filter(~F.col("type_name").isin("small", "economy")).select("unit", "type_name").distinct()
+        typedefs = self._entry_lines(
+            named, unit, F.lit(0), F.lit(1024) + F.ascii("type_name") * 32,
+            self._entry(
+                F.lit(4096) + F.ascii("type_name") * 16, 1, "typedef", ("name", quoted(F.col("type_name"))),
+                ("decl_file", F.lit(f'"{PROJECT_ROOT}/include/types.h"')), ("decl_line", F.length("type_name").cast("string")),
+                ("type", ref(int_type)),
+            ),
+        )
+        pointers = self._entry_lines(
+            named, unit, F.lit(0), F.lit(8192) + F.ascii("type_name") * 32,
+            self._entry(pointer_to, 1, "pointer_type", ("byte_size", F.lit("0x08")), ("type", ref(F.lit(4096) + F.ascii("type_name") * 16))),
+        )
+        at = (pk + 1) * LINES_PER_SYMBOL
+        functions = self._entry_lines(
+            parts, unit, pk + 1, F.lit(0),
+            self._entry(
+                at, 1, "subprogram", ("name", quoted(F.col("name"))),
+                ("decl_file", F.concat(F.lit(f'"{PROJECT_ROOT}/include/h_'), unit.cast("string"), F.lit('.h"'))),
+                ("decl_line", (pk % 50 + 1).cast("string")), ("prototyped", F.lit("true")),
+                ("type", F.when(F.col("type_name") != "economy", ref(int_type))),
+                ("low_pc", F.when(F.col("size") > 25, F.lit("0x0000000000001040"))),
+                ("inline", F.when(F.col("size").between(11, 25), F.lit("DW_INL_inlined"))),
+                ("declaration", F.when(F.col("size") <= 10, F.lit("true"))),
+            ),
+        )
+        parameters = parts.filter(F.col("type_name") != "economy").select(
+            "unit", "pk",
+            F.posexplode(F.when(F.col("type_name") == "small", F.array(int_type, int_type)).otherwise(F.array(pointer_to))).alias("i", "ref"),
+        )
+        listed = self._entry_lines(
+            parameters, unit, pk + 1, F.lit(64) + F.col("i") * 16,
+            self._entry(at + 16 + F.col("i") * 16, 2, "formal_parameter", ("type", ref(F.col("ref")))),
+        )
+        present = self.unit_parts().select("unit", "pk", "name")
+        copies = (
+            self.call_rows()
+            .filter("inlined")
+            .join(present.select("unit", F.col("pk").alias("caller_pk")), ["unit", "caller_pk"], "left_semi")
+            .join(present.select("unit", F.col("pk").alias("callee_pk"), F.col("name").alias("callee")), ["unit", "callee_pk"])
+        )
+        host = (F.col("caller_pk") + 1) * LINES_PER_SYMBOL
+        bodies = self._entry_lines(
+            copies, unit, F.col("caller_pk") + 1, F.lit(1024) + F.col("callee_pk") * 8,
+            self._entry(
+                host + 1024 + F.col("callee_pk"), 2, "inlined_subroutine",
+                ("abstract_origin", F.concat(ref((F.col("callee_pk") + 1) * LINES_PER_SYMBOL), F.lit(" "), quoted(F.col("callee")))),
+                ("call_file", F.lit(f'"{PROJECT_ROOT}/src/a.c"')), ("call_line", (F.col("callee_pk") % 90 + 1).cast("string")),
+            ),
+        )
+        out = top
+        for more in (base, typedefs, pointers, functions, listed, bodies):
+            out = out.unionByName(more)
+        return out
+
+    # -- build metadata -----------------------------------------------------------
+
+    @cache
+    def dependency_logs(self) -> DataFrame:
+        """One small binary log per part and supplier of an order, its record rewritten once."""
+        rows = self.seed.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+
+        def path_record(path: Column, check: str) -> Column:
+            raw = F.rpad(F.hex(F.encode(path, "utf-8")), 32, "0")
+            return F.concat(F.lit("14000000"), raw, F.lit(check))
+
+        output = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".o"))
+        first = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".c"))
+        second = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(".h"))
+        start = F.lit("23206E696E6A61646570730A" + "04000000")
+        stamp = "0100000000000000"
+        one = F.lit("10000080" + "00000000" + stamp + "01000000")
+        both = F.lit("14000080" + "00000000" + stamp + "02000000" + "01000000")
+        digits = F.concat(
+            start, path_record(output, "FFFFFFFF"), path_record(first, "FEFFFFFF"), path_record(second, "FDFFFFFF"),
+            one, F.when(F.col("l_suppkey") % 2 == 0, both).otherwise(F.lit("")), F.lit("1000"),
+        )
+        file = F.concat_ws("/", F.lit("log"), "l_orderkey", "l_partkey", "l_suppkey")
+        return rows.select(file.alias("file"), F.unhex(digits).alias("content"))
+
+    @cache
+    def target_documents(self) -> DataFrame:
+        """Build-description entries as JSON text, one per source file."""
+        docs = self.seed.doc_paths().select((F.col("doc_id") % N_TARGETS).alias("nk"), "path", "doc_id")
+        language = F.when(F.col("path").endswith(".txt"), "other").otherwise("c")
+        made = F.col("path").endswith(".h")
+        path = F.concat(F.lit('"'), "path", F.lit('"'))
+        return docs.join(self.seed.target_keys(), "nk").select(
+            F.concat(
+                F.lit('{"name":"'), "target", F.lit('","type":"'), F.replace("kind", F.lit("_"), F.lit(" ")),
+                F.lit('","filename":["/b/'), "target", F.lit('"],"target_sources":[{"language":"'), language,
+                F.lit('","sources":['), F.when(~made, path).otherwise(""), F.lit('],"generated_sources":['),
+                F.when(made, path).otherwise(""), F.lit(']},{"linker":["cc"],"parameters":["-o","'), "target", F.lit('"]}]}'),
+            ).alias("document")
+        )
+
+    @cache
+    def build_files(self) -> DataFrame:
+        """A build tree's listing: an object per part and the dumps its size earns it."""
+        parts = self.seed.part_symbols()
+        stem = F.concat(F.lit(f"{BUILD_DIR}/obj/"), F.col("brand"), F.lit("/p_"), F.col("pk").cast("string"), F.lit(".c"))
+        private = F.concat(F.lit(f"{BUILD_DIR}/meson-private/p_"), F.col("pk").cast("string"), F.lit(".c.o"))
+        names = F.array_compact(F.array(
+            F.concat(stem, F.lit(".o")),
+            F.when(F.col("size") > 10, F.concat(stem, F.lit(".ci"))),
+            F.when(F.col("size") > 20, F.concat(stem, F.lit(".c.000i.cgraph"))),
+            F.when(F.col("size") > 30, F.concat(stem, F.lit(".c.opt-record.json.gz"))),
+            F.when(F.col("size") < 5, private),
+        ))
+        return parts.select(F.explode(names).alias("path"), F.lit(0).cast("timestamp").alias("mtime"), F.lit(1).alias("length"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ VERSION = 4
 GREATEST_RECORD = 1 << 24
 DEPS_BIT = 1 << 31
 
+ROWS_PER_FRAME = 50_000
+
 
 def entries(data: bytes) -> Iterator[tuple[int, str, int, str]]:
     """``(sequence, output, ordinal, input)`` of one log; a cut-off tail is ignored."""
@@ -52,10 +55,15 @@ def entries(data: bytes) -> Iterator[tuple[int, str, int, str]]:
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["file", "sequence", "output", "ordinal", "input"]
     for batch in batches:
-        for file, content in zip(batch["file"], batch["content"]):
-            rows = [(file, *entry) for entry in entries(content)]
-            yield pd.DataFrame(rows, columns=["file", "sequence", "output", "ordinal", "input"])
+        rows = (
+            (file, *entry)
+            for file, content in zip(batch["file"], batch["content"])
+            for entry in entries(content)
+        )
+        while chunk := list(islice(rows, ROWS_PER_FRAME)):
+            yield pd.DataFrame(chunk, columns=columns)
 
 
 def dependencies(logs: DataFrame) -> DataFrame:
