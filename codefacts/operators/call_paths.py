@@ -10,6 +10,8 @@ a page of the first n is well defined.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,44 @@ def distances_to(edges: DataFrame, to_usr: str, depth: int) -> DataFrame:
     return reached
 
 
+@dataclass
+class _Search:
+    """What both enumerations share: the start, and edges that lead on."""
+
+    start: DataFrame
+    useful: DataFrame
+    to_usr: str
+    depth: int
+
+    @classmethod
+    def prepare(cls, facts: Facts, from_usr: str, to_usr: str, depth: int, target: str | None) -> "_Search":
+        start = facts.symbols.filter(F.col("usr") == from_usr).select(
+            F.array("usr").alias("usrs"), F.array("name").alias("names"), F.col("usr").alias("tip")
+        )
+        # Read once, used by every hop of both passes.
+        edges = cut_lineage(_edges(facts, target))
+        # The first call is spent before the distance of its callee counts.
+        hops_left = distances_to(edges, to_usr, depth - 1)
+        names = facts.symbols.select(F.col("usr").alias("callee_usr"), F.col("name").alias("callee_name"))
+        # Only edges towards the destination, with the hops still needed after them.
+        useful = edges.join(
+            hops_left.select(F.col("usr").alias("callee_usr"), "hops"), "callee_usr"
+        ).join(names, "callee_usr")
+        return cls(start, cut_lineage(useful), to_usr, depth)
+
+    def grow(self, partial: DataFrame, hop: int) -> DataFrame:
+        """Every partial path extended by one call, none twice through a symbol."""
+        return cut_lineage(
+            partial.join(self.useful, partial["tip"] == self.useful["caller_usr"])
+            .filter((F.col("hops") <= self.depth - hop) & ~F.array_contains("usrs", F.col("callee_usr")))
+            .select(
+                F.concat("usrs", F.array("callee_usr")).alias("usrs"),
+                F.concat("names", F.array("callee_name")).alias("names"),
+                F.col("callee_usr").alias("tip"),
+            )
+        )
+
+
 def list_call_paths(
     facts: Facts,
     from_usr: str,
@@ -67,38 +107,14 @@ def list_call_paths(
     max_depth: int | None = None,
     target: str | None = None,
 ) -> DataFrame:
-    """Every simple path, as ``(usrs, names, hops)``; not yet cut to a page."""
+    """Every simple path, as ``(usrs, names, hops)``."""
     depth = depth_bound(max_depth)
-    start = facts.symbols.filter(F.col("usr") == from_usr).select(
-        F.array("usr").alias("usrs"), F.array("name").alias("names")
-    )
     if from_usr == to_usr:
-        return start.select("usrs", "names", F.lit(0).alias("hops"))
-
-    # Read once, used by every hop of both passes.
-    edges = cut_lineage(_edges(facts, target))
-    hops_left = cut_lineage(distances_to(edges, to_usr, depth))
-    names = facts.symbols.select(F.col("usr").alias("callee_usr"), F.col("name").alias("callee_name"))
-    # Only edges that lead towards the destination, with the hops still needed after them.
-    useful = cut_lineage(
-        edges.join(
-            hops_left.select(F.col("usr").alias("callee_usr"), "hops"), "callee_usr"
-        ).join(names, "callee_usr")
-    )
-
-    partial = start.select("usrs", "names", F.lit(from_usr).alias("tip"))
-    found: DataFrame | None = None
+        return _trivial(facts, from_usr)
+    search = _Search.prepare(facts, from_usr, to_usr, depth, target)
+    partial, found = search.start, None
     for hop in range(1, depth + 1):
-        grown = (
-            partial.join(useful, partial["tip"] == useful["caller_usr"])
-            .filter((F.col("hops") <= depth - hop) & ~F.array_contains("usrs", F.col("callee_usr")))
-            .select(
-                F.concat("usrs", F.array("callee_usr")).alias("usrs"),
-                F.concat("names", F.array("callee_name")).alias("names"),
-                F.col("callee_usr").alias("tip"),
-            )
-        )
-        grown = cut_lineage(grown)
+        grown = search.grow(partial, hop)
         whole = grown.filter(F.col("tip") == to_usr).select("usrs", "names", F.lit(hop).alias("hops"))
         found = whole if found is None else found.unionByName(whole)
         partial = grown.filter(F.col("tip") != to_usr)
@@ -107,5 +123,61 @@ def list_call_paths(
     return found
 
 
-def ordered(paths: DataFrame, limit: int | None = None) -> DataFrame:
-    return paths.orderBy("names", "usrs").limit(common.page_size("call_paths", limit))
+def _trivial(facts: Facts, usr: str) -> DataFrame:
+    return facts.symbols.filter(F.col("usr") == usr).select(
+        F.array("usr").alias("usrs"), F.array("name").alias("names"), F.lit(0).alias("hops")
+    )
+
+
+def first_call_paths(
+    facts: Facts,
+    from_usr: str,
+    to_usr: str,
+    max_depth: int | None = None,
+    target: str | None = None,
+    limit: int = common.PAGE["call_paths"][0],
+    width: int = 100_000,
+) -> DataFrame:
+    """The first ``limit`` simple paths in name order, without listing the others.
+
+    Where a hop gives more than ``width`` partial paths, those first in order
+    go on and the rest is put aside. Work put aside is taken up again, least
+    first, until no partial path left can precede the page that was found, so
+    the page is exact whatever the width.
+    """
+    if from_usr == to_usr:
+        return _trivial(facts, from_usr)
+    search = _Search.prepare(facts, from_usr, to_usr, depth_bound(max_depth), target)
+    # Pages are bounded by the limit, so they may meet on the driver.
+    page: list[tuple[list[str], list[str], int]] = []
+    waiting: list[tuple[list[str], int, DataFrame]] = [([], 1, search.start)]
+    while waiting:
+        least = min(range(len(waiting)), key=lambda i: waiting[i][0])
+        if len(page) >= limit and page[limit - 1][0] < waiting[least][0]:
+            break
+        _, hop, partial = waiting.pop(least)
+        grown = search.grow(partial, hop)
+        whole = grown.filter(F.col("tip") == to_usr).orderBy("names", "usrs").limit(limit).collect()
+        page = sorted([*page, *((list(r["names"]), list(r["usrs"]), hop) for r in whole)])[:limit]
+        if hop == search.depth:
+            continue
+        rest = grown.filter(F.col("tip") != to_usr)
+        seen = rest.agg(F.count(F.lit(1)).alias("n"), F.min("names").alias("least")).first()
+        if seen["n"] > width:
+            # Paths that share their names stay together, so the cut is between names.
+            border = rest.orderBy("names").limit(width).agg(F.max("names")).first()[0]
+            edge = F.array(*[F.lit(n) for n in border])
+            later = rest.filter(F.col("names") > edge)
+            first_later = later.agg(F.min("names")).first()[0]
+            if first_later is not None:
+                waiting.append((list(first_later), hop + 1, later))
+                rest = rest.filter(F.col("names") <= edge)
+        if seen["n"]:
+            waiting.append((list(seen["least"]), hop + 1, rest))
+    return facts.spark.createDataFrame(
+        [(usrs, names, hops) for names, usrs, hops in page], "usrs array<string>, names array<string>, hops int"
+    )
+
+
+def ordered(paths: DataFrame) -> DataFrame:
+    return paths.orderBy("names", "usrs")

@@ -175,6 +175,24 @@ def losers_view(resolutions: DataFrame, object_defs: DataFrame) -> DataFrame:
     )
 
 
+def loser_counts(resolutions: DataFrame, object_defs: DataFrame) -> DataFrame:
+    """``(target, usr, n_losing)`` without listing a name's candidates once per target.
+
+    Objects are counted per name; a winner that is among them is not a loser.
+    """
+    candidates = object_defs.select("name", "object").distinct()
+    per_name = candidates.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    own = candidates.select("name", F.col("object").alias("winning_object")).withColumn("own", F.lit(1))
+    losing = F.col("n") - F.coalesce("own", F.lit(0))
+    return (
+        resolutions.join(per_name, "name")
+        .join(own, ["name", "winning_object"], "left")
+        .groupBy("target", "usr")
+        .agg(F.sum(losing).alias("n_losing"))
+        .filter(F.col("n_losing") > 0)
+    )
+
+
 def edges_objdump(calls: DataFrame, addresses: DataFrame, names: DataFrame) -> DataFrame:
     """Direct calls of the linked binaries as edges, distinct per target.
 

@@ -240,8 +240,9 @@ class Index:
         self._symbol(facts, from_usr)
         self._symbol(facts, to_usr)
         self._target(facts, target)
-        found = call_paths.list_call_paths(facts, from_usr, to_usr, max_depth, target)
-        return self._paged(found, ["names", "usrs"], common.PAGE["call_paths"][0])
+        limit = common.PAGE["call_paths"][0]
+        found = call_paths.first_call_paths(facts, from_usr, to_usr, max_depth, target, limit + 1)
+        return self._paged(found, ["names", "usrs"], limit)
 
     def list_linked_callers(self, callee_usr: str, target: str) -> Answer:
         facts = self._facts

@@ -345,8 +345,7 @@ def _link_resolutions(facts: Facts, seed: Seed) -> DataFrame:
 @query("link_losers_view")
 def _losers_view(facts: Facts, seed: Seed) -> DataFrame:
     """Losing objects per target, counted from the factored form."""
-    losers = link_ingest.losers_view(linked_of(seed).resolutions, dumps_of(seed).object_defs())
-    return losers.groupBy("target", "usr").agg(F.count(F.lit(1)).alias("n_losing"))
+    return link_ingest.loser_counts(linked_of(seed).resolutions, dumps_of(seed).object_defs())
 
 
 @query("edges_objdump")

@@ -40,14 +40,15 @@ TEXT_PATTERN = "ou"
 TEXT_REGEX = "[aeé]ux"
 
 
-@lru_cache(maxsize=8)
-def _seed(app_id: str, sf_dir: str) -> Seed:
-    spark = tune(SparkSession.active())
-    return Seed(spark, sf_dir)
+_SEEDS: dict[tuple[str, str], Seed] = {}
 
 
 def seed_for(spark: SparkSession, sf_dir: str) -> Seed:
-    return _seed(spark.sparkContext.applicationId, str(sf_dir))
+    """One seed per application and directory, so tables are analysed once."""
+    key = (spark.sparkContext.applicationId, str(sf_dir).rstrip("/"))
+    if key not in _SEEDS:
+        _SEEDS[key] = Seed(tune(spark), key[1])
+    return _SEEDS[key]
 
 
 def query(name: str):
@@ -219,7 +220,7 @@ def _joined_paths(paths: DataFrame) -> DataFrame:
 @query("list_call_paths")
 def _call_paths(facts: Facts, seed: Seed) -> DataFrame:
     a, b = _path_ends(facts)
-    return _joined_paths(call_paths.ordered(call_paths.list_call_paths(facts, a, b)))
+    return _joined_paths(call_paths.first_call_paths(facts, a, b))
 
 
 @query("simple_paths")

@@ -32,6 +32,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .appName("codefacts")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in RUNTIME_CONF.items():

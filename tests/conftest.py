@@ -11,7 +11,9 @@ from codefacts.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=4)
+    session = local_session("8", shuffle_partitions=2)
+    # Hundreds of tiny plans: compiling each would take longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 

@@ -185,6 +185,7 @@ def test_weak_and_strong_resolve_per_target(spark):
         ("app1", "c:@F@hook", "app/app1.p/strong.c.o", "strong", ""),
         ("app2", "c:@F@hook", "app/app1.p/strong.c.o", "weak", ""),
     ]
+    assert rows(link_ingest.loser_counts(links, defs)) == [("app1", "c:@F@hook", 1), ("app2", "c:@F@hook", 1)]
     assert rows(link_ingest.losers_view(links, defs), "target", "object") == [
         ("app1", "lib/libs.a.p/weak.c.o"), ("app2", "lib/libs.a.p/weak.c.o"),
     ]
@@ -334,9 +335,21 @@ def test_paths_equal_brute_force(spark, seed):
     assert got == _brute_paths(edges, "a", "g", 4)
 
 
+@pytest.mark.parametrize("limit, width", [(3, 2), (50, 4), (4, 100)])
+def test_first_paths_are_exact_at_any_width(spark, limit, width):
+    rng = random.Random(limit)
+    nodes = "abcdefg"
+    edges = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(26)} | {("a", "b"), ("f", "g")})
+    names = {n: "x" if n in "bd" else n for n in nodes}  # two symbols share a name
+    facts = _graph(spark, edges, names)
+    found = call_paths.first_call_paths(facts, "a", "g", 5, limit=limit, width=width)
+    want = sorted(([names[u] for u in p], list(p)) for p in _brute_paths(edges, "a", "g", 5))[:limit]
+    assert [(list(r["names"]), list(r["usrs"])) for r in call_paths.ordered(found).collect()] == want
+
+
 def test_paths_order_and_depth(spark):
     facts = _graph(spark, [("s", "m2"), ("s", "m1"), ("m1", "e"), ("m2", "e"), ("e", "s"), ("m1", "m2")], {"m1": "zz", "m2": "aa"})
-    found = call_paths.ordered(call_paths.list_call_paths(facts, "s", "e"), 50).collect()
+    found = call_paths.ordered(call_paths.list_call_paths(facts, "s", "e")).collect()
     assert [list(r["names"]) for r in found] == [["s", "aa", "e"], ["s", "zz", "aa", "e"], ["s", "zz", "e"]]
     assert [tuple(r) for r in call_paths.list_call_paths(facts, "s", "s").collect()] == [(["s"], ["s"], 0)]
     assert call_paths.depth_bound(0) == call_paths.depth_bound(17) == 6 and call_paths.depth_bound(16) == 16
