@@ -111,6 +111,17 @@ def read_source(facts: Facts, path: str | Column, start_line: int = 0, end_line:
     return slice_files(facts, locate(facts, path), start_line, end_line)
 
 
+def read_stored(facts: Facts, path: str, blob_hash: str, start_line: int = 0, end_line: int = 0) -> DataFrame:
+    """One stored file by its hash, a filter the content scan can skip by."""
+    body = F.col("content").cast("string")
+    return facts.blobs.filter(F.col("hash") == blob_hash).select(
+        F.lit(path).alias("path"),
+        F.col("hash").alias("blob_hash"),
+        F.size(text.lines(body)).alias("line_count"),
+        text.line_slice(body, start_line, end_line).alias("content"),
+    )
+
+
 def slice_files(facts: Facts, located: DataFrame, start_line: int = 0, end_line: int = 0) -> DataFrame:
     """Content slice and total line count of any set of ``(path, blob_hash)`` rows."""
     contents = facts.blobs.select(F.col("hash").alias("blob_hash"), "content")
@@ -180,11 +191,12 @@ def _line_matches(body: Column, pattern: str, regex: bool) -> Column:
     )
 
 
-def blob_matches(facts: Facts, wanted: DataFrame, pattern: str, regex: bool = False) -> DataFrame:
+def blob_matches(facts: Facts, pattern: str, regex: bool = False) -> DataFrame:
     """``(blob_hash, line, column, match_text)`` over each distinct content once.
 
-    Copies of a file share one blob, so the text is searched per blob and only
-    then joined to the paths that carry it.
+    Copies of a file share one blob, so the text is searched per blob, where it
+    is read, and only the matches are joined to the paths that carry it: no
+    content is ever shuffled.
     """
     if not pattern:
         raise ValueError("search pattern is empty")
@@ -193,7 +205,6 @@ def blob_matches(facts: Facts, wanted: DataFrame, pattern: str, regex: bool = Fa
     )
     if not regex:
         contents = contents.filter(F.contains("body", F.lit(pattern)))
-    contents = contents.join(wanted.select("blob_hash").distinct(), "blob_hash", "left_semi")
     numbered = contents.select(
         "blob_hash", F.posexplode(text.lines(F.col("body"))).alias("index", "row")
     )
@@ -211,7 +222,7 @@ def search_matches(
 ) -> DataFrame:
     """Every match; order by ``(table_ord, path, line, column)`` for a page."""
     wanted = files(facts, **filters)
-    found = blob_matches(facts, wanted, pattern, regex)
+    found = blob_matches(facts, pattern, regex)
     rows = wanted.join(found, "blob_hash").select(
         "table_ord", "path", "line", "column", "match_text", "blob_hash"
     )
@@ -220,9 +231,9 @@ def search_matches(
     return rows
 
 
-def with_context(facts: Facts, rows: DataFrame, context: int) -> DataFrame:
-    """Add the line window around each row; cut to a page first where one is wanted."""
-    contents = facts.blobs.select(F.col("hash").alias("blob_hash"), "content")
+def with_context(facts: Facts, rows: DataFrame, context: int, bounded: bool = False) -> DataFrame:
+    """Add the line window around each row; ``bounded`` says the rows are a page."""
+    contents = common.contents_of(facts, rows, bounded)
     return rows.join(contents, "blob_hash").select(
         *rows.columns,
         text.line_window(F.col("content").cast("string"), F.col("line"), context).alias("snippet"),
@@ -232,7 +243,7 @@ def with_context(facts: Facts, rows: DataFrame, context: int) -> DataFrame:
 def search_by_file(facts: Facts, pattern: str, regex: bool = False, **filters) -> DataFrame:
     """``(path, n)``: matches are counted per blob before they meet the paths."""
     wanted = files(facts, **filters)
-    per_blob = blob_matches(facts, wanted, pattern, regex).groupBy("blob_hash").agg(
+    per_blob = blob_matches(facts, pattern, regex).groupBy("blob_hash").agg(
         F.count(F.lit(1)).alias("n")
     )
     return wanted.join(per_blob, "blob_hash").groupBy("path").agg(F.sum("n").alias("n"))

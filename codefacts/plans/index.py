@@ -73,9 +73,12 @@ class Index:
         cut = ordered.limit(limit + 1).count() > limit
         return Answer(ordered.limit(limit), truncated=cut, **extra)
 
-    def _located(self, facts, rows: DataFrame, snippets: bool, keys: list) -> DataFrame:
+    def _located(self, facts, rows: DataFrame, snippets: bool, keys: list, bounded: bool = True) -> DataFrame:
         """Rows with locations; the joins do not keep order, so a page is sorted again."""
-        return common.with_location(rows, facts, snippets, project_root=self._project_root).orderBy(*keys)
+        located = common.with_location(
+            rows, facts, snippets, project_root=self._project_root, bounded=bounded
+        )
+        return located.orderBy(*keys)
 
     # -- schema, SQL, reload -------------------------------------------------
 
@@ -102,9 +105,11 @@ class Index:
     # -- sources -----------------------------------------------------------------
 
     def read_source(self, path: str, start_line: int = 0, end_line: int = 0) -> Answer:
-        rows = source_text.read_source(self._facts, path, start_line, end_line)
-        self._require(rows, f"no stored source at {path!r}")
-        return Answer(rows)
+        facts = self._facts
+        found = source_text.locate(facts, path).first()
+        if found is None:
+            raise LookupError(f"no stored source at {path!r}")
+        return Answer(source_text.read_stored(facts, path, found["blob_hash"], start_line, end_line))
 
     def list_source_files(
         self, target: str | None = None, path_prefix: str = "", kind: str | None = None,
@@ -158,7 +163,7 @@ class Index:
         answer = self._paged(matches, keys, common.page_size("search_source", limit))
         # Without context the window is the matching line itself.
         lines = max(0, min(context, 20))
-        answer.rows = source_text.with_context(facts, answer.rows, lines).orderBy(*keys)
+        answer.rows = source_text.with_context(facts, answer.rows, lines, bounded=True).orderBy(*keys)
         by_file = source_text.search_by_file(facts, pattern, regex, **filters)
         answer.parts = {
             "summary": source_text.search_summary(by_file, source_text.files(facts, **filters)),
@@ -176,7 +181,7 @@ class Index:
         facts = self._facts
         self._target(facts, name)
         entries = self._located(
-            facts, targets.target_entry_points(facts, name), True, [F.desc("own"), "file", "line"]
+            facts, targets.target_entry_points(facts, name), True, [F.desc("own"), "file", "line"], bounded=False
         )
         return Answer(
             targets.describe_target(facts, name),
@@ -204,7 +209,7 @@ class Index:
         facts = self._facts
         self._symbol(facts, usr)
         found = facts.symbol_definitions.filter(F.col("usr") == usr)
-        definitions = self._located(facts, found, True, ["file", "line"])
+        definitions = self._located(facts, found, True, ["file", "line"], bounded=False)
         return Answer(
             symbols.describe_symbol(facts, usr),
             {
@@ -385,7 +390,8 @@ class Index:
         rows = linkage.list_weak_symbols(facts, target, strict)
         listed = rows.select("usr")
         weak = facts.symbol_definitions.filter("is_weak").select("usr", "file", "line")
-        weak = self._located(facts, weak.join(listed, "usr", "left_semi"), True, ["usr", "file", "line"])
+        weak = weak.join(listed, "usr", "left_semi")
+        weak = self._located(facts, weak, True, ["usr", "file", "line"], bounded=False)
         resolutions = facts.link_resolutions.join(listed, "usr", "left_semi")
         return Answer(rows.orderBy("name", "usr"), {"definitions": weak, "resolutions": resolutions})
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +47,51 @@ def dumps_of(seed: Seed) -> Dumps:
 
 
 class Compiled:
-    """The compiler-plane chain over the derived rows, each step built once."""
+    """The compiler-plane chain over the derived rows, each step built once.
+
+    As in collection, what several later steps read is stored once: the
+    observations and the identities they resolve to.
+    """
 
     def __init__(self, seed: Seed):
-        d = dumps_of(seed)
+        self.dumps = d = dumps_of(seed)
         spot = paths.resolve(F.col("title"), BUILD_DIR, PROJECT_ROOT)
         titles = d.titles().select("object", spot["rel"].alias("rel"), spot["in_project"].alias("in_project"))
         self.sources = symbol_ingest.object_sources(titles)
         # Identity scoping takes the path as resolved, in the project or not.
-        units = titles.select("object", F.col("rel").alias("source"))
+        self.units = titles.select("object", F.col("rel").alias("source"))
         self.nodes = d.cgraph_nodes()
-        self.observed = symbol_ingest.observe(self.nodes, d.ci_nodes(), units)
-        self.clones = symbol_ingest.attribute_clones(self.nodes, self.observed)
-        self.identities = symbol_ingest.local_identities(self.observed, self.clones)
-        self.calls = symbol_ingest.resolve_ends(d.cgraph_calls(), self.identities)
-        self.records = symbol_ingest.inline_records(d.records(), self.identities)
-        self.folds = symbol_ingest.icf_members(d.folds(), self.nodes, self.identities)
-        self.symbols = symbol_ingest.merge_symbols(self.observed, self.clones)
+        # Computed from the rows each time, for the queries about these steps.
+        self.observing = symbol_ingest.observe(self.nodes, d.ci_nodes(), self.units)
+        self.cloning = symbol_ingest.attribute_clones(self.nodes, self.observing)
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        return cut_lineage(self.observing)
+
+    @cached_property
+    def clones(self) -> DataFrame:
+        return cut_lineage(symbol_ingest.attribute_clones(self.nodes, self.observed))
+
+    @cached_property
+    def identities(self) -> DataFrame:
+        return symbol_ingest.local_identities(self.observed, self.clones)
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return symbol_ingest.resolve_ends(self.dumps.cgraph_calls(), self.identities)
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return symbol_ingest.inline_records(self.dumps.records(), self.identities)
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return symbol_ingest.icf_members(self.dumps.folds(), self.nodes, self.identities)
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return symbol_ingest.merge_symbols(self.observed, self.clones)
 
 
 @lru_cache(maxsize=8)
@@ -219,12 +247,12 @@ def _object_to_source(facts: Facts, seed: Seed) -> DataFrame:
 
 @query("symbol_observe")
 def _observe(facts: Facts, seed: Seed) -> DataFrame:
-    return longs(compiled_of(seed).observed.drop("plain_name"))
+    return longs(compiled_of(seed).observing.drop("plain_name"))
 
 
 @query("clone_attribution")
 def _clones(facts: Facts, seed: Seed) -> DataFrame:
-    return longs(compiled_of(seed).clones)
+    return longs(compiled_of(seed).cloning)
 
 
 @query("symbol_merge")

@@ -668,7 +668,7 @@ def _search_matches(facts: Facts, seed: Seed) -> DataFrame:
 def _search_page(facts: Facts, seed: Seed) -> DataFrame:
     rows = source_text.search_matches(facts, TEXT_PATTERN)
     page = rows.orderBy("table_ord", "path", "line", "column").limit(common.PAGE["search_source"][0])
-    shown = source_text.with_context(facts, page, 1)
+    shown = source_text.with_context(facts, page, 1, bounded=True)
     return longs(
         shown.select(
             "path", "line", F.col("column").alias("col"),

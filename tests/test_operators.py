@@ -46,6 +46,7 @@ def observed(spark):
         ("a.o", "2", "hook", "hook", "function", True, False, weak, False, ""),
         ("a.o", "3", "helper", "helper", "function", True, False, [], False, ""),
         ("a.o", "4", "helper.constprop.0", "helper.constprop.0", "function", True, False, [], True, "3"),
+        ("a.o", "10", "helper.constprop.0.isra.0", "helper.constprop.0.isra.0", "function", True, False, [], False, "4"),
         ("a.o", "5", "puts", "puts", "function", False, False, ["public"], False, ""),
         ("a.o", "6", "unused", "unused", "function", True, True, [], False, ""),
         ("a.o", "7", "table", "table", "variable", True, False, public, False, ""),
@@ -76,7 +77,7 @@ def test_observation_and_merge(observed):
     assert merged["c:src/a.c@F@helper"]["address_taken"]  # from its clone
     assert not merged["c:@F@puts"]["has_def"] and not merged["c:src/a.c@F@unused"]["has_def"]
     names = rows(symbol_ingest.merge_names(seen, clones).filter("usr = 'c:src/a.c@F@helper'"), "linkage_name")
-    assert names == [("helper",), ("helper.constprop.0",)]
+    assert names == [("helper",), ("helper.constprop.0",), ("helper.constprop.0.isra.0",)]
     definitions = rows(symbol_ingest.merge_definitions(seen).filter("usr in ('c:@F@main', 'c:@F@hook')"), "usr", "file", "line", "is_weak")
     assert definitions == [
         ("c:@F@hook", "src/a.c", 0, True), ("c:@F@hook", "src/b.c", 5, False),
