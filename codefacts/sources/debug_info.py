@@ -430,12 +430,10 @@ def function_pointers(dies: DataFrame, rendered: DataFrame, stripped: DataFrame)
 
 def register_of(expression: Column) -> Column:
     """Register a call target lives in, if the expression is just that register."""
-    forms = (
-        r"^(?:DW_OP_entry_value\(|DW_OP_GNU_entry_value\()?DW_OP_reg(\d+)(?: \w+)?\)?$",
-        r"^(?:DW_OP_entry_value\(|DW_OP_GNU_entry_value\()?DW_OP_regx (?:0x)?(\d+)(?: \w+)?\)?$",
-    )
-    found = [F.nullif(F.regexp_extract(expression, f, 1), F.lit("")) for f in forms]
-    return F.coalesce(*found).cast("int")
+    wrapped = r"^(?:DW_OP_entry_value\(|DW_OP_GNU_entry_value\()?{}(?: \w+)?\)?$"
+    short = F.regexp_extract(expression, wrapped.format(r"DW_OP_reg(\d+)"), 1)
+    extended = F.regexp_extract(expression, wrapped.format(r"DW_OP_regx (0x[0-9a-fA-F]+|\d+)"), 1)
+    return F.coalesce(_number(short), _number(extended)).cast("int")
 
 
 def argument_targets(sites: DataFrame, dies: DataFrame, stripped: DataFrame, pointers: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def test_call_targets(spark, dies, rendered, sites):
 @pytest.mark.parametrize(
     "expression, register",
     [
-        ("DW_OP_reg5 RDI", 5), ("DW_OP_entry_value(DW_OP_reg4 RSI)", 4), ("DW_OP_regx 0x11", 11),
+        ("DW_OP_reg5 RDI", 5), ("DW_OP_entry_value(DW_OP_reg4 RSI)", 4), ("DW_OP_regx 0x11", 17), ("DW_OP_regx 0x8 R8", 8),
         ("DW_OP_breg5 RDI+8", None), ("DW_OP_reg5 RDI, DW_OP_deref", None),
     ],
 )
@@ -274,7 +274,7 @@ def test_register_of(spark, expression, register):
 
     df = spark.createDataFrame([(expression,)], "e string")
     got = df.select(debug_info.register_of(F.col("e")).alias("r")).first()["r"]
-    assert got == register or expression.startswith("DW_OP_regx")
+    assert got == register
 
 
 def test_types_and_children(dies, rendered):
