@@ -3,7 +3,8 @@
 ``part`` and ``supplier`` become symbols, ``nation`` becomes link targets,
 ``lineitem`` becomes the relations between them (its line number tells which
 kind of record a row is), ``events`` become indirect call sites and the text
-tables become sources. Every row of a table takes part in some fact.
+tables become sources. Every line number stands for some kind of record; filters
+beyond that are part of what a record means (a body, a linked target).
 """
 
 from __future__ import annotations
