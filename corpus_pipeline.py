@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import mixing, packing, quality, secrets
+from codefacts.llm import jaccard, mixing, packing, quality, secrets
 from codefacts.llm.common import Scratch, table
 
 
@@ -20,6 +20,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies, the one with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked and ``n_chars`` counted again where a text changed."""
     clean = secrets.redact_secrets(docs, secrets.fit_formats(docs))
@@ -41,6 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
     ("secret scan", redact),
     ("source mixing", mix_sources),
     ("best-fit packing", pack_sequences),
