@@ -96,6 +96,15 @@ def sums_per_row(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return running[starts[1:]] - running[starts[:-1]]
 
 
-def order_by_hash(column: str, seed: int = 0):
-    """A repeatable pseudo-random order of rows, for bounded training samples."""
-    return F.xxhash64(F.col(column), F.lit(seed))
+def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows of ``df``, chosen by a hash of their key: all of them, if there are no more.
+
+    The rows are counted first and then filtered where they lie, so that no
+    task sends more than its share. The bound is made sure of by a limit, which
+    a hash of many equal keys might need.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    share = int(0.95 * most / n * (1 << 30))
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < share).limit(most)

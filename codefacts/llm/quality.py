@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import SPACE, Scratch, free_name, order_by_hash, require, sums_per_row, text_bytes, with_fields
+from codefacts.llm.common import SPACE, Scratch, bounded_sample, free_name, require, sums_per_row, text_bytes, with_fields
 from codefacts.llm.logistic import Logistic, fit
 
 #: The document model sees at most so many labelled rows, chosen by a hash of their id.
@@ -153,9 +153,8 @@ def fit_quality(
     slim = docs.select(F.col(key).alias("doc_key"), host.alias("host"), path.alias("path"), F.col(text).alias("body"))
     features = scratch.store(_evidence(slim, "body", "features").drop("body"), "features")
     marked = labels.select(F.col(key).alias("doc_key"), F.col(label).alias("label")).filter(F.col("label").isin(0, 1))
-    sample = (
-        features.select("doc_key", "features").join(marked, "doc_key").orderBy(order_by_hash("doc_key", 7), "doc_key").limit(max_labelled).toPandas()
-    )
+    known = scratch.store(features.select("doc_key", "features").join(marked, "doc_key"), "labelled")
+    sample = bounded_sample(known, "doc_key", max_labelled, 7).toPandas()
     x = np.array(sample["features"].tolist()) if len(sample) else np.zeros((0, len(FEATURES)))
     model = fit(x, sample["label"].to_numpy(float))
     weights = model.weights / model.scale

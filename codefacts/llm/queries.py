@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import jaccard, mixing, packing, quality, secrets, token_files, toxicity
+from codefacts.llm import embed_dedup, jaccard, mixing, packing, quality, secrets, token_files, toxicity
 from codefacts.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).vectors
+    return found.select(F.col("vec_key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mixing": op3_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import Scratch, order_by_hash, require, with_fields
+from codefacts.llm.common import Scratch, bounded_sample, require, with_fields
 
 # The base patterns, in the order in which ties are listed, and their least lengths.
 KINDS = ("assign", "access", "hex")
@@ -236,7 +236,7 @@ def fit_formats(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LAB
     counted = scratch.store(labelled_formats(docs, text).groupBy("label", "format").count(), "formats")
     secret, plain = {}, Automaton([{}], {s: log(1 / (len(SYMBOLS) + 1)) for s in (*SYMBOLS, END)})
     for label in (*KINDS, "plain"):
-        rows = counted.filter(F.col("label") == label).orderBy(order_by_hash("format", 3), "format").limit(max_labelled).collect()
+        rows = bounded_sample(counted.filter(F.col("label") == label), "format", max_labelled, 3).collect()
         # a copied credential must not outvote formats: its count weighs by its logarithm
         values = sorted((r["format"], 1 + int(log(r["count"]))) for r in rows)
         if label == "plain" and values:

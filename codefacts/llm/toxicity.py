@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import Scratch, order_by_hash, require, with_fields
+from codefacts.llm.common import Scratch, bounded_sample, require, with_fields
 from codefacts.llm.logistic import Logistic, fit
 
 #: Lexicon and score are learned from at most so many labelled rows, chosen by a hash of their id.
@@ -325,7 +325,7 @@ def fit_toxicity(
     require(docs, text, key)
     scratch = Scratch(docs.sparkSession, "toxicity")
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).filter("toxic IN (0, 1) AND key IS NOT NULL")
-    chosen = marked.orderBy(order_by_hash("key", 11), "key").limit(max_labelled)
+    chosen = bounded_sample(marked, "key", max_labelled, 11)
     bodies = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     # at most ``max_labelled`` rows of two numbers: the texts stay where they are
     known = scratch.store(bodies.join(F.broadcast(chosen), "key"), "labelled")
