@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import embed_dedup, jaccard, mixing, packing, quality, secrets, token_files, toxicity
+from codefacts.llm import ann, embed_dedup, jaccard, mixing, packing, quality, secrets, token_files, toxicity
 from codefacts.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = ann.fit_index(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return ann.search(index, index.rows.filter(F.col("vec_key") % 20 == 0))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     sums = packed.tokens.select("row", "piece", F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +83,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mixing": op3_source_mixing,
     "op5_toxicity": op5_toxicity,
