@@ -64,11 +64,9 @@ def _targets(cells: DataFrame, name: str, wanted: Mapping[object, float] | None,
     else:
         pulls = reduce(lambda c, kv: c.when(F.col(name).eqNullSafe(F.lit(kv[0])), F.lit(float(kv[1]))), wanted.items(), F)
         weighed = own.select(name, "own", (pulls.otherwise(0.0) if wanted else F.lit(0.0)).alias("pull"))
-    total = weighed.agg(F.sum("own").alias("all_own"), F.sum("pull").alias("all_pull"))
-    # One row beside every value of the marginal: the sums of the table itself.
-    return weighed.crossJoin(F.broadcast(total)).select(
-        name, F.when(F.col("all_pull") > 0, F.col("pull") * F.col("all_own") / F.col("all_pull")).otherwise(0.0).alias(f"target_{name}")
-    )
+    total = weighed.agg(F.sum("own").alias("own"), F.sum("pull").alias("pull")).first()
+    scale = total["own"] / total["pull"] if total["pull"] else 0.0
+    return weighed.select(name, (F.col("pull") * F.lit(float(scale))).alias(f"target_{name}"))
 
 
 def rake(cells: DataFrame, marginals: Sequence[str], targets: Mapping[str, Mapping[object, float] | None], rounds: int, flatten: float, scratch: Scratch) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import ann, embed_dedup, jaccard, mixing, packing, quality, secrets, token_files, toxicity
+from codefacts.llm import ann, embed_dedup, jaccard, mixing, packing, quality, repeats, secrets, token_files, toxicity
 from codefacts.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        F.col("doc_key").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
@@ -86,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mixing": op3_source_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_classifier": op7_quality_classifier,
