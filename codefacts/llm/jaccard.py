@@ -113,38 +113,59 @@ class _Order:
         return np.concatenate((rare, common))[:size]
 
 
-def _min_hashes(tokens: np.ndarray) -> list[int]:
-    """One number per band, from the smallest values under as many mixings."""
-    bands = np.zeros(BANDS, np.uint64)
-    for i in range(BANDS * BAND_WIDTH):
-        least = mix(tokens ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min()
-        band = i // BAND_WIDTH
-        bands[band : band + 1] = mix(bands[band : band + 1] * np.uint64(31) + least + np.uint64(band))
-    return to_signed(bands).tolist()
+def _bounds() -> np.ndarray:
+    step = (1 << 64) // (BANDS * BAND_WIDTH)
+    return np.array([i * step for i in range(BANDS * BAND_WIDTH)], np.uint64)
+
+
+def _min_hashes(tokens: np.ndarray, bounds: np.ndarray) -> list[int]:
+    """One number per band. Token numbers are random, so the first one from each of equally spaced
+    values on, going round at the end, is the smallest under one of as many orders."""
+    at = np.searchsorted(tokens, bounds)
+    least = mix(tokens[np.where(at < len(tokens), at, 0)] ^ bounds).reshape(BANDS, BAND_WIDTH)
+    return to_signed(mix(least.sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))).tolist()
+
+
+def _parity(tokens: np.ndarray) -> bytes:
+    """For each of 2n or more classes of tokens, whether an odd number of them falls into it."""
+    classes = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of how many tokens stand in just one of two sets, from their parities."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _signatures(slim: DataFrame, order: _Order, width: int, percent: int) -> DataFrame:
-    """doc_key, n, a digest of the set, its bands and its signature (64-bit little-endian numbers)."""
+    """doc_key, n, a digest of the set, its bands, parities and signature (64-bit little-endian numbers)."""
 
     def run(batches):
+        bounds = _bounds()
         for batch in batches:
-            n, one, two, bands, blobs = [], [], [], [], []
+            n, one, two, bands, parity, blobs = [], [], [], [], [], []
             for tokens in shingle_sets(batch.column(1), width):
                 n.append(len(tokens))
                 one.append(int(to_signed(tokens.sum(keepdims=True, dtype=np.uint64))[0]))
                 two.append(int(to_signed(mix(tokens).sum(keepdims=True, dtype=np.uint64))[0]))
-                bands.append(_min_hashes(tokens) if len(tokens) else [])
+                bands.append(_min_hashes(tokens, bounds) if len(tokens) else [])
+                parity.append(_parity(tokens) if len(tokens) else b"")
                 blobs.append(order.signature(tokens, signature_size(len(tokens), percent)).tobytes() if len(tokens) else b"")
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip((n, one, two, bands, blobs), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_key", "n", "d1", "d2", "bands", "signature"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip((n, one, two, bands, parity, blobs), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_key", "n", "d1", "d2", "bands", "parity", "signature"])
 
-    return slim.mapInArrow(run, "doc_key bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, signature binary")
+    return slim.mapInArrow(run, "doc_key bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, parity binary, signature binary")
 
 
 def _id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of a fixed-size filter: never misses an id, may let others through."""
-    slots = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("slot"))
+    """Bits of a fixed-size filter: never misses an id, may let others through. Tokens are random already, keys are hashed."""
+    slot = F.col(column).bitwiseAND(FILTER_BITS - 1) if column == "token" else F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    slots = ids.select(slot.alias("slot"))
     words = slots.select(F.expr("cast(slot div 32 AS int)").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 AS int))").alias("bits"))
     rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 32 rows
     out = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -168,6 +189,20 @@ def _whole_sets(slim: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return slotted.mapInArrow(run, "doc_key bigint, tokens binary")
 
 
+def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parities do not rule out: far fewer bytes than the sets, and never a link lost."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            gap = np.array([apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            most = (n + m - gap) // 2
+            yield batch.filter(pa.array(100 * most >= percent * (n + m - most))).select(["a", "b"])
+
+    of_a, of_b = (heads.select(F.col("doc_key").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, slim: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough, with the size of their common part."""
     ids = pairs.select(F.col("a").alias("doc_key")).unionByName(pairs.select(F.col("b").alias("doc_key")))
@@ -248,27 +283,33 @@ def _matrix(signed: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "grp"])
 
     packed = signed.select("signature", "grp").mapInArrow(gather, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(crossing, "token bigint, grp bigint")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(crossing, "token bigint, grp bigint")
 
 
 def _probes(signed: DataFrame, matrix: DataFrame) -> DataFrame:
     """(token, doc_key, grp, n, place) of signature tokens that the matrix holds."""
 
+    tokens = matrix.select("token").distinct()
+    bits = _id_filter(tokens, "token")
+
     def run(batches):
         for batch in batches:
             blobs = [np.frombuffer(b, np.int64) for b in batch.column(0).to_pylist()]
             if not blobs:
                 continue
             sizes = np.array([len(b) for b in blobs])
-            repeat = lambda i: np.repeat(batch.column(i).to_numpy(), sizes)
-            places = np.concatenate([np.arange(s) for s in sizes]).astype(np.int32)
-            columns = [np.concatenate(blobs), repeat(1), repeat(2), repeat(3).astype(np.int32), places]
+            token = np.concatenate(blobs)
+            slot = token & (FILTER_BITS - 1)
+            wanted = (bits[slot // 32] >> (slot % 32).astype(np.uint32)) & np.uint32(1) > 0
+            repeat = lambda i: np.repeat(batch.column(i).to_numpy(), sizes)[wanted]
+            places = np.concatenate([np.arange(s) for s in sizes])[wanted].astype(np.int32)
+            columns = [token[wanted], repeat(1), repeat(2), repeat(3).astype(np.int32), places]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "doc_key", "grp", "n", "place"])
 
     groups = matrix.select("grp").distinct()
     near = signed.join(groups, "grp", "left_semi").select("signature", "doc_key", "grp", "n")
     exploded = near.mapInArrow(run, "token bigint, doc_key bigint, grp bigint, n int, place int")
-    return exploded.join(matrix.select("token").distinct(), "token", "left_semi")
+    return exploded.join(tokens, "token", "left_semi")
 
 
 def _candidates(probes: DataFrame, matrix: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -314,22 +355,22 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     reps = scratch.store(known.groupBy("n", "d1", "d2").agg(F.min("doc_key").alias("rep")), "classes")
     heads = scratch.store(
         known.join(reps.select(F.col("rep").alias("doc_key"), "n", "d1", "d2"), ["doc_key", "n", "d1", "d2"], "left_semi")
-        .select("doc_key", "n", "d1", "d2", "bands").dropDuplicates(["doc_key", "n", "d1", "d2"]), "heads"
+        .select("doc_key", "n", "d1", "d2", "bands", "parity").dropDuplicates(["doc_key", "n", "d1", "d2"]), "heads"
     )
     light = scratch.store(signed.select("doc_key", "n", "d1", "d2"), "light")
-    stars = _verified(scratch.store(_leaders(heads), "leaders"), slim, width, percent, scratch, "stars")
+    stars = _verified(scratch.store(_plausible(_leaders(heads), heads, percent), "leaders"), slim, width, percent, scratch, "stars")
     grouped = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "groups")
-    groups = heads.drop("bands").join(grouped.withColumnRenamed("node", "doc_key"), "doc_key", "left")
+    groups = heads.drop("bands", "parity").join(grouped.withColumnRenamed("node", "doc_key"), "doc_key", "left")
     groups = groups.withColumn("grp", F.coalesce("component", "doc_key")).drop("component")
     sizes = groups.groupBy("grp").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"))
     same = ["doc_key", "n", "d1", "d2"]
-    placed = scratch.store(known.drop("bands").join(groups, same).select("doc_key", "n", "grp", "signature"), "placed")
+    placed = scratch.store(known.drop("bands", "parity").join(groups, same).select("doc_key", "n", "grp", "signature"), "placed")
     scratch.drop("signatures")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matrix = scratch.store(_matrix(placed, parts), "matrix")
     probes = scratch.store(_probes(placed, matrix), "probes")
     scratch.drop("placed")
-    pairs = scratch.store(_candidates(probes, matrix, sizes, percent, scratch), "pairs")
+    pairs = scratch.store(_plausible(_candidates(probes, matrix, sizes, percent, scratch), heads, percent), "pairs")
     scratch.drop("probes", "matrix", "opened", "heads")
     crossed = _verified(pairs, slim, width, percent, scratch, "crossed")
     links = stars.unionByName(crossed)
