@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from codefacts.session import ensure_checkpoint_dir, tune
 
-#: Texts may be long, so a batch holds fewer rows than Spark's default.
-BATCH_ROWS = 1000
+#: Texts may be long, so a batch holds fewer rows and bytes than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of every operator: adaptive execution and bounded Arrow batches."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

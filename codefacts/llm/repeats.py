@@ -46,7 +46,9 @@ NEAR = 64
 #: Bits of the filter of repeated grams. It never misses one; those that it lets through by chance cost work, not correctness.
 FILTER_BITS = 26
 #: Grams and bytes of segments that a task gathers before it sends or sorts them.
-GATHERED_GRAMS, GATHERED_BYTES = 1 << 20, 24 << 20
+GATHERED_GRAMS, GATHERED_BYTES = 1 << 20, 12 << 20
+#: Bytes of text of a block, the part of a run that travels as one value.
+BLOCK_BYTES = 1 << 20
 #: Splitters are sampled from at most so many strings.
 SAMPLED = 4000
 PLACE = np.uint64((1 << 26) - 1)
@@ -196,9 +198,17 @@ def _runs(slim: DataFrame, bits: np.ndarray, window: int, scratch: Scratch) -> t
         columns = [pa.array(c, k) for c, k in zip((kind, doc, mark, h1, h2, first, blob), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=["kind", "doc_key", "mark", "h1", "h2", "first", "blob"])
 
-    def run_of(found: dict) -> pa.RecordBatch:
-        run = sorted((Suffix(text, before, *rest) for (text, before), rest in found.items()), key=lambda s: (s.text, s.before))
-        return batch_of([1], [None], [None], [None], [None], [None], [encode(run)])
+    def run_of(found: dict) -> Iterator[pa.RecordBatch]:
+        """A run in blocks, each a range of the order that can be read by itself."""
+        order, block, size = sorted(found), [], 0
+        for text, before in order:
+            block.append(Suffix(text, before, *found[text, before]))
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield batch_of([1], [None], [None], [None], [None], [None], [encode(block)])
+                block, size = [], 0
+        if block:
+            yield batch_of([1], [None], [None], [None], [None], [None], [encode(block)])
 
     def build(batches) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[bytes, int], list[int]] = {}
@@ -222,10 +232,10 @@ def _runs(slim: DataFrame, bits: np.ndarray, window: int, scratch: Scratch) -> t
             if docs:
                 yield batch_of([0] * len(docs), docs, marks, ones, twos, firsts, [None] * len(docs))
             if held >= GATHERED_BYTES:
-                yield run_of(found)
+                yield from run_of(found)
                 found, held = {}, 0
         if found:
-            yield run_of(found)
+            yield from run_of(found)
 
     schema = "kind int, doc_key bigint, mark bigint, h1 bigint, h2 bigint, first bigint, blob binary"
     both = scratch.store(slim.select("doc_key", "mark", "body").mapInArrow(build, schema), "runs")
@@ -323,25 +333,30 @@ def _resolved(pieces: DataFrame, window: int) -> DataFrame:
 
     def merge(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        held, size, first = [], 0, True
-        last_gram: list[Suffix] = []
+        held, size = [], 0
+        own, own_size, gram, edge = [], 0, None, True  # segments of the anchor at hand; the first may begin in another range
         for s in merged([decode(b) for b in blobs]):
-            if last_gram and s.text[:GRAM] != last_gram[0].text[:GRAM]:
-                if first:
-                    yield from group(last_gram, True)
-                    first = False
+            if s.text[:GRAM] != gram:
+                if own and edge:
+                    yield from group(own, True)
                 else:
-                    held += last_gram
-                    size += sum(len(x.text) for x in last_gram)
-                last_gram = []
+                    held += own
+                    size += own_size
+                edge = gram is None
+                own, own_size, gram = [], 0, s.text[:GRAM]
                 if size >= GATHERED_BYTES // 4:
                     yield from group(held, False)
                     held, size = [], 0
-            last_gram.append(s)
+            elif own_size >= GATHERED_BYTES // 4:
+                # very many segments of one anchor are settled in parts that ask each other
+                yield from group(own, True)
+                own, own_size, edge = [], 0, True
+            own.append(s)
+            own_size += len(s.text)
         if held:
             yield from group(held, False)
-        if last_gram:
-            yield from group(last_gram, True)
+        if own:
+            yield from group(own, True)
 
     return pieces.mapInArrow(merge, _MERGED)
 
