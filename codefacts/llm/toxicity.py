@@ -26,7 +26,7 @@ from codefacts.llm.common import Scratch, bounded_sample, require, with_fields
 from codefacts.llm.logistic import Logistic, fit
 
 #: Lexicon and score are learned from at most so many labelled rows, chosen by a hash of their id.
-MAX_LABELLED = 50_000
+MAX_LABELLED = 20_000
 #: Words and stems of toxic rows that are counted in the other rows too, the most frequent ones.
 MAX_CANDIDATES = 100_000
 #: The lexicon holds at most so many terms, the most telling ones.
@@ -39,8 +39,10 @@ STEMS = (4, 5, 6)
 ONE_EDIT, TWO_EDITS = 5, 10
 #: Characters on each side of a hit that make its context.
 WINDOW = 48
-#: Misspellings looked up per worker are remembered up to this number.
+#: What is remembered per worker: words looked up, and beginnings of words that lead to no term.
 REMEMBERED = 200_000
+#: Letters of a beginning.
+BEGINNING = 5
 
 WORD = re.compile(r"[^\W_](?:[\w@$'’-]*[\w@$])?")
 # Signs of quotation, and words that report or refuse a term rather than use it (four languages).
@@ -141,8 +143,8 @@ class NearTerms:
                 reach(child, spent + (branch != letter))
         return self._state(reached)
 
-    def find(self, word: str) -> str | None:
-        """The nearest term within the edits, the first in alphabetical order among equals."""
+    def read(self, word: str) -> int:
+        """The state after the letters of ``word``; -1 if no term can begin like this."""
         if len(self.moves) > self.LIMIT:
             self._forget()
         state = 0
@@ -151,8 +153,15 @@ class NearTerms:
             if following is None:
                 following = self.moves[state, letter] = self._move(state, letter)
             if following < 0:
-                return None
+                return -1
             state = following
+        return state
+
+    def find(self, word: str) -> str | None:
+        """The nearest term within the edits, the first in alphabetical order among equals."""
+        state = self.read(word)
+        if state < 0:
+            return None
         ends = [(spent, node.term) for node, spent in self.states[state].values() if node.term is not None]
         return min(ends)[1] if ends else None
 
@@ -175,9 +184,39 @@ class Matcher:
             NearTerms([w for w in lexicon.words if len(w) >= TWO_EDITS], 2),
         ]
         self.memory: dict[str, tuple[str, float] | None] = {}
+        self.words = frozenset(lexicon.words)
+        self.stem_starts = frozenset(s[:BEGINNING] for s in lexicon.stems) | frozenset(s[:k] for s in lexicon.stems for k in range(1, BEGINNING))
+        self.leads: dict[str, bool] = {}
         lengths = [len(w) for w in lexicon.words if len(w) >= ONE_EDIT]
         self.least, self.most = (min(lengths) - 1, max(lengths) + 2) if lengths else (1, 0)
 
+    def hits(self, held: set[str]) -> dict[str, tuple[str, float]]:
+        """What the words are that are terms, begin with a stem or are near a term.
+
+        Most words are done with their beginning, read once by the automata.
+        """
+        found = {}
+        leads = self.leads
+        for word in held:
+            start = word[:BEGINNING]
+            lead = leads.get(start)
+            if lead is None:
+                lead = self._leads(start)
+            if lead and (hit := self.look(word)):
+                found[word] = hit
+        for word in held & self.words:
+            found[word] = ("exact", self.lexicon.words[word])
+        return found
+
+    def _leads(self, start: str) -> bool:
+        if len(self.leads) >= REMEMBERED:
+            self.leads.clear()
+        plain = start if start.isalpha() else start.translate(LOOKALIKES)
+        stem = start in self.stem_starts or any(start[:k] in self.lexicon.stems for k in STEMS)
+        near = any(automaton.read(plain) >= 0 for automaton in self.near)
+        self.leads[start] = lead = stem or near
+        return lead
+
     def look(self, word: str) -> tuple[str, float] | None:
         """(how, weight) of a word: exact, stem, or misspelled."""
         if word in self.memory:
@@ -196,7 +235,7 @@ class Matcher:
             return "stem", self.lexicon.stems[stem]
         if not self.least <= len(word) <= self.most:
             return None
-        plain = word.translate(LOOKALIKES)
+        plain = word if word.isalpha() else word.translate(LOOKALIKES)
         if plain != word and (term := self.trie.exact(plain)[0]):
             return "misspelled", self.lexicon.words[term]
         term = self.near[0].find(plain) or self.near[1].find(plain)
@@ -224,7 +263,7 @@ def features_of(text: str | None, matcher: Matcher) -> list[float]:
     weight = strongest = 0.0
     direct = cited = 0
     pieces = WORD.findall(low)
-    hits = {w: f for w in set(pieces) if (f := matcher.look(w))}
+    hits = matcher.hits(set(pieces))
     if hits:
         for m in WORD.finditer(low):
             found = hits.get(m[0])
