@@ -81,6 +81,11 @@ def local_path(uri: Column) -> Column:
     return F.url_decode(F.regexp_replace(F.replace(uri, F.lit("+"), F.lit("%2B")), r"^file:/+", "/"))
 
 
+def plain_path(uri: Column) -> Column:
+    """File path of a ``file:`` URI whose characters are not encoded, as in ``binaryFile``'s path column."""
+    return F.regexp_replace(uri, r"^file:/+", "/")
+
+
 def directory_of(path: Column) -> Column:
     """Everything before the last slash, ``.`` for a file at the root."""
     head = F.regexp_extract(path, r"^(.+)/[^/]*$", 1)

@@ -19,14 +19,16 @@ from codefacts.facts import Facts
 from codefacts.operators import common
 from codefacts.session import cut_lineage
 
-# Hop bound used when none, or one out of range, is given.
+# Hop bound used when none is given, and the greatest that can be.
 DEFAULT_DEPTH = 6
 GREATEST_DEPTH = 16
 
 
 def depth_bound(max_depth: int | None) -> int:
-    if max_depth is None or not 1 <= max_depth <= GREATEST_DEPTH:
+    if max_depth is None:
         return DEFAULT_DEPTH
+    if not 1 <= max_depth <= GREATEST_DEPTH:
+        raise ValueError(f"a path has between 1 and {GREATEST_DEPTH} calls, not {max_depth}")
     return max_depth
 
 
@@ -135,7 +137,7 @@ def first_call_paths(
     to_usr: str,
     max_depth: int | None = None,
     target: str | None = None,
-    limit: int = common.PAGE["call_paths"][0],
+    limit: int = common.PAGE["call_paths"],
     width: int = 100_000,
 ) -> DataFrame:
     """The first ``limit`` simple paths in name order, without listing the others.

@@ -12,20 +12,21 @@ CGRAPH = "compiler_cgraph"
 OBJDUMP = "objdump"
 LINKED_KINDS = ("executable", "shared_library")
 
-# Default and greatest page sizes of the capped queries, and the
-# number of context lines in a location snippet.
-SNIPPET_CONTEXT = 3
+# Fixed value: the number of context lines on each side in a location snippet.
+SNIPPET_CONTEXT = 5
+# The usual page of each query that can be paged. No query is cut unless a page is asked for,
+# except call paths, whose number grows exponentially.
 PAGE = {
-    "find_symbol": (100, 100),
-    "callers": (500, 500),
-    "call_paths": (50, 50),
-    "inline_rows": (50, 1000),
-    "find_type": (100, 2000),
-    "linkage_rows": (500, 2000),
-    "indirect_sites": (500, 2000),
-    "search_source": (200, 2000),
-    "search_top": (200, 200),
-    "sql_rows": (500, 10000),
+    "find_symbol": 100,
+    "callers": 500,
+    "call_paths": 50,
+    "inline_rows": 50,
+    "find_type": 100,
+    "linkage_rows": 500,
+    "indirect_sites": 500,
+    "search_source": 200,
+    "search_top": 200,
+    "sql_rows": 500,
 }
 
 
@@ -34,9 +35,11 @@ def value(x: Column | str | int) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def page_size(name: str, limit: int | None) -> int:
-    default, greatest = PAGE[name]
-    return default if limit is None else max(1, min(limit, greatest))
+def page_size(limit: int | None) -> int | None:
+    """A page as asked for; none means all rows."""
+    if limit is not None and limit < 1:
+        raise ValueError(f"a page has at least one row, not {limit}")
+    return limit
 
 
 def symbol_ref(facts: Facts) -> DataFrame:

@@ -44,7 +44,8 @@ def decisions(facts: Facts, usr: str | Column) -> DataFrame:
 def summary(facts: Facts, usr: str | Column, end: str = "caller_usr") -> DataFrame:
     """Exact counts whatever page is shown: ``(plane, key, inlined, n)`` rows.
 
-    Records count by pass and outcome, instances by nesting depth.
+    Records count by pass and outcome, instances by nesting depth, calls of
+    the compiler's graph by whether they were inlined.
     """
     u = common.value(usr)
     by_pass = (
@@ -59,7 +60,13 @@ def summary(facts: Facts, usr: str | Column, end: str = "caller_usr") -> DataFra
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit("instances").alias("plane"), "key", F.lit(1).alias("inlined"), "n")
     )
-    return by_pass.unionByName(by_depth)
+    by_edge = (
+        facts.inline_decisions.filter(F.col(end) == u)
+        .groupBy(F.col("inlined").cast("int").alias("inlined"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit("cgraph_edges").alias("plane"), F.lit("").alias("key"), "inlined", "n")
+    )
+    return by_pass.unionByName(by_depth).unionByName(by_edge)
 
 
 def per_object_verdicts(records: DataFrame, instances: DataFrame) -> DataFrame:

@@ -255,8 +255,9 @@ def search_by_directory(by_file: DataFrame) -> DataFrame:
     )
 
 
-def top_counts(counts: DataFrame, key: str, limit: int = common.PAGE["search_top"][0]) -> DataFrame:
-    return counts.orderBy(F.desc("n"), key).limit(limit)
+def top_counts(counts: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    ordered = counts.orderBy(F.desc("n"), key)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def search_summary(by_file: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -10,15 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import identity
+from codefacts.session import cut_lineage
 
 # Visibility words that decide linkage, and linkage by strength.
 PUBLIC_WORDS = ("public", "externally_visible")
 WEAK_WORD = "weak"
 LINKAGE_RANK = {"external": 3, "weak": 2, "common": 2, "internal": 1}
 
-# How many passes can specialise one function in a row.
-CLONE_DEPTH = 3
-
 
 def linkage_of(visibility: Column) -> Column:
     public = F.array_contains(visibility, PUBLIC_WORDS[0]) | F.array_contains(visibility, PUBLIC_WORDS[1])
@@ -69,20 +67,25 @@ def observe(nodes: DataFrame, ci_nodes: DataFrame, object_sources: DataFrame) ->
 def attribute_clones(nodes: DataFrame, observed: DataFrame) -> DataFrame:
     """Clones take their parent's identity within the object; orphans are dropped.
 
-    A clone's parent can be a clone itself, up to :data:`CLONE_DEPTH` deep.
+    A clone's parent can be a clone itself, to any depth: levels are resolved
+    until one resolves nothing new. Clones that only refer to each other never
+    meet a symbol and are orphans.
     """
     clones = nodes.filter(F.col("clone_of") != "").select(
         "object", "local_id", "clone_of", "name", "linkage_name", "address_taken"
     )
+    clones = cut_lineage(clones)
     parents, out = observed.select("object", "local_id", "usr"), None
-    for _ in range(CLONE_DEPTH):
+    while True:
         known = parents.select("object", F.col("local_id").alias("clone_of"), "usr")
         level = clones.join(known, ["object", "clone_of"]).select(
             "object", "local_id", "usr", "name", "linkage_name", "address_taken"
         )
+        level = cut_lineage(level)
         out = level if out is None else out.unionByName(level)
+        if level.isEmpty():
+            return out
         parents = level.select("object", "local_id", "usr")
-    return out
 
 
 def local_identities(observed: DataFrame, clones: DataFrame) -> DataFrame:

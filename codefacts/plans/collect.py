@@ -297,7 +297,7 @@ def source_plane(
         tree = (
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
             .select(
-                paths.relative_to(paths.local_path(F.col("path")), root).alias("key"),
+                paths.relative_to(paths.plain_path(F.col("path")), root).alias("key"),
                 F.col("modificationTime").alias("mtime"), "content",
             )
         )
@@ -322,7 +322,7 @@ def source_plane(
         root = pattern.strip().split("*")[0].rsplit("/", 1)[0] or "/"
         tree = (
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select(paths.local_path(F.col("path")).alias("key"), "content")
+            .select(paths.plain_path(F.col("path")).alias("key"), "content")
         )
         hits = packed.filter(F.col("bucket") == "external").select("key").join(tree, "key")
         external = hits if external is None else external.unionByName(hits)

@@ -1,12 +1,14 @@
 """The query surface: one method per question about a snapshot.
 
-Rows stay DataFrames, already ordered and cut to a page where the question has
-one. ``truncated`` says whether the page left something out. Unknown symbols,
-types and targets raise :class:`LookupError`.
+Rows stay DataFrames in a stable order. They are whole unless a page is asked
+for by ``limit``; ``truncated`` says whether the page left something out.
+Unknown symbols, types and targets raise :class:`LookupError`, bad limits
+:class:`ValueError`.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,7 @@ from codefacts.operators import (
 )
 from codefacts.plans import sql_query
 from codefacts.plans.snapshot import Catalog
+from codefacts.session import exists
 
 
 @dataclass
@@ -67,11 +70,14 @@ class Index:
         if target is not None:
             self._require(facts.targets.filter(F.col("name") == target), f"unknown target {target!r}")
 
-    def _paged(self, rows: DataFrame, keys: list, limit: int, **extra) -> Answer:
-        """Order and cut; one row more than the page is looked at to see if it cut anything."""
+    def _paged(self, rows: DataFrame, keys: list, limit: int | None, **extra) -> Answer:
+        """All rows in order, or a page of them; the page's rows and one more are taken once."""
         ordered = rows.orderBy(*keys)
-        cut = ordered.limit(limit + 1).count() > limit
-        return Answer(ordered.limit(limit), truncated=cut, **extra)
+        if common.page_size(limit) is None:
+            return Answer(ordered, **extra)
+        taken = ordered.limit(limit + 1).collect()
+        page = rows.sparkSession.createDataFrame(taken[:limit], rows.schema)
+        return Answer(page, truncated=len(taken) > limit, **extra)
 
     def _located(self, facts, rows: DataFrame, snippets: bool, keys: list, bounded: bool = True) -> DataFrame:
         """Rows with locations; the joins do not keep order, so a page is sorted again."""
@@ -96,8 +102,13 @@ class Index:
             ],
         }
 
-    def sql_query(self, sql: str, params=None, limit: int | None = None) -> dict:
-        return sql_query.sql_query(self._catalog.snapshot, sql, params, limit)
+    def sql_query(
+        self, sql: str, params=None, limit: int | None = None, timeout: float = sql_query.TIMEOUT_SECONDS
+    ) -> dict:
+        return sql_query.sql_query(self._catalog.snapshot, sql, params, limit, timeout)
+
+    def sql_frame(self, sql: str, params=None) -> DataFrame:
+        return sql_query.sql_frame(self._catalog.snapshot, sql, params)
 
     def reload_index(self) -> dict:
         return self._catalog.reload()
@@ -133,15 +144,25 @@ class Index:
             raise ValueError("comparing with live files needs project_root")
         return (
             self._facts.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select(paths.relative_to(paths.local_path(F.col("path")), root).alias("path"), "content")
+            .select(paths.relative_to(paths.plain_path(F.col("path")), root).alias("path"), "content")
         )
 
+    def _live_file(self, path: str) -> DataFrame:
+        """One file of the project, or no row where it does not exist."""
+        if not self._project_root:
+            raise ValueError("comparing with live files needs project_root")
+        spark, full = self._facts.spark, f"{self._project_root}/{path}"
+        if not exists(spark, full):
+            return spark.createDataFrame([], "path string, content binary")
+        escaped = re.sub(r"([\\*?\[\]{}])", r"\\\1", full)
+        return spark.read.format("binaryFile").load(escaped).select(F.lit(path).alias("path"), "content")
+
     def verify_source(self, path: str, expected_hash: str | None = None) -> Answer:
         facts = self._facts
         self._require(facts.sources.filter(F.col("path") == path), f"no indexed source at {path!r}")
         if expected_hash:
             return Answer(source_text.verify_source(facts, path, expected_hash))
-        return Answer(source_text.verify_live(facts, path, self._live()))
+        return Answer(source_text.verify_live(facts, path, self._live_file(path)))
 
     def list_source_drift(self, target: str | None = None, path_prefix: str = "") -> Answer:
         facts = self._facts
@@ -160,10 +181,12 @@ class Index:
         filters = dict(target=target, path_prefix=path_prefix, kind=kind, include_external=include_external)
         matches = source_text.search_matches(facts, pattern, regex, **filters)
         keys = ["table_ord", "path", "line", "column"]
-        answer = self._paged(matches, keys, common.page_size("search_source", limit))
+        if context < 0:
+            raise ValueError("context counts lines on each side, 0 or more")
+        answer = self._paged(matches, keys, limit)
         # Without context the window is the matching line itself.
-        lines = max(0, min(context, 20))
-        answer.rows = source_text.with_context(facts, answer.rows, lines, bounded=True).orderBy(*keys)
+        bounded = limit is not None
+        answer.rows = source_text.with_context(facts, answer.rows, context, bounded=bounded).orderBy(*keys)
         by_file = source_text.search_by_file(facts, pattern, regex, **filters)
         answer.parts = {
             "summary": source_text.search_summary(by_file, source_text.files(facts, **filters)),
@@ -195,11 +218,12 @@ class Index:
     # -- symbols -------------------------------------------------------------------
 
     def find_symbol(
-        self, query: str, exact: bool = False, kind: str | None = None, target: str | None = None
+        self, query: str, exact: bool = False, kind: str | None = None, target: str | None = None,
+        limit: int | None = None,
     ) -> Answer:
         facts = self._facts
         hits = symbols.find_symbol(facts, query, exact, kind, target)
-        answer = self._paged(hits, ["name", "usr"], common.PAGE["find_symbol"][0])
+        answer = self._paged(hits, ["name", "usr"], limit)
         answer.parts = {"targets": common.targets_of(facts, answer.rows)}
         if answer.rows.isEmpty():
             answer.note = symbols.empty_note(query, exact, target)
@@ -223,29 +247,30 @@ class Index:
 
     # -- call graph ------------------------------------------------------------------
 
-    def _neighbours(self, facts, rows: DataFrame) -> Answer:
-        answer = self._paged(rows, ["name", "usr"], common.PAGE["callers"][0])
+    def _neighbours(self, facts, rows: DataFrame, limit: int | None) -> Answer:
+        answer = self._paged(rows, ["name", "usr"], limit)
         answer.parts = {"targets": common.targets_of(facts, answer.rows)}
         return answer
 
-    def list_callers(self, callee_usr: str, target: str | None = None) -> Answer:
+    def list_callers(self, callee_usr: str, target: str | None = None, limit: int | None = None) -> Answer:
         facts = self._facts
         self._symbol(facts, callee_usr)
-        return self._neighbours(facts, callgraph.list_callers(facts, callee_usr, target))
+        return self._neighbours(facts, callgraph.list_callers(facts, callee_usr, target), limit)
 
-    def list_callees(self, caller_usr: str, target: str | None = None) -> Answer:
+    def list_callees(self, caller_usr: str, target: str | None = None, limit: int | None = None) -> Answer:
         facts = self._facts
         self._symbol(facts, caller_usr)
-        return self._neighbours(facts, callgraph.list_callees(facts, caller_usr, target))
+        return self._neighbours(facts, callgraph.list_callees(facts, caller_usr, target), limit)
 
     def list_call_paths(
-        self, from_usr: str, to_usr: str, max_depth: int | None = None, target: str | None = None
+        self, from_usr: str, to_usr: str, max_depth: int | None = None, target: str | None = None,
+        limit: int = common.PAGE["call_paths"],
     ) -> Answer:
         facts = self._facts
         self._symbol(facts, from_usr)
         self._symbol(facts, to_usr)
         self._target(facts, target)
-        limit = common.PAGE["call_paths"][0]
+        common.page_size(limit)
         found = call_paths.first_call_paths(facts, from_usr, to_usr, max_depth, target, limit + 1)
         return self._paged(found, ["names", "usrs"], limit)
 
@@ -268,7 +293,7 @@ class Index:
     ) -> Answer:
         facts = self._facts
         self._symbol(facts, caller_usr)
-        n = common.page_size("inline_rows", limit)
+        n = common.page_size(limit)
         by_pass, by_depth = (
             [first, "callee", "file", "line", "column"] for first in ("pass", "depth")
         )
@@ -290,7 +315,7 @@ class Index:
     ) -> Answer:
         facts = self._facts
         self._symbol(facts, callee_usr)
-        n = common.page_size("inline_rows", limit)
+        n = common.page_size(limit)
         by_pass, by_depth = (
             [first, "caller", "file", "line", "column"] for first in ("pass", "depth")
         )
@@ -315,7 +340,7 @@ class Index:
         self._symbol(facts, callee_usr)
         overall, per_object = inlining.explain_call(facts, caller_usr, callee_usr, target)
         this = F.col("callee_usr") == callee_usr
-        n = common.page_size("inline_rows", limit)
+        n = common.page_size(limit)
         by_pass, by_depth = ([first, "file", "line", "column"] for first in ("pass", "depth"))
         records = self._paged(inlining.records(facts, caller_usr).filter(this), by_pass, n)
         bodies = self._paged(inlining.instances(facts, caller_usr).filter(this), by_depth, n)
@@ -336,7 +361,7 @@ class Index:
     ) -> Answer:
         facts = self._facts
         rows = types.find_type(facts, query, exact, kind)
-        answer = self._paged(rows, ["ord", "name", "usr"], common.page_size("find_type", limit))
+        answer = self._paged(rows, ["ord", "name", "usr"], common.page_size(limit))
         if answer.rows.isEmpty():
             answer.note = types.empty_note(query, exact)
         return answer
@@ -362,7 +387,7 @@ class Index:
         facts = self._facts
         rows = indirect.list_indirect_call_sites(facts, caller_usr, callee_type, target)
         keys = ["file", "line", "column", "site_id"]
-        answer = self._paged(rows, keys, common.page_size("indirect_sites", limit))
+        answer = self._paged(rows, keys, common.page_size(limit))
         answer.rows = self._located(facts, answer.rows, include_snippets, keys)
         return answer
 
@@ -410,7 +435,7 @@ class Index:
         facts = self._facts
         self._target(facts, target)
         rows = linkage.list_unreachable_symbols(facts, target)
-        return self._paged(rows, ["name", "usr"], common.page_size("linkage_rows", limit))
+        return self._paged(rows, ["name", "usr"], common.page_size(limit))
 
     def list_entry_points(
         self, target: str, limit: int | None = None, include_snippets: bool = False
@@ -419,7 +444,7 @@ class Index:
         self._target(facts, target)
         rows = linkage.list_entry_points(facts, target)
         keys = [F.desc("is_main"), "name", "usr"]
-        answer = self._paged(rows, keys, common.page_size("linkage_rows", limit))
+        answer = self._paged(rows, keys, common.page_size(limit))
         answer.rows = self._located(facts, answer.rows, include_snippets, keys)
         answer.note = "Constructors and init-array entries are not classified."
         return answer

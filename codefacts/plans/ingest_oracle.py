@@ -286,7 +286,8 @@ ORACLE: dict[str, str] = {
         SELECT usr, name, 'function' AS kind, linkage, CAST(taken AS BIGINT) AS address_taken,
                CAST(has_def AS BIGINT) AS has_def FROM merged
         WHERE has_def OR taken OR linkage <> 'internal' OR usr IN (
-          SELECT caller_usr FROM resolved_calls WHERE inl UNION SELECT callee_usr FROM resolved_calls WHERE inl
+          SELECT caller_usr FROM resolved_calls UNION SELECT callee_usr FROM resolved_calls
+          UNION SELECT caller_usr FROM resolved_records UNION SELECT callee_usr FROM resolved_records
           UNION SELECT winner_usr FROM resolved_folds UNION SELECT loser_usr FROM resolved_folds)""",
     "assign_ids": "SELECT row_number() OVER (ORDER BY usr) AS id, usr FROM symbols",
     "target_ids": "SELECT row_number() OVER (ORDER BY name) AS id, name FROM targets",

@@ -299,10 +299,9 @@ def _referenced(facts: Facts, seed: Seed) -> DataFrame:
 
 @query("prune_unreferenced")
 def _prune(facts: Facts, seed: Seed) -> DataFrame:
-    """Pruned with compiler-plane references only: calls and folds."""
+    """Pruned by every reference: calls, records and folds."""
     c = compiled_of(seed)
-    nothing = c.records.limit(0)
-    referenced = symbol_ingest.referenced_usrs(c.calls.filter("inlined"), nothing, c.folds)
+    referenced = symbol_ingest.referenced_usrs(c.calls, c.records, c.folds)
     return longs(symbol_ingest.prune_unreferenced(c.symbols, referenced))
 
 

@@ -384,7 +384,7 @@ ORACLE: dict[str, str] = {
     "plane_diff": """
         SELECT caller_usr, callee_usr FROM cgraph EXCEPT SELECT caller_usr, callee_usr FROM linked_calls""",
     "list_call_paths": f"SELECT * FROM ({_PATHS} AND hops <= 6 ORDER BY paths.names, paths.usrs LIMIT 50)",
-    "simple_paths": f"{_PATHS} AND hops <= 5",
+    "simple_paths": f"{_PATHS} AND hops <= 6",
     "find_symbol_fts": f"{_FTS} ORDER BY name, usr LIMIT 100",
     "find_symbol_fts_all": _FTS,
     "find_symbol_target": f"""{_FTS} AND kind = 'function' AND usr IN (SELECT usr FROM kept)
@@ -399,21 +399,21 @@ ORACLE: dict[str, str] = {
     "describe_symbol_definitions": """
         SELECT d.file, d.line, d.decl_file, d.decl_line, CAST(d.is_weak AS BIGINT) AS is_weak,
                d.linkage_name, coalesce(s.blob_hash, '') AS blob_hash,
-               CASE WHEN greatest(d.line - 3, 1) <= least(d.line + 3, len(b.rows)) AND d.line > 0
-                    THEN greatest(d.line - 3, 1) ELSE 0 END AS start_line,
-               CASE WHEN greatest(d.line - 3, 1) <= least(d.line + 3, len(b.rows)) AND d.line > 0
-                    THEN least(d.line + 3, len(b.rows)) ELSE 0 END AS end_line,
-               coalesce(array_to_string(b.rows[greatest(d.line - 3, 1):d.line + 3], chr(10)), '') AS snippet
+               CASE WHEN greatest(d.line - 5, 1) <= least(d.line + 5, len(b.rows)) AND d.line > 0
+                    THEN greatest(d.line - 5, 1) ELSE 0 END AS start_line,
+               CASE WHEN greatest(d.line - 5, 1) <= least(d.line + 5, len(b.rows)) AND d.line > 0
+                    THEN least(d.line + 5, len(b.rows)) ELSE 0 END AS end_line,
+               coalesce(array_to_string(b.rows[greatest(d.line - 5, 1):d.line + 5], chr(10)), '') AS snippet
         FROM symbol_definitions d LEFT JOIN sources s ON s.path = d.file
         LEFT JOIN blob_lines b ON b.hash = s.blob_hash
         WHERE d.usr = (SELECT usr FROM top_defined)""",
     "location_snippets": """
         SELECT d.file, d.line, s.blob_hash,
-               CASE WHEN greatest(d.line - 3, 1) <= least(d.line + 3, len(b.rows)) AND d.line > 0
-                    THEN greatest(d.line - 3, 1) ELSE 0 END AS start_line,
-               CASE WHEN greatest(d.line - 3, 1) <= least(d.line + 3, len(b.rows)) AND d.line > 0
-                    THEN least(d.line + 3, len(b.rows)) ELSE 0 END AS end_line,
-               sha256(coalesce(array_to_string(b.rows[greatest(d.line - 3, 1):d.line + 3], chr(10)), ''))
+               CASE WHEN greatest(d.line - 5, 1) <= least(d.line + 5, len(b.rows)) AND d.line > 0
+                    THEN greatest(d.line - 5, 1) ELSE 0 END AS start_line,
+               CASE WHEN greatest(d.line - 5, 1) <= least(d.line + 5, len(b.rows)) AND d.line > 0
+                    THEN least(d.line + 5, len(b.rows)) ELSE 0 END AS end_line,
+               sha256(coalesce(array_to_string(b.rows[greatest(d.line - 5, 1):d.line + 5], chr(10)), ''))
                  AS text_hash
         FROM (SELECT DISTINCT file, line FROM symbol_definitions) d
         LEFT JOIN sources s ON s.path = d.file LEFT JOIN blob_lines b ON b.hash = s.blob_hash""",
@@ -475,7 +475,10 @@ ORACLE: dict[str, str] = {
         FROM inline_records WHERE caller_usr = (SELECT usr FROM top_inliner) GROUP BY ALL
         UNION ALL
         SELECT 'instances', CAST(depth AS VARCHAR), 1, count(*)
-        FROM inline_instances WHERE caller_usr = (SELECT usr FROM top_inliner) GROUP BY ALL""",
+        FROM inline_instances WHERE caller_usr = (SELECT usr FROM top_inliner) GROUP BY ALL
+        UNION ALL
+        SELECT 'cgraph_edges', '', CAST(inlined AS BIGINT), count(*)
+        FROM inline_decisions WHERE caller_usr = (SELECT usr FROM top_inliner) GROUP BY ALL""",
     "describe_inlining_records": """
         SELECT r.* REPLACE (CAST(r.inlined AS BIGINT) AS inlined), a.name AS caller, b.name AS callee
         FROM inline_records r JOIN symbols a ON a.usr = r.caller_usr JOIN symbols b ON b.usr = r.callee_usr

@@ -145,32 +145,32 @@ def _blobs(facts: Facts, seed: Seed) -> DataFrame:
 @query("list_callers")
 def _list_callers(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.CGRAPH, "callee_usr")
-    return symbols.page(callgraph.list_callers(facts, usr), common.PAGE["callers"][0])
+    return symbols.page(callgraph.list_callers(facts, usr), common.PAGE["callers"])
 
 
 @query("list_callers_target")
 def _list_callers_target(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.CGRAPH, "callee_usr")
-    return symbols.page(callgraph.list_callers(facts, usr, TARGET), common.PAGE["callers"][0])
+    return symbols.page(callgraph.list_callers(facts, usr, TARGET), common.PAGE["callers"])
 
 
 @query("list_callers_targets_of_hits")
 def _list_callers_hits(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.CGRAPH, "callee_usr")
-    hits = symbols.page(callgraph.list_callers(facts, usr), common.PAGE["callers"][0])
+    hits = symbols.page(callgraph.list_callers(facts, usr), common.PAGE["callers"])
     return common.targets_of(facts, hits)
 
 
 @query("list_callees")
 def _list_callees(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.CGRAPH, "caller_usr")
-    return symbols.page(callgraph.list_callees(facts, usr), common.PAGE["callers"][0])
+    return symbols.page(callgraph.list_callees(facts, usr), common.PAGE["callers"])
 
 
 @query("list_callees_target")
 def _list_callees_target(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.CGRAPH, "caller_usr")
-    return symbols.page(callgraph.list_callees(facts, usr, TARGET), common.PAGE["callers"][0])
+    return symbols.page(callgraph.list_callees(facts, usr, TARGET), common.PAGE["callers"])
 
 
 @query("list_linked_callers")
@@ -225,9 +225,9 @@ def _call_paths(facts: Facts, seed: Seed) -> DataFrame:
 
 @query("simple_paths")
 def _simple_paths(facts: Facts, seed: Seed) -> DataFrame:
-    """All simple paths, no page, one hop deeper cut off."""
+    """All simple paths of the usual depth, no page."""
     a, b = _path_ends(facts)
-    return _joined_paths(call_paths.list_call_paths(facts, a, b, max_depth=5))
+    return _joined_paths(call_paths.list_call_paths(facts, a, b))
 
 
 # -- symbols --------------------------------------------------------------------
@@ -235,7 +235,7 @@ def _simple_paths(facts: Facts, seed: Seed) -> DataFrame:
 
 @query("find_symbol_fts")
 def _find_fts(facts: Facts, seed: Seed) -> DataFrame:
-    return symbols.page(symbols.find_symbol(facts, SYMBOL_QUERY), common.PAGE["find_symbol"][0])
+    return symbols.page(symbols.find_symbol(facts, SYMBOL_QUERY), common.PAGE["find_symbol"])
 
 
 @query("find_symbol_fts_all")
@@ -246,7 +246,7 @@ def _find_fts_all(facts: Facts, seed: Seed) -> DataFrame:
 @query("find_symbol_target")
 def _find_target(facts: Facts, seed: Seed) -> DataFrame:
     hits = symbols.find_symbol(facts, SYMBOL_QUERY, kind="function", target=TARGET)
-    return symbols.page(hits, common.PAGE["find_symbol"][0])
+    return symbols.page(hits, common.PAGE["find_symbol"])
 
 
 def _clone_name(facts: Facts):
@@ -426,7 +426,7 @@ def _icf_losers(facts: Facts, seed: Seed) -> DataFrame:
 @query("list_unreachable_symbols")
 def _unreachable(facts: Facts, seed: Seed) -> DataFrame:
     rows = linkage.list_unreachable_symbols(facts, TARGET)
-    return longs(symbols.page(rows, common.PAGE["linkage_rows"][0]))
+    return longs(symbols.page(rows, common.PAGE["linkage_rows"]))
 
 
 @query("list_unreachable_symbols_all")
@@ -446,7 +446,7 @@ def _unreachable_static(facts: Facts, seed: Seed) -> DataFrame:
 @query("list_entry_points")
 def _entry_points(facts: Facts, seed: Seed) -> DataFrame:
     rows = linkage.list_entry_points(facts, TARGET)
-    page = rows.orderBy(F.desc("is_main"), "name", "usr").limit(common.PAGE["linkage_rows"][0])
+    page = rows.orderBy(F.desc("is_main"), "name", "usr").limit(common.PAGE["linkage_rows"])
     return longs(page)
 
 
@@ -523,7 +523,7 @@ def _indirect_sites(facts: Facts, seed: Seed) -> DataFrame:
 @query("list_indirect_call_sites_target")
 def _indirect_sites_target(facts: Facts, seed: Seed) -> DataFrame:
     rows = indirect.list_indirect_call_sites(facts, callee_type="int (int, int)", target=TARGET)
-    page = rows.orderBy("file", "line", "column", "site_id").limit(common.PAGE["indirect_sites"][0])
+    page = rows.orderBy("file", "line", "column", "site_id").limit(common.PAGE["indirect_sites"])
     return longs(page.withColumnRenamed("column", "col"))
 
 
@@ -560,7 +560,7 @@ def _resolve_counts(facts: Facts, seed: Seed) -> DataFrame:
 @query("find_type")
 def _find_type(facts: Facts, seed: Seed) -> DataFrame:
     rows = types.find_type(facts, TYPE_QUERY)
-    page = rows.orderBy("ord", "name", "usr").limit(common.PAGE["find_type"][0])
+    page = rows.orderBy("ord", "name", "usr").limit(common.PAGE["find_type"])
     return longs(page)
 
 
@@ -667,7 +667,7 @@ def _search_matches(facts: Facts, seed: Seed) -> DataFrame:
 @query("search_source_page")
 def _search_page(facts: Facts, seed: Seed) -> DataFrame:
     rows = source_text.search_matches(facts, TEXT_PATTERN)
-    page = rows.orderBy("table_ord", "path", "line", "column").limit(common.PAGE["search_source"][0])
+    page = rows.orderBy("table_ord", "path", "line", "column").limit(common.PAGE["search_source"])
     shown = source_text.with_context(facts, page, 1, bounded=True)
     return longs(
         shown.select(
@@ -686,13 +686,13 @@ def _search_regex(facts: Facts, seed: Seed) -> DataFrame:
 @query("search_source_by_file")
 def _search_by_file(facts: Facts, seed: Seed) -> DataFrame:
     by_file = source_text.search_by_file(facts, TEXT_PATTERN)
-    return source_text.top_counts(by_file, "path")
+    return source_text.top_counts(by_file, "path", common.PAGE["search_top"])
 
 
 @query("search_source_by_dir")
 def _search_by_dir(facts: Facts, seed: Seed) -> DataFrame:
     by_file = source_text.search_by_file(facts, TEXT_PATTERN)
-    return source_text.top_counts(source_text.search_by_directory(by_file), "directory")
+    return source_text.top_counts(source_text.search_by_directory(by_file), "directory", common.PAGE["search_top"])
 
 
 @query("search_source_summary")

@@ -113,9 +113,13 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def row_limit(limit: int | None) -> int:
-    """Out-of-range limits fall back to the default instead of clamping."""
-    default, greatest = common.PAGE["sql_rows"]
-    return limit if limit is not None and 1 <= limit <= greatest else default
+    """Rows that come to the driver: as many as asked for, or the usual page."""
+    return common.PAGE["sql_rows"] if limit is None else common.page_size(limit)
+
+
+def sql_frame(snapshot: Snapshot, sql: str, params=None) -> DataFrame:
+    """All rows of one read-only query, as a DataFrame that nothing cuts or cancels."""
+    return _shown(guarded(snapshot, sql, params))
 
 
 def sql_query(
@@ -123,7 +127,7 @@ def sql_query(
 ) -> dict:
     """Rows of one read-only query, at most ``limit``, cancelled after ``timeout`` seconds."""
     n = row_limit(limit)
-    df = _shown(guarded(snapshot, sql, params))
+    df = sql_frame(snapshot, sql, params)
     session = snapshot.facts.spark
     tag = f"codefacts-sql-{uuid.uuid4().hex}"
     timer = threading.Timer(timeout, lambda: session.interruptTag(tag))

@@ -61,6 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and return a frame that reads the result."""
     ensure_checkpoint_dir(df.sparkSession)

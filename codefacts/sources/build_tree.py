@@ -27,7 +27,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(root)
         .select(
-            paths.local_path(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), "length"
+            paths.plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), "length"
         )
     )
 

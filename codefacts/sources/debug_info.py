@@ -39,8 +39,6 @@ QUALIFIERS = ("const_type", "volatile_type", "typedef", "restrict_type")
 AGGREGATES = ("structure_type", "union_type", "array_type", "class_type")
 RECORD_TAGS = {"structure_type": "struct", "union_type": "union"}
 TAGGED = {**RECORD_TAGS, "enumeration_type": "enum"}
-# Fixed value: a chain of references longer than this is malformed.
-LONGEST_CHAIN = 32
 
 
 def _number(raw: Column) -> Column:
@@ -137,6 +135,7 @@ def enclosing(dies: DataFrame, tag: str) -> DataFrame:
     """For entries of one tag: the physical function, innermost inlined body and nesting.
 
     Climbs one level per round, only for entries that have not met a function.
+    Parents form a tree, so every entry arrives or leaves at the top.
     """
     parents = cut_lineage(
         dies.select("file", F.col("offset").alias("at"), "tag", "parent").join(
@@ -151,7 +150,7 @@ def enclosing(dies: DataFrame, tag: str) -> DataFrame:
         F.lit(0).alias("inlined_levels"),
     )
     done: DataFrame | None = None
-    for _ in range(LONGEST_CHAIN):
+    while True:
         step = climbing.join(parents, ["file", "at"])
         is_body = F.col("tag") == "inlined_subroutine"
         step = cut_lineage(
@@ -262,9 +261,7 @@ def render_types(dies: DataFrame) -> DataFrame:
     started = types.withColumn("text", leaf)
     rendered = cut_lineage(started.filter(F.col("text").isNotNull()).select("file", "offset", "text"))
     waiting = cut_lineage(started.filter(F.col("text").isNull()).drop("text"))
-    for _ in range(LONGEST_CHAIN):
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():
         inner = rendered.select("file", F.col("offset").alias("type_ref"), F.col("text").alias("inner"))
         plain = waiting.filter(tag != "subroutine_type").join(inner, ["file", "type_ref"])
         text = (
@@ -398,16 +395,17 @@ def stripped_types(dies: DataFrame) -> DataFrame:
         )
     )
     through = F.col("tag").isin(*QUALIFIERS) & F.col("type_ref").isNotNull()
-    done = types.filter(~through).select("file", "offset", F.col("offset").alias("base"))
-    walking = types.filter(through).select("file", "offset", F.col("type_ref").alias("at"))
-    step = types.select("file", F.col("offset").alias("at"), through.alias("more"), F.col("type_ref").alias("next"))
-    for _ in range(LONGEST_CHAIN):
-        moved = cut_lineage(walking.join(step, ["file", "at"]))
-        done = done.unionByName(moved.filter("NOT more").select("file", "offset", F.col("at").alias("base")))
-        walking = moved.filter("more").select("file", "offset", F.col("next").alias("at"))
-        if walking.isEmpty():
-            break
-    return done
+    ends = types.filter(~through).select("file", "offset")
+    jumps = cut_lineage(types.filter(through).select("file", "offset", F.col("type_ref").alias("at")))
+    # Every round doubles the distance, so what has not arrived after as many rounds as the count has
+    # binary digits goes round in a circle and has no base.
+    for _ in range(jumps.count().bit_length() + 1):
+        onward = jumps.select("file", F.col("offset").alias("at"), F.col("at").alias("next"))
+        jumps = cut_lineage(
+            jumps.join(onward, ["file", "at"], "left").select("file", "offset", F.coalesce("next", "at").alias("at"))
+        )
+    arrived = jumps.join(ends.withColumnRenamed("offset", "at"), ["file", "at"], "left_semi")
+    return ends.withColumn("base", F.col("offset")).unionByName(arrived.withColumnRenamed("at", "base"))
 
 
 def function_pointers(dies: DataFrame, rendered: DataFrame, stripped: DataFrame) -> DataFrame:

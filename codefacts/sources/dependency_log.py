@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import struct
 from collections.abc import Iterator
 from itertools import islice
@@ -10,7 +10,9 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyarrow import fs as arrow_fs
 
+from codefacts.session import exists
 
 # File name, signature, version and record limits.
 LOG_NAME = ".ninja_deps"
@@ -23,7 +25,7 @@ ROWS_PER_FRAME = 50_000
 
 
 def entries(data: bytes) -> Iterator[tuple[int, str, int, str]]:
-    """``(sequence, output, ordinal, input)`` of one log; a cut-off tail is ignored."""
+    """``(sequence, output, ordinal, input)`` of one log; a cut-off tail is ignored, a wrong size is an error."""
     start = len(MAGIC) + 4
     if not data.startswith(MAGIC):
         raise ValueError("not a dependency log")
@@ -34,7 +36,9 @@ def entries(data: bytes) -> Iterator[tuple[int, str, int, str]]:
     while at + 4 <= len(data):
         (word,) = struct.unpack_from("<I", data, at)
         size, at = word & ~DEPS_BIT, at + 4
-        if not 4 <= size <= GREATEST_RECORD or at + size > len(data):
+        if not 4 <= size <= GREATEST_RECORD:
+            raise ValueError(f"a dependency record of {size} bytes at byte {at - 4}")
+        if at + size > len(data):
             return
         if word & DEPS_BIT:
             if size < 12 or size % 4:
@@ -81,17 +85,27 @@ def dependencies(logs: DataFrame) -> DataFrame:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        present = batch[[os.path.exists(p) for p in batch["file"]]]
-        for file in present["file"]:
-            with open(file, "rb") as log:
+        for file in batch["file"]:
+            with _opened(file) as log:
                 yield pd.DataFrame({"file": [file], "content": [log.read()]})
 
 
+def _opened(file: str):
+    """A log that is known to exist: a task that cannot reach it fails."""
+    local = re.sub(r"^file:/+", "/", file)
+    if ":/" not in local:
+        return open(local, "rb")
+    system, path = arrow_fs.FileSystem.from_uri(file)
+    return system.open_input_file(path)
+
+
 def read_dependencies(spark: SparkSession, *build_dirs: str) -> DataFrame:
     """Dependencies of one or more builds; a build without a log has none.
 
-    The log's name starts with a dot, which Spark's file sources leave out, so
-    each log is opened by the task that parses it.
+    Whether a log exists is asked of its own file system here. Its name starts
+    with a dot, which Spark's file sources leave out, so each log is opened by
+    the task that parses it.
     """
-    files = spark.createDataFrame([(f"{d.rstrip('/')}/{LOG_NAME}",) for d in build_dirs], "file string")
+    named = [f"{d.rstrip('/')}/{LOG_NAME}" for d in build_dirs]
+    files = spark.createDataFrame([(f,) for f in named if exists(spark, f)], "file string")
     return dependencies(files.mapInPandas(_read, "file string, content binary"))

@@ -7,6 +7,7 @@ a disassembly larger than memory never exists as one value.
 from __future__ import annotations
 
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from itertools import islice
 
@@ -36,9 +37,9 @@ def run(files: DataFrame, command: tuple[str, ...], keep: str | None = None) ->
         wanted = re.compile(keep).search if keep else (lambda line: True)
         for batch in batches:
             for file, path in zip(batch["file"], batch["path"]):
-                with subprocess.Popen(
-                    [*command, path], stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True,
-                    errors="replace",
+                # Messages go to a file: a pipe that nobody reads meanwhile would fill up and stop the tool.
+                with tempfile.TemporaryFile() as messages, subprocess.Popen(
+                    [*command, path], stdout=subprocess.PIPE, stderr=messages, text=True, errors="replace"
                 ) as process:
                     numbered = (
                         (n, line.rstrip("\n")) for n, line in enumerate(process.stdout)
@@ -53,9 +54,10 @@ def run(files: DataFrame, command: tuple[str, ...], keep: str | None = None) ->
                                 "line": [line for _, line in chunk],
                             }
                         )
-                    message = process.stderr.read()
-                if process.returncode:
-                    raise RuntimeError(f"{command[0]} failed on {path}: {message[:500]}")
+                    if process.wait():
+                        messages.seek(0)
+                        message = messages.read(500).decode(errors="replace")
+                        raise RuntimeError(f"{command[0]} failed on {path}: {message}")
 
     # Small batches: one inspection can be long, so work is handed out finely.
     return files.select("file", "path").repartition("file", "path").mapInPandas(

@@ -353,7 +353,10 @@ def test_paths_order_and_depth(spark):
     found = call_paths.ordered(call_paths.list_call_paths(facts, "s", "e")).collect()
     assert [list(r["names"]) for r in found] == [["s", "aa", "e"], ["s", "zz", "aa", "e"], ["s", "zz", "e"]]
     assert [tuple(r) for r in call_paths.list_call_paths(facts, "s", "s").collect()] == [(["s"], ["s"], 0)]
-    assert call_paths.depth_bound(0) == call_paths.depth_bound(17) == 6 and call_paths.depth_bound(16) == 16
+    assert call_paths.depth_bound(None) == 6 and call_paths.depth_bound(16) == 16
+    for depth in (0, 17):
+        with pytest.raises(ValueError, match="between 1 and 16"):
+            call_paths.depth_bound(depth)
     assert call_paths.list_call_paths(facts, "s", "e", 1).count() == 0
 
 
