@@ -669,5 +669,13 @@ def render(sql: str) -> str:
     return f"WITH RECURSIVE {body}\n{text}"
 
 
+# The uncut form of a paged query is its SQL without the page.
+UNCUT = (
+    "list_callers", "list_callers_target", "list_callees", "list_callees_target", "find_symbol_target", "find_type",
+    "list_indirect_call_sites_target", "search_source_by_file", "search_source_by_dir",
+)
+ORACLE |= {f"{name}_all": re.sub(r"\s+ORDER BY [^()]* LIMIT \d+\s*$", "", ORACLE[name]) for name in UNCUT}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: render(sql) for name, sql in ORACLE.items()}

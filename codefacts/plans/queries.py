@@ -154,6 +154,16 @@ def _list_callers_target(facts: Facts, seed: Seed) -> DataFrame:
     return symbols.page(callgraph.list_callers(facts, usr, TARGET), common.PAGE["callers"])
 
 
+@query("list_callers_all")
+def _list_callers_all(facts: Facts, seed: Seed) -> DataFrame:
+    return callgraph.list_callers(facts, callgraph.busiest(facts, common.CGRAPH, "callee_usr"))
+
+
+@query("list_callers_target_all")
+def _list_callers_target_all(facts: Facts, seed: Seed) -> DataFrame:
+    return callgraph.list_callers(facts, callgraph.busiest(facts, common.CGRAPH, "callee_usr"), TARGET)
+
+
 @query("list_callers_targets_of_hits")
 def _list_callers_hits(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.CGRAPH, "callee_usr")
@@ -173,6 +183,16 @@ def _list_callees_target(facts: Facts, seed: Seed) -> DataFrame:
     return symbols.page(callgraph.list_callees(facts, usr, TARGET), common.PAGE["callers"])
 
 
+@query("list_callees_all")
+def _list_callees_all(facts: Facts, seed: Seed) -> DataFrame:
+    return callgraph.list_callees(facts, callgraph.busiest(facts, common.CGRAPH, "caller_usr"))
+
+
+@query("list_callees_target_all")
+def _list_callees_target_all(facts: Facts, seed: Seed) -> DataFrame:
+    return callgraph.list_callees(facts, callgraph.busiest(facts, common.CGRAPH, "caller_usr"), TARGET)
+
+
 @query("list_linked_callers")
 def _linked_callers(facts: Facts, seed: Seed) -> DataFrame:
     usr = callgraph.busiest(facts, common.OBJDUMP, "callee_usr")
@@ -249,6 +269,11 @@ def _find_target(facts: Facts, seed: Seed) -> DataFrame:
     return symbols.page(hits, common.PAGE["find_symbol"])
 
 
+@query("find_symbol_target_all")
+def _find_target_all(facts: Facts, seed: Seed) -> DataFrame:
+    return symbols.find_symbol(facts, SYMBOL_QUERY, kind="function", target=TARGET)
+
+
 def _clone_name(facts: Facts):
     clones = facts.symbol_names.filter(F.col("linkage_name").contains(".constprop"))
     return clones.agg(F.min("linkage_name")).scalar()
@@ -527,6 +552,12 @@ def _indirect_sites_target(facts: Facts, seed: Seed) -> DataFrame:
     return longs(page.withColumnRenamed("column", "col"))
 
 
+@query("list_indirect_call_sites_target_all")
+def _indirect_sites_target_all(facts: Facts, seed: Seed) -> DataFrame:
+    rows = indirect.list_indirect_call_sites(facts, callee_type="int (int, int)", target=TARGET)
+    return longs(rows.withColumnRenamed("column", "col"))
+
+
 @query("list_address_taken_functions")
 def _address_taken(facts: Facts, seed: Seed) -> DataFrame:
     return indirect.list_address_taken_functions(facts)
@@ -564,6 +595,11 @@ def _find_type(facts: Facts, seed: Seed) -> DataFrame:
     return longs(page)
 
 
+@query("find_type_all")
+def _find_type_all(facts: Facts, seed: Seed) -> DataFrame:
+    return longs(types.find_type(facts, TYPE_QUERY))
+
+
 @query("find_type_constants")
 def _find_constants(facts: Facts, seed: Seed) -> DataFrame:
     return longs(types.find_type(facts, CONSTANT_QUERY, kind=types.ENUM_CONSTANT))
@@ -695,6 +731,16 @@ def _search_by_dir(facts: Facts, seed: Seed) -> DataFrame:
     return source_text.top_counts(source_text.search_by_directory(by_file), "directory", common.PAGE["search_top"])
 
 
+@query("search_source_by_file_all")
+def _search_by_file_all(facts: Facts, seed: Seed) -> DataFrame:
+    return source_text.search_by_file(facts, TEXT_PATTERN)
+
+
+@query("search_source_by_dir_all")
+def _search_by_dir_all(facts: Facts, seed: Seed) -> DataFrame:
+    return source_text.search_by_directory(source_text.search_by_file(facts, TEXT_PATTERN))
+
+
 @query("search_source_summary")
 def _search_summary(facts: Facts, seed: Seed) -> DataFrame:
     by_file = source_text.search_by_file(facts, TEXT_PATTERN)
