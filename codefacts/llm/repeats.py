@@ -247,8 +247,9 @@ def _splitters(runs: DataFrame, parts: int) -> list[bytes]:
 
     def sampled(batches):
         for batch in batches:
-            texts = [s.text for blob in batch.column(0).to_pylist() for s in decode(blob) if s.h1 & 31 == 0]
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(blake2b(t, digest_size=7).digest()) for t in texts], pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+            found = [(s.h2, s.text) for blob in batch.column(0).to_pylist() for s in decode(blob) if s.h1 & 31 == 0]
+            columns = [pa.array([h for h, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text"])
 
     texts = sorted(r["text"] for r in bounded_sample(runs.mapInArrow(sampled, "id bigint, text binary"), "id", SAMPLED, 21).collect())
     return sorted({texts[len(texts) * i // parts] for i in range(1, parts)}) if texts else []
@@ -420,7 +421,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
                 found.append([{"start": a, "stop": b} for a, b in gone])
                 edges = [0, *[x for ab in gone for x in ab], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, span), pa.array(kept, pa.binary())], names=["doc_key", "n_bytes", "spans", "kept"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, span), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_key", "n_bytes", "spans", "kept"])
 
     both = slim.withColumn("own_key", F.when(F.col("doc_key") != -1, F.col("doc_key"))).join(spans, ["doc_key", "mark"], "left")
     return both.select(F.col("own_key").alias("doc_key"), "body", "spans").mapInArrow(

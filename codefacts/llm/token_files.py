@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,8 +64,9 @@ def write_token_files(
     """One flat file per task under the shared folder: ids of two bytes, every document closed by ``separator``.
 
     A retried task writes a file of its own name, and only files of successful
-    attempts are listed. Null and empty texts are a lone separator. A text that
-    holds the separator itself is refused, since no scan could tell it apart.
+    attempts are listed. Null and empty texts are a lone separator. The special
+    token's own text inside a document is read as ordinary text, since no scan
+    could tell its id from a separator.
     """
     require(docs, key, text)
     scratch = Scratch(docs.sparkSession, "token-files")
