@@ -36,10 +36,10 @@ from codefacts.llm.shingles import WIDTH, mix, shingle_sets, to_signed
 PERCENT = 75
 #: Min-hash bands that propose leaders, and min-hashes in each.
 BANDS, BAND_WIDTH = 6, 3
-#: A token counts as frequent from so many documents of one task on.
-FREQUENT_FROM = 12
+#: A token may be frequent from so many documents of one task on; how frequent tells the sum over all tasks.
+FREQUENT_FROM = 3
 #: At most so many frequent tokens are ranked last, the most frequent ones. They set the order only; no token is dropped.
-FREQUENT_LIMIT = 100_000
+FREQUENT_LIMIT = 200_000
 #: Counters of a task's frequency sketch.
 SKETCH = 1 << 22
 #: Bits of the filter that spares documents outside the candidate pairs from being cut again.
@@ -223,14 +223,21 @@ def _verified(pairs: DataFrame, slim: DataFrame, width: int, percent: int, scrat
     return scratch.store(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint, common bigint"), name)
 
 
-def _leaders(reps: DataFrame) -> DataFrame:
-    """(a, b): a representative and the smallest one that shares a band with it."""
+def _leaders(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b), b smaller: a representative and the leader of each of its bands.
+
+    The leader of a band is the document that shares the most bands with
+    others: in a family of copies that is the one that they are copies of, to
+    which they are more alike than to each other.
+    """
     banded = reps.select("doc_key", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("doc_key").alias("leader"), F.max("doc_key").alias("last")).filter("leader < last").drop("last")
-    return (
-        banded.join(first, "band").filter("doc_key <> leader").groupBy("doc_key").agg(F.min("leader").alias("leader"))
-        .select(F.col("doc_key").alias("a"), F.col("leader").alias("b"))
-    )
+    crowds = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.store(banded.join(crowds, "band"), "bands")
+    weights = shared.groupBy("doc_key").agg(F.sum("n").alias("weight"))
+    weighed = shared.select("doc_key", "band").join(weights, "doc_key")
+    first = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_key")).alias("key"))).alias("best"))
+    led = shared.select("doc_key", "band").join(first.select("band", (-F.col("best.key")).alias("leader")), "band").filter("doc_key <> leader")
+    return led.select(F.greatest("doc_key", "leader").alias("a"), F.least("doc_key", "leader").alias("b")).distinct()
 
 
 def _matrix(signed: DataFrame, parts: int) -> DataFrame:
@@ -312,25 +319,36 @@ def _probes(signed: DataFrame, matrix: DataFrame) -> DataFrame:
     return exploded.join(tokens, "token", "left_semi")
 
 
-def _candidates(probes: DataFrame, matrix: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): documents of different groups that pass the bounds of the group and then their own."""
-    sides = matrix.join(sizes, "grp").select("token", F.col("grp").alias("other"), "min_n", "max_n")
-    fits = (F.col("other") < F.col("grp")) & (100 * F.col("max_n") >= percent * F.col("n")) & (percent * F.col("min_n") <= 100 * F.col("n"))
-    asked = probes.join(sides, "token").filter(fits).groupBy("doc_key", "other").agg(
-        F.first("n").alias("n"), F.min("place").alias("place"), F.min("min_n").alias("min_n")
-    )
+def _candidates(probes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): documents of different groups that pass the bounds of the group and then their own.
+
+    From a shared token on, two sets can share no more than what is left of the
+    smaller rest. Linked sets share a token with enough left of both, so other
+    tokens are passed over already where rows of the matrix meet.
+    """
+    room = F.col("n") - F.col("place")
+    sides = probes.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.max(room).alias("room"), F.count("*").alias("members"), F.min("doc_key").alias("member")
+    )
     smallest = F.greatest(F.col("min_n"), F.ceil(percent * F.col("n") / 100 - 1e-9))
-    opened = asked.filter(F.col("n") - F.col("place") >= least_overlap(F.col("n"), smallest, percent)).select("doc_key", "other")
+    fits = (F.col("other") < F.col("grp")) & (100 * F.col("max_n") >= percent * F.col("n")) & (percent * F.col("min_n") <= 100 * F.col("n"))
+    enough = F.least(room, F.col("room")) >= least_overlap(F.col("n"), smallest, percent)
+    met = probes.alias("p").join(sides, (F.col("p.token") == sides["token"]) & fits & enough)
+    opened = met.groupBy(F.col("doc_key").alias("a"), "other").agg(
+        F.max("members").alias("members"), F.min("member").alias("member"), F.max("member").alias("last")
+    )
     opened = scratch.store(opened, "opened")
-    asking = probes.join(opened, "doc_key").select("token", F.col("doc_key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("other"))
+    # where the tokens shared are those of one document of the group, the pair is known
+    single = opened.filter("members = 1 AND member = last").select("a", F.col("member").alias("b"))
+    several = opened.filter("members > 1 OR member < last").select("a", "other")
+    asking = probes.select("token", F.col("doc_key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(several, "a")
     members = probes.select("token", F.col("doc_key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("grp").alias("other"))
     close = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    # what can still be shared from this token on; that of the first shared token bounds the whole overlap
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = asking.join(members, ["token", "other"]).filter(close).groupBy("a", "b").agg(
-        F.max(rest).alias("rest"), F.first("na").alias("na"), F.first("nb").alias("nb")
-    )
-    return pairs.filter(F.col("rest") >= least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least_overlap(F.col("na"), F.col("nb"), percent)
+    x, y = asking.alias("x"), members.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.other"))
+    pairs = x.join(y, same & close & left).select("a", "b").distinct()
+    return single.unionByName(pairs)
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> Joined:
@@ -358,11 +376,10 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
         .select("doc_key", "n", "d1", "d2", "bands", "parity").dropDuplicates(["doc_key", "n", "d1", "d2"]), "heads"
     )
     light = scratch.store(signed.select("doc_key", "n", "d1", "d2"), "light")
-    stars = _verified(scratch.store(_plausible(_leaders(heads), heads, percent), "leaders"), slim, width, percent, scratch, "stars")
+    stars = _verified(scratch.store(_plausible(_leaders(heads, scratch), heads, percent), "leaders"), slim, width, percent, scratch, "stars")
     grouped = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "groups")
     groups = heads.drop("bands", "parity").join(grouped.withColumnRenamed("node", "doc_key"), "doc_key", "left")
     groups = groups.withColumn("grp", F.coalesce("component", "doc_key")).drop("component")
-    sizes = groups.groupBy("grp").agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"))
     same = ["doc_key", "n", "d1", "d2"]
     placed = scratch.store(known.drop("bands", "parity").join(groups, same).select("doc_key", "n", "grp", "signature"), "placed")
     scratch.drop("signatures")
@@ -370,7 +387,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     matrix = scratch.store(_matrix(placed, parts), "matrix")
     probes = scratch.store(_probes(placed, matrix), "probes")
     scratch.drop("placed")
-    pairs = scratch.store(_plausible(_candidates(probes, matrix, sizes, percent, scratch), heads, percent), "pairs")
+    pairs = scratch.store(_plausible(_candidates(probes, percent, scratch), heads, percent), "pairs")
     scratch.drop("probes", "matrix", "opened", "heads")
     crossed = _verified(pairs, slim, width, percent, scratch, "crossed")
     links = stars.unionByName(crossed)
