@@ -14,9 +14,9 @@ hence chosen by content: equal windows have it at the same place.
     are merged by a loser tree that never compares a known prefix again.
     Segments met more than once are repeats as a whole.
 4.  What windows of the other segments share stands within the range, since
-    segments of one anchor are neighbours in the order. Only the anchors at
-    the ends of a range, a very frequent one at most ranges, are settled in a
-    further step, by one row per different window and range.
+    segments of one anchor are neighbours in the order and a range ends between
+    anchors. Only an anchor that fills more than a range is divided, and
+    settled in a further step by one row per different window and range.
 5.  Repeats go back to the places where the segments were met, and the texts
     lose the bytes that they cover.
 """
@@ -252,7 +252,12 @@ def _splitters(runs: DataFrame, parts: int) -> list[bytes]:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text"])
 
     texts = sorted(r["text"] for r in bounded_sample(runs.mapInArrow(sampled, "id bigint, text binary"), "id", SAMPLED, 21).collect())
-    return sorted({texts[len(texts) * i // parts] for i in range(1, parts)}) if texts else []
+    return between_anchors(sorted({texts[len(texts) * i // parts] for i in range(1, parts)}) if texts else [])
+
+
+def between_anchors(chosen: list[bytes]) -> list[bytes]:
+    """Sorted cuts moved to before their anchor's gram, which so stays in one range, unless it fills more than a range."""
+    return sorted({s[:GRAM] if i == 0 or chosen[i - 1][:GRAM] != s[:GRAM] else s for i, s in enumerate(chosen)})
 
 
 def _pieces(runs: DataFrame, splitters: list[bytes]) -> DataFrame:
@@ -305,9 +310,10 @@ def _stretches(flags: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
 _MERGED = "kind int, h1 bigint, h2 bigint, low bigint, high bigint, window bigint"
 
 
-def _resolved(pieces: DataFrame, window: int) -> DataFrame:
+def _resolved(pieces: DataFrame, splitters: list[bytes], window: int) -> DataFrame:
     """Kind 0: windows low..high of segment (h1, h2) repeat. Kind 1: window ``low`` asks whether its number is met
     in another range. Kind 2: a number that is met in this range, for those that ask."""
+    divided = frozenset(s[:GRAM] for s in splitters if len(s) > GRAM)
 
     def rows(kind: int, one, two, low, high, number) -> pa.RecordBatch:
         n = len(number)
@@ -315,7 +321,7 @@ def _resolved(pieces: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in columns], names=["kind", "h1", "h2", "low", "high", "window"])
 
     def group(segments: list[Suffix], edge: bool) -> Iterator[pa.RecordBatch]:
-        """Settle the segments of some anchors; those at an end of the range also ask the other ranges."""
+        """Settle the segments of some anchors; those of an anchor that is divided also ask the other parts."""
         numbers, begins = _window_numbers(segments, window)
         _, back, counts = np.unique(numbers, return_inverse=True, return_counts=True)
         whole = np.repeat(np.array([s.count > 1 for s in segments]), np.diff(begins))
@@ -335,7 +341,7 @@ def _resolved(pieces: DataFrame, window: int) -> DataFrame:
     def merge(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
         held, size = [], 0
-        own, own_size, gram, edge = [], 0, None, True  # segments of the anchor at hand; the first may begin in another range
+        own, own_size, gram, edge = [], 0, None, False  # segments of the anchor at hand, and whether it is divided
         for s in merged([decode(b) for b in blobs]):
             if s.text[:GRAM] != gram:
                 if own and edge:
@@ -343,8 +349,8 @@ def _resolved(pieces: DataFrame, window: int) -> DataFrame:
                 else:
                     held += own
                     size += own_size
-                edge = gram is None
                 own, own_size, gram = [], 0, s.text[:GRAM]
+                edge = gram in divided
                 if size >= GATHERED_BYTES // 4:
                     yield from group(held, False)
                     held, size = [], 0
@@ -357,7 +363,7 @@ def _resolved(pieces: DataFrame, window: int) -> DataFrame:
         if held:
             yield from group(held, False)
         if own:
-            yield from group(own, True)
+            yield from group(own, edge)
 
     return pieces.mapInArrow(merge, _MERGED)
 
@@ -376,7 +382,8 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
     slim = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("doc_key"), F.xxhash64(key, text).alias("mark"), F.col(text).alias("body"))
     bits = _repeated_grams(slim, window, parts)
     runs, places = _runs(slim, bits, window, scratch)
-    resolved = scratch.store(_resolved(_pieces(runs, _splitters(runs, parts)), window), "resolved")
+    splitters = _splitters(runs, parts)
+    resolved = scratch.store(_resolved(_pieces(runs, splitters), splitters, window), "resolved")
     asked = resolved.filter("kind = 1").select("h1", "h2", "low", "window")
     met = resolved.filter("kind > 0").groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     across = asked.join(met, "window").select("h1", "h2", "low", F.col("low").alias("high"))

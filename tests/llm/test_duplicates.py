@@ -146,6 +146,27 @@ def test_repeats_equal_brute_force(spark):
         assert (r["n_bytes"], removed, len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) == want[r["doc_key"]]
 
 
+def test_repeats_of_an_anchor_in_many_ranges(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcde fghij") for _ in range(n))
+    passage = text(260)
+    rows = [(i, text(rng.randint(0, 90)) + passage[rng.randint(0, 60) :] + text(rng.randint(0, 90))) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    seen = []
+
+    def cuts(runs, parts):
+        texts = sorted(s.text for r in runs.collect() for s in decode(bytes(r["blob"])))
+        seen.extend(repeats.between_anchors(texts[::4]))
+        return seen
+
+    monkeypatch.setattr(repeats, "_splitters", cuts)
+    found = {r["doc_key"]: r for r in repeats.remove_repeats(docs, window=120).collect()}
+    want = plain_repeats([(i, t.encode()) for i, t in rows], 120)
+    assert any(len(s) > repeats.GRAM for s in seen)
+    for i, r in found.items():
+        assert (r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"])) == want[i][:3]
+
+
 def test_repeats_of_repeated_rows_and_null_keys(spark):
     long = " ".join(str(i * 7919) for i in range(300))
     docs = spark.createDataFrame([(1, long), (1, long), (None, long[:500]), (2, "x")], DOCS)
