@@ -69,7 +69,8 @@ def _prepared(vectors: DataFrame, key: str, label: str, vector: str) -> DataFram
             frame = frame[usable(frame["vec"])]
             plain = [np.asarray(v, float) + 0.0 for v in frame["vec"]]  # minus zero becomes zero
             digests = [sha256(v.tobytes()).digest() for v in plain]
-            yield frame.assign(size=[len(v) for v in plain], vec=plain, digest=digests)[["vec_key", "lab", "size", "vec", "digest"]]
+            held = {k: pd.Series(v, index=frame.index, dtype=object) for k, v in (("vec", plain), ("digest", digests))}
+            yield frame.assign(size=[len(v) for v in plain], **held)[["vec_key", "lab", "size", "vec", "digest"]]
 
     slim = vectors.select(F.col(key).cast("bigint").alias("vec_key"), F.col(label).cast("string").alias("lab"), F.col(vector).cast("array<double>").alias("vec"))
     return slim.filter("vec_key IS NOT NULL AND lab IS NOT NULL AND vec IS NOT NULL").mapInPandas(run, "vec_key bigint, lab string, size int, vec array<double>, digest binary")

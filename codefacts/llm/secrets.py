@@ -220,7 +220,8 @@ def labelled_formats(docs: DataFrame, text: str = "text") -> DataFrame:
                     if crc32(m[0].encode()) % PLAIN_CLASSES == 0 and all(m.end() <= s or m.start() >= e for s, _, e, _ in base):
                         labels.append("plain")
                         formats.append(m[0].translate(_TO_CLASS))
-            yield pd.DataFrame({"label": labels, "format": formats})
+            # named as objects: a batch without any would else be taken for numbers
+            yield pd.DataFrame({"label": labels, "format": formats}, dtype=object)
 
     return docs.select(F.col(text).alias("body")).mapInPandas(run, _LABELLED)
 

@@ -212,6 +212,12 @@ def test_embedding_links_equal_brute_force(spark, tile):
         assert (r["n_links"], r["component"], r["kept"]) == (degree[k], want[k], want[k] == k)
 
 
+def test_embedding_dedup_of_unusable_vectors(spark):
+    rows = [(1, None, 0), (2, [0.0, 0.0], 0), (3, [float("nan"), 1.0], 0)]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).vectors.collect()
+    assert sorted((r["vec_key"], r["n_links"], r["component"], r["kept"]) for r in found) == [(i, 0, i, True) for i in (1, 2, 3)]
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).vectors.count() == 0
 

@@ -150,6 +150,12 @@ def test_states_merge_into_a_loop():
         assert sum(np.exp(p) for _, p in row.values()) == pytest.approx(1)
 
 
+def test_batches_without_any_format(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, None, "en", "s")], DOCS)
+    assert secrets.labelled_formats(docs).count() == 0
+    assert secrets.fit_formats(docs).secret == {}
+
+
 def test_formats_add_spans_and_keep_base_ones(spark):
     rng = random.Random(9)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
