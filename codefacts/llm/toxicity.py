@@ -91,6 +91,17 @@ class Trie:
             stem = node.stem or stem
         return node.term, stem
 
+    def leads(self, start: str) -> bool:
+        """Whether a word that begins like this can be a term or begin with a stem."""
+        node = self.root
+        for letter in start:
+            node = node.children.get(letter)
+            if node is None:
+                return False
+            if node.stem:
+                return True
+        return True
+
 
 class NearTerms:
     """Levenshtein automaton of ``edits`` edits run along a trie of terms, made deterministic as words are read.
@@ -186,16 +197,14 @@ class Matcher:
             NearTerms([w for w in lexicon.words if len(w) >= TWO_EDITS], 2),
         ]
         self.memory: dict[str, tuple[str, float] | None] = {}
-        self.words = frozenset(lexicon.words)
-        self.stem_starts = frozenset(s[:BEGINNING] for s in lexicon.stems) | frozenset(s[:k] for s in lexicon.stems for k in range(1, BEGINNING))
         self.leads: dict[str, bool] = {}
         lengths = [len(w) for w in lexicon.words if len(w) >= ONE_EDIT]
         self.least, self.most = (min(lengths) - 1, max(lengths) + 2) if lengths else (1, 0)
 
     def hits(self, held: set[str]) -> dict[str, tuple[str, float]]:
-        """What the words are that are terms, begin with a stem or are near a term.
+        """What ``look`` says of the words, for those of which it says anything.
 
-        Most words are done with their beginning, read once by the automata.
+        Most words are done with their beginning, read once by the trie and the automata.
         """
         found = {}
         leads = self.leads
@@ -206,17 +215,14 @@ class Matcher:
                 lead = self._leads(start)
             if lead and (hit := self.look(word)):
                 found[word] = hit
-        for word in held & self.words:
-            found[word] = ("exact", self.lexicon.words[word])
         return found
 
     def _leads(self, start: str) -> bool:
         if len(self.leads) >= REMEMBERED:
             self.leads.clear()
         plain = start if start.isalpha() else start.translate(LOOKALIKES)
-        stem = start in self.stem_starts or any(start[:k] in self.lexicon.stems for k in STEMS)
-        near = any(automaton.read(plain) >= 0 for automaton in self.near)
-        self.leads[start] = lead = stem or near
+        exact = self.trie.leads(start) or self.trie.leads(plain)
+        self.leads[start] = lead = exact or any(automaton.read(plain) >= 0 for automaton in self.near)
         return lead
 
     def look(self, word: str) -> tuple[str, float] | None:
@@ -235,11 +241,15 @@ class Matcher:
             return "exact", self.lexicon.words[term]
         if stem:
             return "stem", self.lexicon.stems[stem]
+        plain = word if word.isalpha() else word.translate(LOOKALIKES)
+        if plain != word:
+            term, stem = self.trie.exact(plain)
+            if term:
+                return "misspelled", self.lexicon.words[term]
+            if stem:
+                return "misspelled", self.lexicon.stems[stem]
         if not self.least <= len(word) <= self.most:
             return None
-        plain = word if word.isalpha() else word.translate(LOOKALIKES)
-        if plain != word and (term := self.trie.exact(plain)[0]):
-            return "misspelled", self.lexicon.words[term]
         term = self.near[0].find(plain) or self.near[1].find(plain)
         return ("misspelled", self.lexicon.words[term]) if term else None
 

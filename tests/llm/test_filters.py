@@ -202,6 +202,24 @@ def test_lazy_automaton_is_edit_distance(most):
         assert near.find(w) == (best[1] if best[0] <= most else None)
 
 
+def test_words_are_settled_by_their_beginnings_as_by_looking_them_up():
+    lexicon = toxicity.Lexicon({"ass": 1.0, "crap": 2.0, "blockhead": 3.0, "scoundrelly": 4.0}, {"nitw": 5.0, "dumbos": 6.0, "olaf": 7.0})
+    every = toxicity.Matcher(lexicon)
+    assert every.look("cr4p") == ("misspelled", 2.0) and every.look("a5s") == ("misspelled", 1.0)
+    assert every.look("n1twits") == ("misspelled", 5.0) and every.look("dumb0s") == ("misspelled", 6.0)
+    rng = random.Random(11)
+    words = {"cr4p", "a5s", "n1twits", "dumb0s", "0laf", "bl0ckhe4t", "ass", "crap", "nitwits", "nit", "dumbosity"}
+    for _ in range(4000):
+        word = list(rng.choice([*lexicon.words, *lexicon.stems, "harmless"]) + rng.choice(["", "", "s", "ing"]))
+        for _ in range(rng.randint(0, 3)):
+            word[rng.randrange(len(word))] = rng.choice("abcdeiost013457@$")
+        words.add("".join(word))
+    assert toxicity.Matcher(lexicon).hits(words) == {w: f for w in words if (f := every.look(w))}
+    # without any term of five letters the automata are empty
+    short = toxicity.Matcher(toxicity.Lexicon({"crap": 2.0}, {}))
+    assert short.hits({"cr4p", "crap", "crab"}) == {"cr4p": ("misspelled", 2.0), "crap": ("exact", 2.0)}
+
+
 def test_toxic_documents_score_higher(spark):
     rng = random.Random(8)
     rows, labels = [], []
