@@ -15,7 +15,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -32,8 +31,8 @@ MAX_LABELLED = 20_000
 MAX_CANDIDATES = 100_000
 #: The lexicon holds at most so many terms, the most telling ones.
 MAX_TERMS = 2_000
-#: A term needs so many different words before it in toxic documents, and this share of toxic ones among all that hold it.
-#: Copies of one document repeat its words behind the same words, so they do not make terms of them.
+#: A term needs so many different toxic texts, and this share of toxic ones among all documents that hold it.
+#: Copies of one text count once for the first, so they do not make terms of its words.
 LEAST_TOXIC, LEAST_SHARE = 4, 0.7
 #: Lengths of the word beginnings that are tried as stems.
 STEMS = (4, 5, 6)
@@ -296,20 +295,20 @@ def features_of(text: str | None, matcher: Matcher) -> list[float]:
 def learn_lexicon(marked: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     """Words and stems that tell toxic documents, from (body, toxic) of labelled rows.
 
-    The words that stand before a term in toxic rows are counted first, then,
-    for terms with enough of them, the documents of all rows, each time
+    Documents are counted, not occurrences: first the different toxic texts,
+    equal ones once, then, for terms with enough of them, all rows, each time
     combined batch by batch before the shuffle. At most ``max_terms`` come to the driver. Stems are kept
     where they tell more documents than their best single word does.
     """
 
-    def counted(rows: DataFrame, only: frozenset[tuple[str, int]]) -> DataFrame:
+    def counted(rows: DataFrame, only: frozenset[tuple[str, int]] | None) -> DataFrame:
         def run(frames):
             for frame in frames:
                 n, bad = Counter(), Counter()
                 for body, label in zip(frame["body"], frame["toxic"], strict=True):
                     held = set(words_of(body or ""))
                     found = {(w, 0) for w in held if len(w) > 2} | {(w[:k], 1) for w in held for k in STEMS if len(w) > k}
-                    found &= only
+                    found = found if only is None else found & only
                     n.update(found)
                     if label:
                         bad.update(found)
@@ -320,28 +319,17 @@ def learn_lexicon(marked: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
         sums = rows.mapInPandas(run, "term string, kind int, n bigint, bad bigint").groupBy("term", "kind")
         return sums.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    def contexts(frames):
-        for frame in frames:
-            found = set()
-            for body in frame["body"]:
-                before = 0
-                for w in words_of(body or ""):
-                    if len(w) > 2:
-                        found.add((w, 0, before))
-                    found.update((w[:k], 1, before) for k in STEMS if len(w) > k)
-                    before = crc32(w.encode())
-            yield pd.DataFrame(list(found), columns=["term", "kind", "before"]).astype({"term": "object", "kind": "int32", "before": "int64"})
-
-    toxic = marked.filter("toxic = 1").mapInPandas(contexts, "term string, kind int, before bigint").distinct()
-    toxic = toxic.groupBy("term", "kind").agg(F.count("*").alias("bad")).filter(F.col("bad") >= LEAST_TOXIC)
+    # copies meet in the task that read them, then by the hash of their text
+    texts = marked.filter("toxic = 1").withColumn("copy", F.md5(F.coalesce("body", F.lit("")).cast("binary"))).dropDuplicates(["copy"])
+    toxic = counted(texts.select("body", "toxic"), None).filter(F.col("bad") >= LEAST_TOXIC)
     asked = toxic.orderBy(F.desc("bad"), "kind", "term").limit(MAX_CANDIDATES).select("term", "kind").toPandas()
-    counted = counted(marked, frozenset(zip(asked["term"], asked["kind"].tolist(), strict=True)))
+    found = counted(marked, frozenset(zip(asked["term"], asked["kind"].tolist(), strict=True)))
     total = marked.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not total["n"] or not total["bad"] or total["bad"] == total["n"]:
         return Lexicon({}, {})
     base = total["bad"] / (total["n"] - total["bad"])
     odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5) / F.lit(base))
-    telling = counted.filter((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") >= LEAST_SHARE * F.col("n"))).withColumn("odds", odds)
+    telling = found.filter((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") >= LEAST_SHARE * F.col("n"))).withColumn("odds", odds)
     top = telling.orderBy(F.desc(F.col("bad") * F.col("odds")), "kind", "term").limit(max_terms).toPandas()
     words = {r.term: r for r in top.itertuples() if r.kind == 0}
     stems = {}

@@ -220,6 +220,17 @@ def test_words_are_settled_by_their_beginnings_as_by_looking_them_up():
     assert short.hits({"cr4p", "crap", "crab"}) == {"cr4p": ("misspelled", 2.0), "crap": ("exact", 2.0)}
 
 
+def test_lexicon_counts_toxic_texts_not_contexts_or_copies(spark):
+    rng = random.Random(12)
+    rows = [(f"{prose(rng, 20)} you utter nitwit {prose(rng, 20)}", 1) for _ in range(4)]
+    rows += [(f"{prose(rng, 20)} the knave {prose(rng, 20)}", 1) for _ in range(3)]
+    rows += [("one copied blockhead text, another blockhead, some blockhead, that blockhead", 1)] * 9
+    rows += [(prose(rng, 40), 0) for _ in range(60)] + [(None, 1), (None, 0), ("", 1)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "body string, toxic int"))
+    known = lambda w: w in lexicon.words or any(w.startswith(s) for s in lexicon.stems)
+    assert known("nitwit") and not known("knave") and not known("blockhead")
+
+
 def test_toxic_documents_score_higher(spark):
     rng = random.Random(8)
     rows, labels = [], []
