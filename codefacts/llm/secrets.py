@@ -31,17 +31,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 ASSIGN_WORDS = re.compile(r"(?i:pass|secret|token|api)", re.ASCII)
 
-#: What can be a credential: a token with a digit, of at least this many characters.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_.=-])")
+#: What can be a credential: every run of the characters that credentials are made of.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: The automata are inferred from at most so many values per label, chosen by a hash.
 MAX_LABELLED = 4000
 #: Significance of the merging test (a smaller value merges more).
 ALPHA = 0.05
 #: States with fewer arrivals than this are not split off; they fall back to their label's class frequencies.
 LEAST_ARRIVALS = 8
-#: A candidate is reported when its format is likelier by this many nats per character, over at least this many characters.
+#: A candidate of any length is reported when its format is likelier by this many nats per character and by so many in
+#: all: hardly any token is a credential, and a few letters ("de") say too little to outweigh that.
 MARGIN = 0.6
-LEAST_LENGTH = 20
+EVIDENCE = 12.6
+#: Formats whose margin a worker remembers.
+REMEMBERED = 200_000
 
 # Character classes: hexadecimal digits and letters apart, so that hex, base64 and words differ in format.
 _CLASSES = {c: "d" for c in "0123456789"} | {c: "h" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"}
@@ -172,11 +175,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def free_candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens that could be credentials and touch no base span."""
+    """Tokens that touch no base span: runs without the dots around them and, after each, its parts between dots."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        if all(m.end() <= s or m.start() >= e for s, _, e, _ in base):
-            out.append((m.start(), m.end(), m[0]))
+    free = lambda start, end: all(end <= s or start >= e for s, _, e, _ in base)
+    for m in RUN.finditer(text):
+        value = m[0].strip(".")
+        if not value:
+            continue
+        at = m.start() + len(m[0]) - len(m[0].lstrip("."))
+        if not base or free(at, at + len(value)):
+            out.append((at, at + len(value), value))
+        if "." in value:
+            for part in value.split("."):
+                if part and (not base or free(at, at + len(part))):
+                    out.append((at, at + len(part), part))
+                at += len(part) + 1
     return out
 
 
@@ -194,6 +207,24 @@ class Formats:
         return best[1], (best[0] - plain) / (len(value) + 1)
 
 
+def format_spans(text: str, base: list[tuple[int, int, int, str]], formats: Formats, known: dict[str, float]) -> list[tuple[int, int, float]]:
+    """(start, end, margin) of the candidates whose margin suffices, a run before its parts; ``known`` remembers margins by format."""
+    out, done = [], 0
+    for start, end, value in free_candidates(text, base):
+        if end <= done:
+            continue
+        form = value.translate(_TO_CLASS)
+        margin = known.get(form)
+        if margin is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            margin = known[form] = formats.margin(value)[1]
+        if margin >= MARGIN and margin * (len(value) + 1) >= EVIDENCE * (1 - 1e-9):
+            out.append((start, end, margin))
+            done = end
+    return out
+
+
 _LABELLED = "label string, format string"
 #: Harmless words are labelled where a hash of the word falls into one of so many classes.
 PLAIN_CLASSES = 64
@@ -202,10 +233,9 @@ PLAIN_CLASSES = 64
 def labelled_formats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Formats of all base values by kind, and of harmless words of the same texts (label ``plain``).
 
-    Harmless are words of eight and more characters on no base span, labelled
-    where a hash of the word says so. Every text is read whole.
+    Harmless are the candidates of any length, labelled where a hash of the
+    word says so. Every text is read whole.
     """
-    word = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
     def run(frames):
         for frame in frames:
@@ -216,10 +246,10 @@ def labelled_formats(docs: DataFrame, text: str = "text") -> DataFrame:
                 for _, kind, _, value in base:
                     labels.append(KINDS[kind])
                     formats.append(value.translate(_TO_CLASS))
-                for m in word.finditer(body):
-                    if crc32(m[0].encode()) % PLAIN_CLASSES == 0 and all(m.end() <= s or m.start() >= e for s, _, e, _ in base):
+                for _, _, value in free_candidates(body, base):
+                    if crc32(value.encode()) % PLAIN_CLASSES == 0:
                         labels.append("plain")
-                        formats.append(m[0].translate(_TO_CLASS))
+                        formats.append(value.translate(_TO_CLASS))
             # named as objects: a batch without any would else be taken for numbers
             yield pd.DataFrame({"label": labels, "format": formats}, dtype=object)
 
@@ -260,13 +290,13 @@ def scan_secrets(docs: DataFrame, formats: Formats, text: str = "text", spans: s
         raise ValueError(f"a column {spans} exists already")
     schema = with_fields(docs, **{spans: "array<struct<start:int,stop:int,kind:string,margin:double>>"})
 
+    known: dict[str, float] = {}
+
     def found(body: str | None) -> list[dict]:
         body = body or ""
         base = base_spans(body)
         rows = [(s, kind, e, KINDS[kind], None) for s, kind, e, _ in base]
-        for s, e, value in free_candidates(body, base):
-            if len(value) >= LEAST_LENGTH and (margin := formats.margin(value)[1]) >= MARGIN:
-                rows.append((s, len(KINDS), e, "format", margin))
+        rows += [(s, len(KINDS), e, "format", margin) for s, e, margin in format_spans(body, base, formats, known)]
         return [{"start": s, "stop": e, "kind": kind, "margin": margin} for s, _, e, kind, margin in sorted(rows, key=lambda r: r[:3])]
 
     def run(batches):
@@ -283,12 +313,14 @@ def redact_secrets(docs: DataFrame, formats: Formats, text: str = "text", mask:
     """``docs`` with every span in the text replaced by ``mask``; other columns and rows stay."""
     require(docs, text)
 
+    known: dict[str, float] = {}
+
     def clean(body: str | None) -> str | None:
         if not body:
             return body
         base = base_spans(body)
         cuts = [(s, e) for s, _, e, _ in base]
-        cuts += [(s, e) for s, e, v in free_candidates(body, base) if len(v) >= LEAST_LENGTH and formats.margin(v)[1] >= MARGIN]
+        cuts += [(s, e) for s, e, _ in format_spans(body, base, formats, known)]
         out, at = [], 0
         for s, e in sorted(cuts):
             if s >= at:

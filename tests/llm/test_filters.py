@@ -173,6 +173,32 @@ def test_formats_add_spans_and_keep_base_ones(spark):
     assert secrets.scan_secrets(docs.filter(F.lit(False)), secrets.fit_formats(docs.filter(F.lit(False)))).count() == 0
 
 
+def test_candidates_are_all_runs_and_their_dotted_parts():
+    text = "at ..9f8A7b6C. to aaa.bbb.ccc, x"
+    assert [v for _, _, v in secrets.free_candidates(text, [])] == ["at", "9f8A7b6C", "to", "aaa.bbb.ccc", "aaa", "bbb", "ccc", "x"]
+    assert all(text[s:e] == v for s, e, v in secrets.free_candidates(text, []))
+
+
+def test_formats_find_keys_before_marks_in_parts_and_of_any_make(spark):
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, of=letters + "0123456789": "".join(rng.choice(of) for _ in range(n))
+    rows = [(i, f"{prose(rng, 30)} token = {key(rng.choice([16, 24, 40]))} and {prose(rng, 5)}", "en", "s") for i in range(120)]
+    planted = {900: key(24), 901: key(24), 902: ".".join([key(20), key(30), key(25)]), 903: key(32, letters), 904: key(17), 905: key(30)}
+    marks = {900: ".", 901: ",", 902: ".", 903: " ", 904: " ", 905: "..."}
+    rows += [(i, f"the key is {k}{marks[i]} {prose(rng, 5)}", "en", "s") for i, k in planted.items()]
+    rows += [(990, "see the plain words only. and no more, of it", "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    formats = secrets.fit_formats(docs)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs, formats).collect()}
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs, formats).collect()}
+    text = {r[0]: r[1] for r in rows}
+    for i, k in planted.items():
+        assert [text[i][s["start"] : s["stop"]] for s in found[i]] == [k] or i == 902
+        assert not any(part in clean[i] for part in k.split(".")) and clean[i].startswith("the key is [secret]")
+    assert clean[990] == rows[-1][1] and found[990] == []
+
+
 # -- toxicity -----------------------------------------------------------------
 
 
