@@ -131,6 +131,8 @@ def mix(
     none; a marginal without a target is flattened. Null is a value of its own.
     Tokens are words. A document without words has probability 1 if its cell
     holds no token at all, else its cell's. Repeated ids share one decision.
+    Probabilities end at 1 and are not raked again: where a cell's mass asks for
+    more than its tokens, its marginals fall short of the targets.
     An empty table gives an empty result.
     """
     require(docs, key, text)

@@ -32,7 +32,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token weights meet the source, language and topic targets."""
+    """A sample drawn towards the source, language and topic targets; cells kept whole fall short of them (see ``mixing.mix``)."""
     return mixing.sample_mix(docs)
 
 
