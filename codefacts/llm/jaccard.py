@@ -352,7 +352,10 @@ def _candidates(probes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> Joined:
-    """Every link between documents whose shingle sets have a Jaccard similarity of ``percent`` hundredths or more.
+    """Components of documents linked by a Jaccard similarity of their shingle sets of ``percent`` hundredths or more.
+
+    ``links`` span the components but are not all links: inside a group only
+    those to its leader are listed, between groups the verified pairs.
 
     Words are runs of bytes other than blanks, tabs and line breaks, with A-Z
     read as a-z. A text of fewer than ``width`` words is one shingle; null and
