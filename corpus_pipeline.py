@@ -52,7 +52,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Fitted models and byte-pair encoding have no SQL form; tests hold the result against a brute-force version.
+#: Fitted models and byte-pair encoding have no SQL form; no test covers ``run`` as a whole.
 ORACLE_SQL = None
 
 
