@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codefacts.llm import mixing
+from codefacts.llm import mixing, orchard
 
 EMBEDDING_DEDUP = """
 WITH RECURSIVE good AS (
@@ -120,8 +120,50 @@ FROM docs d JOIN final f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS
     )
 
 
+def orchard_clusters() -> str:
+    """The rounds of ``orchard.cluster`` with its default parameters, every centroid measured, written out one after the other."""
+    size, k = orchard.SIZE, orchard.CENTROIDS
+    steps = [
+        f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({orchard.SCALE} * x)::BIGINT) AS u FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, u) - 1 AS c, u AS m
+  FROM (SELECT sha256('{orchard.SALT}:' || vec_id) AS h, u FROM kept ORDER BY h NULLS LAST, u LIMIT {k})
+)"""
+    ]
+    for i in range(orchard.ROUNDS + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, min(d) AS d, arg_min(c, (d, c)) AS c
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(u, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{i}) GROUP BY r
+)"""
+        )
+        if i < orchard.ROUNDS:
+            steps.append(
+                f"""p{i} AS (
+  SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS m
+  FROM (SELECT a.c, g.i, sum(k.u[g.i]) AS s, count(*)::HUGEINT AS n FROM a{i} a JOIN kept k USING (r), range(1, {size + 1}) g(i) GROUP BY a.c, g.i)
+), c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.m, o.m) AS m FROM c{i} o LEFT JOIN (SELECT c, list(m ORDER BY i) AS m FROM p{i} GROUP BY c) n USING (c)
+)"""
+            )
+    last = orchard.ROUNDS
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f"""
+SELECT k.vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+  sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.m, ',')) AS centroid_sha256
+FROM a{last} a JOIN kept k USING (r) JOIN c{last} m ON m.c = a.c
+"""
+    )
+
+
 ORACLES: dict[str, str] = {
     "op3_source_mixing": source_mixing(),
     "op6_embedding_dedup": EMBEDDING_DEDUP,
     "op10_jaccard_join": JACCARD_JOIN,
+    "op12_orchard_clusters": orchard_clusters(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import ann, embed_dedup, jaccard, mixing, packing, quality, repeats, secrets, token_files, toxicity
+from codefacts.llm import ann, embed_dedup, jaccard, mixing, orchard, packing, quality, repeats, secrets, token_files, toxicity
 from codefacts.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.documents.select(F.col("doc_key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = orchard.cluster(table(spark, sf_dir, "embeddings"))
+    # as many rows as there are centroids
+    return found.vectors.join(F.broadcast(found.clusters), "cluster").select(
+        F.col("vec_key").alias("vec_id"), "cluster", "distance", "cluster_inertia", F.lit(found.inertia).cast("bigint").alias("inertia"), "centroid_sha256"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,4 +109,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_orchard_clusters": op12_orchard_clusters,
 }
