@@ -120,6 +120,38 @@ FROM docs d JOIN final f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS
     )
 
 
+CONVERSATION_TRIE = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, r, t) AS s FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, s, xor(list_reduce(
+      flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM own
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.s[1:o.h], []), o.s[o.h + 1:]) AS s FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].t) END AS size,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+  FROM prefixes GROUP BY d, p
+), below AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(b.n_children, 0) AS n_children FROM nodes n LEFT JOIN below b ON n.p = b.p
+), sums AS (
+  SELECT p[1:k] AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.d AS depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN sums s ON s.p = c.p LEFT JOIN nodes up ON c.d > 0 AND up.p = c.p[1:c.d - 1]
+"""
+
+
 def orchard_clusters() -> str:
     """The rounds of ``orchard.cluster`` with its default parameters, every centroid measured, written out one after the other."""
     size, k = orchard.SIZE, orchard.CENTROIDS
@@ -165,5 +197,6 @@ ORACLES: dict[str, str] = {
     "op3_source_mixing": source_mixing(),
     "op6_embedding_dedup": EMBEDDING_DEDUP,
     "op10_jaccard_join": JACCARD_JOIN,
+    "op11_conversation_trie": CONVERSATION_TRIE,
     "op12_orchard_clusters": orchard_clusters(),
 }

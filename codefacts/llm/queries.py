@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import ann, embed_dedup, jaccard, mixing, orchard, packing, quality, repeats, secrets, token_files, toxicity
+from codefacts.llm import ann, embed_dedup, jaccard, mixing, orchard, packing, prefix_trie, quality, repeats, secrets, token_files, toxicity
 from codefacts.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.documents.select(F.col("doc_key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.forked(prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orchard.cluster(table(spark, sf_dir, "embeddings"))
     # as many rows as there are centroids
@@ -109,5 +113,6 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_orchard_clusters": op12_orchard_clusters,
 }
