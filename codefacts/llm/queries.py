@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import ann, embed_dedup, jaccard, mixing, orchard, packing, prefix_trie, quality, repeats, secrets, token_files, toxicity
+from codefacts.llm import ann, embed_dedup, jaccard, minhash, mixing, orchard, packing, prefix_trie, quality, repeats, secrets, token_files, toxicity
 from codefacts.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,10 @@ def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("doc_key", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -115,4 +119,5 @@ QUERIES: dict[str, Query] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_orchard_clusters": op12_orchard_clusters,
+    "op13_fingerprints": op13_fingerprints,
 }
