@@ -39,6 +39,9 @@ TABLES = (
     "object_defs",
     "symbol_tokens",
     "type_tokens",
+    "blob_lines",
+    "blob_trigrams",
+    "blob_blocks",
     "meta",
 )
 
@@ -46,13 +49,19 @@ TABLES = (
 class Facts:
     """Lazily built fact tables, reached as attributes (``facts.symbols``)."""
 
-    def __init__(self, spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]]):
-        unknown = set(builders) - set(TABLES)
+    def __init__(
+        self,
+        spark: SparkSession,
+        builders: Mapping[str, Callable[[], DataFrame]],
+        copies: Mapping[tuple[str, str], Callable[[], DataFrame]] | None = None,
+    ):
+        unknown = (set(builders) | {table for table, _ in copies or ()}) - set(TABLES)
         if unknown:
             raise ValueError(f"not fact tables: {sorted(unknown)}")
         self.spark = spark
         self._builders = dict(builders)
-        self._built: dict[str, DataFrame] = {}
+        self._copies = dict(copies or {})
+        self._built: dict[str | tuple[str, str], DataFrame] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, tables: Mapping[str, DataFrame]) -> "Facts":
@@ -65,6 +74,15 @@ class Facts:
             self._built[name] = self._builders[name]()
         return self._built[name]
 
+    def by(self, name: str, column: str) -> DataFrame:
+        """The table for a lookup by ``column``: its copy sorted by that column where one is stored."""
+        key = (name, column)
+        if key not in self._copies:
+            return getattr(self, name)
+        if key not in self._built:
+            self._built[key] = self._copies[key]()
+        return self._built[key]
+
     def __contains__(self, name: str) -> bool:
         return name in self._builders
 

@@ -17,7 +17,7 @@ def _neighbours(
     usr: str | Column,
     edge_target: str | Column | None,
 ) -> DataFrame:
-    edges = facts.call_edges.filter(
+    edges = facts.by("call_edges", anchor).filter(
         (F.col("source") == plane) & (F.col(anchor) == common.value(usr))
     )
     if edge_target is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.facts import Facts
-from codefacts.functions import text
+from codefacts.operators import text_index
 
 CGRAPH = "compiler_cgraph"
 OBJDUMP = "objdump"
@@ -51,7 +51,8 @@ def symbol_ref(facts: Facts) -> DataFrame:
 def in_target(df: DataFrame, facts: Facts, target: Column | str, usr: str = "usr") -> DataFrame:
     """Rows whose symbol the link kept in ``target``."""
     kept = (
-        facts.link_resolutions.filter(F.col("target") == value(target))
+        facts.by("link_resolutions", "target")
+        .filter(F.col("target") == value(target))
         .select(F.col("usr").alias(usr))
         .distinct()
     )
@@ -64,33 +65,14 @@ def targets_of(facts: Facts, hits: DataFrame, usr: str = "usr") -> DataFrame:
     return facts.link_resolutions.select("usr", "target").join(wanted, "usr", "left_semi")
 
 
-def contents_of(facts: Facts, rows: DataFrame, bounded: bool) -> DataFrame:
-    """``(blob_hash, content)`` for the hashes in ``rows``.
-
-    A bounded page names its hashes as literals, so the filter reaches the scan
-    of the content table, which is sorted by hash, and no content is shuffled.
-    An unbounded set of rows joins on the hash.
-    """
-    contents = facts.blobs.select(F.col("hash").alias("blob_hash"), "content")
-    wanted = rows.select("blob_hash").filter(F.col("blob_hash").isNotNull()).distinct()
-    if bounded:
-        hashes = [r["blob_hash"] for r in wanted.collect()]
-        return contents.filter(F.col("blob_hash").isin(hashes))
-    return contents
-
-
 def with_location(
     df: DataFrame,
     facts: Facts,
     snippets: bool,
     context: int = SNIPPET_CONTEXT,
     project_root: str = "",
-    bounded: bool = False,
 ) -> DataFrame:
-    """Attach blob hash, absolute path and, if asked, a line window to ``file``/``line`` rows.
-
-    ``bounded`` says that ``df`` is a page, small enough to look at twice.
-    """
+    """Attach blob hash, absolute path and, if asked, a line window to ``file``/``line`` rows."""
     by_path = facts.sources.select(F.col("path").alias("file"), "blob_hash")
     out = df.join(by_path, "file", "left")
     if project_root:
@@ -101,9 +83,4 @@ def with_location(
                 F.concat(F.lit(root), F.col("file"))
             ),
         )
-    if snippets:
-        out = out.join(contents_of(facts, out, bounded), "blob_hash", "left").withColumn(
-            "snippet", text.line_window(F.col("content").cast("string"), F.col("line"), context)
-        )
-        out = out.drop("content")
-    return out
+    return text_index.with_windows(facts, out, context) if snippets else out

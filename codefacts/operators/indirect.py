@@ -20,7 +20,9 @@ def list_indirect_call_sites(
     target: str | Column | None = None,
 ) -> DataFrame:
     """Sites with their caller; order by ``(file, line, column, site_id)`` for a page."""
-    rows = facts.indirect_call_sites
+    # by caller the table itself is sorted
+    typed = caller_usr is None and callee_type is not None
+    rows = facts.by("indirect_call_sites", "callee_type") if typed else facts.indirect_call_sites
     if caller_usr is not None:
         rows = rows.filter(F.col("caller_usr") == common.value(caller_usr))
     if callee_type is not None:
@@ -47,7 +49,7 @@ def resolve_indirect_call(facts: Facts, site_id: int | Column) -> DataFrame:
     signature. Without one: every address-taken function. Each is only ever a
     candidate.
     """
-    site = facts.indirect_call_sites.filter(F.col("site_id") == common.value(site_id))
+    site = facts.by("indirect_call_sites", "site_id").filter(F.col("site_id") == common.value(site_id))
     wanted = site.select(F.coalesce(F.max("callee_type"), F.lit(""))).scalar()
     pool = list_address_taken_functions(facts)
     typed = F.col("callee_type") != ""

@@ -23,12 +23,12 @@ def _named(df: DataFrame, facts: Facts, usr: str, out: str) -> DataFrame:
 
 
 def records(facts: Facts, usr: str | Column, end: str = "caller_usr") -> DataFrame:
-    rows = facts.inline_records.filter(F.col(end) == common.value(usr))
+    rows = facts.by("inline_records", end).filter(F.col(end) == common.value(usr))
     return _named(_named(rows, facts, "caller_usr", "caller"), facts, "callee_usr", "callee")
 
 
 def instances(facts: Facts, usr: str | Column, end: str = "caller_usr") -> DataFrame:
-    rows = facts.inline_instances.filter(F.col(end) == common.value(usr))
+    rows = facts.by("inline_instances", end).filter(F.col(end) == common.value(usr))
     rows = _named(_named(rows, facts, "caller_usr", "caller"), facts, "callee_usr", "callee")
     parents = facts.symbols.select(
         F.col("usr").alias("parent_callee_usr"), F.col("name").alias("parent_callee")
@@ -49,19 +49,19 @@ def summary(facts: Facts, usr: str | Column, end: str = "caller_usr") -> DataFra
     """
     u = common.value(usr)
     by_pass = (
-        facts.inline_records.filter(F.col(end) == u)
+        facts.by("inline_records", end).filter(F.col(end) == u)
         .groupBy(F.col("pass").alias("key"), F.col("inlined").cast("int").alias("inlined"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit("records").alias("plane"), "key", "inlined", "n")
     )
     by_depth = (
-        facts.inline_instances.filter(F.col(end) == u)
+        facts.by("inline_instances", end).filter(F.col(end) == u)
         .groupBy(F.col("depth").cast("string").alias("key"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit("instances").alias("plane"), "key", F.lit(1).alias("inlined"), "n")
     )
     by_edge = (
-        facts.inline_decisions.filter(F.col(end) == u)
+        facts.by("inline_decisions", end).filter(F.col(end) == u)
         .groupBy(F.col("inlined").cast("int").alias("inlined"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit("cgraph_edges").alias("plane"), F.lit("").alias("key"), "inlined", "n")

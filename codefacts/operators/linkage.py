@@ -99,7 +99,7 @@ def list_unreachable_symbols(facts: Facts, target: str | Column) -> DataFrame:
         .agg(F.count(F.lit(1)))
         .scalar()
     )
-    kept = facts.link_resolutions.filter(F.col("target") == t).select("usr").distinct()
+    kept = facts.by("link_resolutions", "target").filter(F.col("target") == t).select("usr").distinct()
     return (
         common.symbol_ref(facts)
         .join(kept, "usr", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codefacts.facts import Facts
 from codefacts.functions import paths, text
-from codefacts.operators import common
+from codefacts.operators import common, text_index
 
 # File extensions by kind, compared in lower case.
 SOURCE_EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".c++", ".m", ".mm")
@@ -191,16 +191,16 @@ def _line_matches(body: Column, pattern: str, regex: bool) -> Column:
     )
 
 
-def blob_matches(facts: Facts, pattern: str, regex: bool = False) -> DataFrame:
-    """``(blob_hash, line, column, match_text)`` over each distinct content once.
+def blob_matches(facts: Facts, pattern: str, regex: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """``(blob_hash, line, column, match_text)`` over each distinct content once, of those in ``wanted`` if given.
 
     Copies of a file share one blob, so the text is searched per blob, where it
     is read, and only the matches are joined to the paths that carry it: no
-    content is ever shuffled.
+    content is ever shuffled. Where trigrams are stored they choose the blobs.
     """
     if not pattern:
         raise ValueError("search pattern is empty")
-    contents = facts.blobs.select(
+    contents = text_index.chosen_contents(facts, pattern, regex, wanted).select(
         F.col("hash").alias("blob_hash"), F.col("content").cast("string").alias("body")
     )
     if not regex:
@@ -217,36 +217,34 @@ def blob_matches(facts: Facts, pattern: str, regex: bool = False) -> DataFrame:
     ).select("blob_hash", "line", "hit.column", "hit.match_text")
 
 
+def file_matches(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The matches of ``blob_matches`` in each of the files ``wanted``."""
+    return wanted.join(found, "blob_hash").select(
+        "table_ord", "path", "line", "column", "match_text", "blob_hash"
+    )
+
+
+def file_counts(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(path, n)``: matches are counted per blob before they meet the paths."""
+    per_blob = found.groupBy("blob_hash").agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(per_blob, "blob_hash").groupBy("path").agg(F.sum("n").alias("n"))
+
+
 def search_matches(
     facts: Facts, pattern: str, regex: bool = False, context: int = 0, **filters
 ) -> DataFrame:
     """Every match; order by ``(table_ord, path, line, column)`` for a page."""
-    wanted = files(facts, **filters)
-    found = blob_matches(facts, pattern, regex)
-    rows = wanted.join(found, "blob_hash").select(
-        "table_ord", "path", "line", "column", "match_text", "blob_hash"
-    )
-    if context > 0:
-        rows = with_context(facts, rows, context)
-    return rows
+    rows = file_matches(blob_matches(facts, pattern, regex), files(facts, **filters))
+    return with_context(facts, rows, context) if context > 0 else rows
 
 
-def with_context(facts: Facts, rows: DataFrame, context: int, bounded: bool = False) -> DataFrame:
-    """Add the line window around each row; ``bounded`` says the rows are a page."""
-    contents = common.contents_of(facts, rows, bounded)
-    return rows.join(contents, "blob_hash").select(
-        *rows.columns,
-        text.line_window(F.col("content").cast("string"), F.col("line"), context).alias("snippet"),
-    )
+def with_context(facts: Facts, rows: DataFrame, context: int) -> DataFrame:
+    """Add the line window around each row."""
+    return text_index.with_windows(facts, rows, context)
 
 
 def search_by_file(facts: Facts, pattern: str, regex: bool = False, **filters) -> DataFrame:
-    """``(path, n)``: matches are counted per blob before they meet the paths."""
-    wanted = files(facts, **filters)
-    per_blob = blob_matches(facts, pattern, regex).groupBy("blob_hash").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return wanted.join(per_blob, "blob_hash").groupBy("path").agg(F.sum("n").alias("n"))
+    return file_counts(blob_matches(facts, pattern, regex), files(facts, **filters))
 
 
 def search_by_directory(by_file: DataFrame) -> DataFrame:

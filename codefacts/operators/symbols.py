@@ -39,7 +39,7 @@ def find_symbol(
     if exact:
         q = common.value(query)
         named = facts.symbol_names.filter(F.col("linkage_name") == q).select("usr")
-        own = facts.symbols.filter(F.col("name") == q).select("usr")
+        own = facts.by("symbols", "name").filter(F.col("name") == q).select("usr")
         hits = named.unionByName(own).distinct()
     else:
         hits = prefix_hits(facts.symbol_tokens, query)
@@ -72,7 +72,8 @@ def describe_symbol(facts: Facts, usr: str | Column) -> DataFrame:
 
 
 def linkage_names(facts: Facts, usr: str | Column) -> DataFrame:
-    return facts.symbol_names.filter(F.col("usr") == common.value(usr)).select("linkage_name").distinct()
+    names = facts.by("symbol_names", "usr").filter(F.col("usr") == common.value(usr))
+    return names.select("linkage_name").distinct()
 
 
 def definitions(facts: Facts, usr: str | Column, snippets: bool = True) -> DataFrame:

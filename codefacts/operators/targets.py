@@ -32,7 +32,7 @@ def list_targets(facts: Facts) -> DataFrame:
 def describe_target(facts: Facts, name: str | Column) -> DataFrame:
     """Identity and exact counts of one target."""
     t = common.value(name)
-    links = facts.link_resolutions.filter(F.col("target") == t)
+    links = facts.by("link_resolutions", "target").filter(F.col("target") == t)
     linked = links.agg(F.count(F.lit(1))).scalar()
     reachable = (
         links.join(facts.symbols.select("usr"), "usr", "left_semi").agg(F.count(F.lit(1))).scalar()
@@ -56,7 +56,8 @@ def target_source_files(facts: Facts, name: str | Column) -> DataFrame:
 
 def target_archives(facts: Facts, name: str | Column) -> DataFrame:
     return (
-        facts.link_resolutions.filter((F.col("target") == common.value(name)) & (F.col("archive") != ""))
+        facts.by("link_resolutions", "target")
+        .filter((F.col("target") == common.value(name)) & (F.col("archive") != ""))
         .select("archive")
         .distinct()
     )
@@ -64,7 +65,7 @@ def target_archives(facts: Facts, name: str | Column) -> DataFrame:
 
 def target_entry_points(facts: Facts, name: str | Column) -> DataFrame:
     """``main`` per defining file; files of the target's own list order first (``own``)."""
-    mains = common.in_target(facts.symbols.filter(F.col("name") == "main"), facts, name)
+    mains = common.in_target(facts.by("symbols", "name").filter(F.col("name") == "main"), facts, name)
     at = facts.symbol_definitions.groupBy("usr", "file").agg(F.min("line").alias("line"))
     own = (
         facts.target_sources.filter(F.col("target") == common.value(name))

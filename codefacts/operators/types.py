@@ -14,14 +14,13 @@ ENUM_CONSTANT = "enum_constant"
 
 
 def _type_hits(facts: Facts, query: str, exact: bool, kind: str | None) -> DataFrame | None:
-    types = facts.types
     if exact:
-        rows = types.filter(F.col("name") == query)
+        rows = facts.by("types", "name").filter(F.col("name") == query)
     else:
         hits = prefix_hits(facts.type_tokens, query)
         if hits is None:
             return None
-        rows = types.join(hits, "usr", "left_semi")
+        rows = facts.types.join(hits, "usr", "left_semi")
     if kind:
         rows = rows.filter(F.col("kind") == kind)
     return rows.select(

@@ -30,7 +30,7 @@ from codefacts.operators import (
 )
 from codefacts.plans import sql_query
 from codefacts.plans.snapshot import Catalog
-from codefacts.session import exists
+from codefacts.session import cut_lineage, exists
 
 
 @dataclass
@@ -71,20 +71,16 @@ class Index:
             self._require(facts.targets.filter(F.col("name") == target), f"unknown target {target!r}")
 
     def _paged(self, rows: DataFrame, keys: list, limit: int | None, **extra) -> Answer:
-        """All rows in order, or a page of them; the page's rows and one more are taken once."""
+        """All rows in order, or a page of them; the page's rows and one more are stored once."""
         ordered = rows.orderBy(*keys)
         if common.page_size(limit) is None:
             return Answer(ordered, **extra)
-        taken = ordered.limit(limit + 1).collect()
-        page = rows.sparkSession.createDataFrame(taken[:limit], rows.schema)
-        return Answer(page, truncated=len(taken) > limit, **extra)
+        taken = cut_lineage(ordered.limit(limit + 1))
+        return Answer(taken.orderBy(*keys).limit(limit), truncated=taken.count() > limit, **extra)
 
-    def _located(self, facts, rows: DataFrame, snippets: bool, keys: list, bounded: bool = True) -> DataFrame:
+    def _located(self, facts, rows: DataFrame, snippets: bool, keys: list) -> DataFrame:
         """Rows with locations; the joins do not keep order, so a page is sorted again."""
-        located = common.with_location(
-            rows, facts, snippets, project_root=self._project_root, bounded=bounded
-        )
-        return located.orderBy(*keys)
+        return common.with_location(rows, facts, snippets, project_root=self._project_root).orderBy(*keys)
 
     # -- schema, SQL, reload -------------------------------------------------
 
@@ -175,21 +171,25 @@ class Index:
         self, pattern: str, regex: bool = False, target: str | None = None, path_prefix: str = "",
         kind: str | None = None, include_external: bool = False, context: int = 0, limit: int | None = None,
     ) -> Answer:
-        """Totals count every match; only the rows shown are cut to a page."""
+        """Totals count every match; only the rows shown are cut to a page.
+
+        Contents are read once, those of the wanted files that can hold a
+        match; all parts of the answer come from the stored matches.
+        """
         facts = self._facts
         self._has_sources(facts, target)
         filters = dict(target=target, path_prefix=path_prefix, kind=kind, include_external=include_external)
-        matches = source_text.search_matches(facts, pattern, regex, **filters)
         keys = ["table_ord", "path", "line", "column"]
         if context < 0:
             raise ValueError("context counts lines on each side, 0 or more")
-        answer = self._paged(matches, keys, limit)
+        wanted = source_text.files(facts, **filters)
+        found = cut_lineage(source_text.blob_matches(facts, pattern, regex, wanted))
+        answer = self._paged(source_text.file_matches(found, wanted), keys, limit)
         # Without context the window is the matching line itself.
-        bounded = limit is not None
-        answer.rows = source_text.with_context(facts, answer.rows, context, bounded=bounded).orderBy(*keys)
-        by_file = source_text.search_by_file(facts, pattern, regex, **filters)
+        answer.rows = source_text.with_context(facts, answer.rows, context).orderBy(*keys)
+        by_file = source_text.file_counts(found, wanted)
         answer.parts = {
-            "summary": source_text.search_summary(by_file, source_text.files(facts, **filters)),
+            "summary": source_text.search_summary(by_file, wanted),
             "matches_by_file": source_text.top_counts(by_file, "path"),
             "matches_by_directory": source_text.top_counts(source_text.search_by_directory(by_file), "directory"),
         }
@@ -204,7 +204,7 @@ class Index:
         facts = self._facts
         self._target(facts, name)
         entries = self._located(
-            facts, targets.target_entry_points(facts, name), True, [F.desc("own"), "file", "line"], bounded=False
+            facts, targets.target_entry_points(facts, name), True, [F.desc("own"), "file", "line"]
         )
         return Answer(
             targets.describe_target(facts, name),
@@ -233,7 +233,7 @@ class Index:
         facts = self._facts
         self._symbol(facts, usr)
         found = facts.symbol_definitions.filter(F.col("usr") == usr)
-        definitions = self._located(facts, found, True, ["file", "line"], bounded=False)
+        definitions = self._located(facts, found, True, ["file", "line"])
         return Answer(
             symbols.describe_symbol(facts, usr),
             {
@@ -416,7 +416,7 @@ class Index:
         listed = rows.select("usr")
         weak = facts.symbol_definitions.filter("is_weak").select("usr", "file", "line")
         weak = weak.join(listed, "usr", "left_semi")
-        weak = self._located(facts, weak, True, ["usr", "file", "line"], bounded=False)
+        weak = self._located(facts, weak, True, ["usr", "file", "line"])
         resolutions = facts.link_resolutions.join(listed, "usr", "left_semi")
         return Answer(rows.orderBy("name", "usr"), {"definitions": weak, "resolutions": resolutions})
 

@@ -676,6 +676,51 @@ UNCUT = (
 )
 ORACLE |= {f"{name}_all": re.sub(r"\s+ORDER BY [^()]* LIMIT \d+\s*$", "", ORACLE[name]) for name in UNCUT}
 
+# Over a snapshot the answers are those of the facts that were published.
+ORACLE |= {
+    f"published_{name}": ORACLE[same]
+    for name, same in {
+        "list_callers": "list_callers_all", "list_callers_target": "list_callers_target_all", "list_linked_callers": "list_linked_callers",
+        "list_inline_instances": "list_inline_instances", "find_symbol_exact": "find_symbol_exact", "describe_type": "describe_type_fields",
+        "location_snippets": "location_snippets",
+    }.items()
+}
+ORACLE |= {
+    "published_in_target": f"""
+        SELECT usr, name, kind, coalesce(signature, '') AS signature FROM symbols
+        WHERE usr IN (SELECT usr FROM link_resolutions WHERE target = '{TARGET}')""",
+    "published_explain_call": f"""
+        WITH pair AS (SELECT caller_usr, callee_usr FROM inline_records GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)
+        SELECT coalesce(o.verdict, 'no_decision_logged') AS verdict, coalesce(o.reason, '') AS reason,
+               (SELECT CAST(bool_or(d.inlined) AS BIGINT) FROM inline_decisions d, pair p
+                WHERE d.caller_usr = p.caller_usr AND d.callee_usr = p.callee_usr) AS cgraph_inlined,
+               (SELECT CAST(count(*) > 0 AS BIGINT) FROM linked_calls l, pair p
+                WHERE l.target = '{TARGET}' AND l.caller_usr = p.caller_usr AND l.callee_usr = p.callee_usr) AS linked_edge
+        FROM pair LEFT JOIN overall o ON o.caller_usr = pair.caller_usr AND o.callee_usr = pair.callee_usr""",
+    "published_search_source": """
+        SELECT f.path, h.line, h.col,
+               sha256(array_to_string(b.rows[greatest(h.line - 1, 1):h.line + 1], chr(10))) AS snippet_hash
+        FROM files f
+        JOIN (SELECT hash, line, strlen(array_to_string(pieces[1:k], 'ment la')) + 1 AS col
+              FROM (SELECT hash, line, string_split(row, 'ment la') AS pieces,
+                           unnest(range(1, len(string_split(row, 'ment la')))) AS k
+                    FROM line_rows WHERE contains(row, 'ment la'))) h ON h.hash = f.blob_hash
+        JOIN blob_lines b ON b.hash = h.hash""",
+    # The k-th match starts after the first k pieces and k-1 matches.
+    "published_search_source_regex": """
+        SELECT f.path, h.line, h.met[h.k] AS match_text,
+               CAST(strlen(array_to_string(h.pieces[1:h.k], '')) + strlen(array_to_string(h.met[1:h.k - 1], '')) + 1 AS BIGINT) AS col
+        FROM files f
+        JOIN (SELECT hash, line, string_split_regex(row, '[aeé]ux') AS pieces, regexp_extract_all(row, '[aeé]ux') AS met,
+                     unnest(range(1, len(regexp_extract_all(row, '[aeé]ux')) + 1)) AS k
+              FROM line_rows) h ON h.hash = f.blob_hash""",
+    "published_sql_query": """
+        SELECT s.kind, e.source, count(*) AS n, count(DISTINCT e.target) AS n_targets
+        FROM call_edges e JOIN symbols s ON s.usr = e.callee_usr
+        WHERE EXISTS (SELECT 1 FROM symbol_names n WHERE n.usr = s.usr)
+        GROUP BY s.kind, e.source""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: render(sql) for name, sql in ORACLE.items()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codefacts import schemas
 from codefacts.facts import TABLES, Facts
 from codefacts.functions import text
-from codefacts.operators import link_ingest
+from codefacts.operators import link_ingest, text_index
 from codefacts.operators.ids import assign_ids
 from codefacts.session import cut_lineage
 
@@ -21,21 +21,55 @@ POINTER = "CURRENT"
 # Derived when read, never stored: one row per target and losing object would
 # repeat every candidate list once per target.
 VIEWS = ("link_losers",)
-# How each table is laid out: sort keys give row-group statistics that point
-# filters can skip by.
+# Written by the publication itself.
+DERIVED = ("meta", "blob_lines", "blob_trigrams", "blob_blocks")
+# How each table is laid out. Row groups and pages of a sorted table carry narrow
+# ranges, so a lookup by its first key reads little of it. The keys after the
+# first part the rows of one hot key between files.
 SORT_KEYS = {
     "symbols": ["usr"],
-    "symbol_names": ["linkage_name"],
-    "symbol_definitions": ["usr"],
-    "symbol_tokens": ["token"],
-    "type_tokens": ["token"],
+    "symbol_names": ["linkage_name", "usr"],
+    "symbol_definitions": ["usr", "file", "line"],
+    "symbol_tokens": ["token", "usr"],
+    "type_tokens": ["token", "usr"],
     "types": ["usr"],
+    "type_fields": ["type_usr", "ordinal"],
+    "enum_constants": ["type_usr", "value"],
+    "call_edges": ["caller_usr", "callee_usr"],
+    "indirect_call_sites": ["caller_usr", "site_id"],
+    "inline_decisions": ["caller_usr", "callee_usr"],
     "inline_records": ["caller_usr", "callee_usr"],
     "inline_instances": ["caller_usr", "callee_usr"],
-    "link_resolutions": ["usr"],
+    "icf_group_members": ["winner_usr", "loser_usr"],
+    "link_resolutions": ["usr", "target"],
+    "object_defs": ["name", "object"],
+    "target_sources": ["target", "file"],
     "sources": ["path"],
+    "external_sources": ["abs_path"],
+    "generated_sources": ["builddir_rel"],
     "blobs": ["hash"],
 }
+# Second copies of tables that are also looked up by another column.
+COPIES = {
+    "symbols": [["name", "usr"]],
+    "symbol_names": [["usr", "linkage_name"]],
+    "types": [["name", "usr"]],
+    "call_edges": [["callee_usr", "caller_usr"]],
+    "indirect_call_sites": [["callee_type", "site_id"], ["site_id"]],
+    "inline_decisions": [["callee_usr", "caller_usr"]],
+    "inline_records": [["callee_usr", "caller_usr"]],
+    "inline_instances": [["callee_usr", "caller_usr"]],
+    "link_resolutions": [["target", "usr"]],
+    "target_sources": [["file", "target"]],
+}
+# Contents are long and are asked for one by one, so their pages are small.
+PAGE_ROWS = {"blobs": 32}
+# Every query names its plane, so the planes are separate directories.
+DIRECTORIES = {"call_edges": "source"}
+
+
+def copy_name(table: str, column: str) -> str:
+    return f"{table}.by_{column}"
 
 
 class SnapshotError(Exception):
@@ -126,13 +160,48 @@ def _with_ids(facts: Facts) -> dict[str, DataFrame]:
     return tables
 
 
+def _write_sorted(
+    df: DataFrame, path: str, keys: list[str], directory: str | None = None, row_group_bytes: int | None = None, page_rows: int | None = None
+) -> None:
+    if keys:
+        df = df.repartitionByRange(*keys)
+        df = df.sortWithinPartitions(*([directory] if directory else []), *keys)
+    writer = df.write.option("compression", "zstd").mode("errorifexists")
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    if page_rows:
+        writer = writer.option("parquet.page.row.count.limit", page_rows)
+    if directory:
+        writer = writer.partitionBy(directory)
+    writer.parquet(path)
+
+
+def _write_text_index(blobs: DataFrame, base: str, row_group_bytes: int | None) -> None:
+    """Line offsets, trigram postings and block places of the stored blobs, whose order the blocks follow."""
+    spark, mixed = blobs.sparkSession, f"{base}/.mixed"
+    _write_sorted(text_index.blob_lines(blobs), f"{base}/blob_lines", [], None, row_group_bytes)
+    text_index.index_blobs(blobs).write.option("compression", "zstd").parquet(mixed)
+    found = spark.read.schema(text_index.MIXED).parquet(mixed)
+    postings = found.filter("trigram IS NOT NULL").select("trigram", "block", "members")
+    _write_sorted(postings, f"{base}/blob_trigrams", ["trigram", "block"], None, row_group_bytes)
+    places = found.filter("hash IS NOT NULL").select("block", "slot", "hash")
+    _write_sorted(places, f"{base}/blob_blocks", ["block", "slot"], None, row_group_bytes)
+    fs, _, path = _filesystem(spark, mixed)
+    fs.delete(path, True)
+
+
 def publish(
-    facts: Facts, path: str, replace: bool = False, properties: dict[str, str] | None = None
+    facts: Facts,
+    path: str,
+    replace: bool = False,
+    properties: dict[str, str] | None = None,
+    row_group_bytes: int | None = None,
 ) -> str:
-    """Write every table beside earlier versions, then switch the pointer in one rename.
+    """Write every table and its copies beside earlier versions, then switch the pointer in one rename.
 
     Readers see the old version or the new one. A failure before the switch
-    leaves what was published before.
+    leaves what was published before. ``row_group_bytes`` sets how finely a
+    lookup can skip; by default Parquet's own size.
     """
     spark = facts.spark
     fs, jvm, root = _filesystem(spark, path)
@@ -142,21 +211,17 @@ def publish(
     version = f"v-{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     base = f"{path.rstrip('/')}/{version}"
     for name, df in _with_ids(facts).items():
-        if name == "meta":
+        if name in DERIVED:
             continue
-        if name in SORT_KEYS:
-            df = df.repartitionByRange(*SORT_KEYS[name]).sortWithinPartitions(*SORT_KEYS[name])
-        writer = df.write.option("compression", "zstd").mode("errorifexists")
-        if name == "call_edges":
-            # Every query names its plane, so the planes are separate directories.
-            writer = (
-                df.repartition("source", "caller_usr")
-                .sortWithinPartitions("source", "caller_usr")
-                .write.option("compression", "zstd")
-                .mode("errorifexists")
-                .partitionBy("source")
-            )
-        writer.parquet(f"{base}/{name}")
+        directory = DIRECTORIES.get(name)
+        _write_sorted(df, f"{base}/{name}", SORT_KEYS.get(name, []), directory, row_group_bytes, PAGE_ROWS.get(name))
+        if name == "blobs":
+            _write_text_index(spark.read.schema(df.schema).parquet(f"{base}/{name}"), base, row_group_bytes)
+        if name in COPIES:
+            # what was written is sorted again: no fact is resolved twice
+            stored = spark.read.schema(df.schema).parquet(f"{base}/{name}")
+            for keys in COPIES[name]:
+                _write_sorted(stored, f"{base}/{copy_name(name, keys[0])}", keys, directory, row_group_bytes)
     stamp = datetime.now(timezone.utc).isoformat()
     rows = {"schema_version": schemas.SCHEMA_VERSION, "indexed_at": stamp, **(properties or {})}
     spark.createDataFrame(sorted(rows.items()), "key string, value string").coalesce(1).write.mode(
@@ -208,10 +273,17 @@ def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
         n for n in TABLES if n not in VIEWS and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{n}"))
     ]
     builders = {n: (lambda n=n: session.read.parquet(f"{base}/{n}")) for n in stored}
-    facts = Facts(session, builders)
+    # Snapshots written without copies answer from the tables themselves.
+    copies = {
+        (n, keys[0]): (lambda p=f"{base}/{copy_name(n, keys[0])}": session.read.parquet(p))
+        for n in stored
+        for keys in COPIES.get(n, [])
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{copy_name(n, keys[0])}"))
+    }
+    facts = Facts(session, builders, copies)
     if "object_defs" in facts:
         losers = lambda: link_ingest.losers_view(facts.link_resolutions, facts.object_defs)
-        facts = Facts(session, {**builders, "link_losers": losers})
+        facts = Facts(session, {**builders, "link_losers": losers}, copies)
     return Snapshot(path, version, facts, properties)
 
 

@@ -11,6 +11,9 @@ TABLE_SCHEMAS = {
     "targets": "id bigint, name string, kind string, link_command string",
     "target_sources": "target_id bigint, target string, file string",
     "blobs": "hash string, size bigint, content binary",
+    "blob_lines": "hash string, line_starts array<int>, text_end int",
+    "blob_trigrams": "trigram int, block string, members bigint",
+    "blob_blocks": "block string, slot int, hash string",
     "sources": "path string, blob_hash string, is_generated boolean",
     "external_sources": "abs_path string, blob_hash string",
     "generated_sources": "builddir_rel string, blob_hash string",
