@@ -17,6 +17,18 @@ TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 QUERY_WORD = re.compile(r"[A-Za-z0-9]+")
 
 
+#: Values that are named in a filter rather than joined.
+MOST_NAMED = 100
+
+
+def any_of(column: str, values: list[str]) -> Column:
+    """Equalities in a balanced tree: Parquet tests each against a page's range, but of a list only the least and greatest value."""
+    if len(values) <= 1:
+        return F.col(column) == values[0] if values else F.lit(False)
+    half = len(values) // 2
+    return any_of(column, values[:half]) | any_of(column, values[half:])
+
+
 def fold(text: Column) -> Column:
     """Case- and diacritic-folded text."""
     return F.translate(F.lower(text), ACCENTED, BASE)

@@ -1,11 +1,18 @@
 """Bounded enumeration of simple call paths.
 
-The reachable part is narrowed first: a backward breadth-first pass gives, for
-every symbol, its distance to the destination, so a partial path is only
-extended where the hops left can still reach it. Partial paths then grow one
-join per hop. Whole paths order by their sequence of names (then identities),
-which is the order a depth-first walk visiting callees by name would give, so
-a page of the first n is well defined.
+Whole paths order by their sequence of names (then identities), which is the
+order a depth-first walk visiting callees by name would give, so a page of the
+first n is well defined.
+
+A page is found from both ends: calls are followed forward from the start for
+half of the hops and backward from the destination for the others, by lookups of
+the frontier in the edges sorted by that end. A node of a path lies in one of
+the two neighbourhoods, so the edges met hold every path. Those that are on no
+walk of the allowed length are dropped by their layers, the distances from both
+ends, and the first paths are read off the layered edges in order.
+
+Where the neighbourhoods are too large for that, and for the list of all paths,
+partial paths grow one join per hop over the edges that still lead on.
 """
 
 from __future__ import annotations
@@ -16,9 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.facts import Facts
+from codefacts.functions import text
 from codefacts.operators import common
 from codefacts.session import cut_lineage
 
+#: Edges of both neighbourhoods that are read off at once.
+MOST_EDGES = 200_000
+
 # Hop bound used when none is given, and the greatest that can be.
 DEFAULT_DEPTH = 6
 GREATEST_DEPTH = 16
@@ -32,23 +43,89 @@ def depth_bound(max_depth: int | None) -> int:
     return max_depth
 
 
-def _edges(facts: Facts, target: str | None) -> DataFrame:
-    edges = (
-        facts.call_edges.filter(F.col("source") == common.CGRAPH)
-        .select("caller_usr", "callee_usr")
-        .distinct()
-    )
+def _edges(facts: Facts, target: str | None, end: str = "caller_usr") -> DataFrame:
+    """Calls of the source view, from the copy sorted by ``end``; ``target`` keeps calls between symbols linked into it."""
+    edges = facts.by("call_edges", end).filter(F.col("source") == common.CGRAPH).select("caller_usr", "callee_usr")
     if target is not None:
         edges = common.in_target(edges, facts, target, "caller_usr")
         edges = common.in_target(edges, facts, target, "callee_usr")
     return edges
 
 
-def distances_to(edges: DataFrame, to_usr: str, depth: int) -> DataFrame:
+def _neighbourhood(facts: Facts, usr: str, end: str, hops: int, target: str | None, most: int) -> set[tuple[str, str]] | None:
+    """Calls met on the way of up to ``hops`` calls from ``usr``, its side of a call being ``end``; None if they are too many."""
+    met: set[tuple[str, str]] = set()
+    seen, frontier = {usr}, {usr}
+    edges = _edges(facts, target, end)
+    for _ in range(hops):
+        if not frontier:
+            break
+        names = sorted(frontier)
+        if len(names) <= text.MOST_NAMED:
+            step = edges.filter(text.any_of(end, names))
+        else:
+            asked = facts.spark.createDataFrame([(n,) for n in names], f"{end} string")
+            step = edges.join(F.broadcast(asked), end, "left_semi")
+        rows = step.distinct().limit(most + 1 - len(met)).collect()
+        met |= {(r["caller_usr"], r["callee_usr"]) for r in rows}
+        if len(met) > most:
+            return None
+        far = 1 if end == "caller_usr" else 0
+        frontier = {e[far] for e in met} - seen
+        seen |= frontier
+    return met
+
+
+def _layers(edges: dict[str, set[str]], start: str) -> dict[str, int]:
+    """Fewest steps from ``start`` along ``edges``."""
+    found, frontier, hop = {start: 0}, [start], 0
+    while frontier:
+        hop += 1
+        frontier = list({n for f in frontier for n in edges.get(f, ()) if n not in found})
+        found.update(dict.fromkeys(frontier, hop))
+    return found
+
+
+def _read_off(facts: Facts, met: set[tuple[str, str]], from_usr: str, to_usr: str, depth: int, limit: int) -> list[tuple[list[str], list[str], int]]:
+    """The first ``limit`` simple paths of the calls ``met``, in order."""
+    out, back = {}, {}
+    for a, b in met:
+        # a path neither returns to its start nor leaves its end
+        if b != from_usr and a != to_usr:
+            out.setdefault(a, set()).add(b)
+            back.setdefault(b, set()).add(a)
+    ahead, behind = _layers(back, to_usr), _layers(out, from_usr)
+    useful = {
+        a: [b for b in bs if a in behind and b in ahead and behind[a] + 1 + ahead[b] <= depth] for a, bs in out.items()
+    }
+    nodes = sorted({from_usr, to_usr} | {n for a, bs in useful.items() if bs for n in (a, *bs)})
+    symbols = facts.symbols.select("usr", "name")
+    if len(nodes) <= text.MOST_NAMED:
+        symbols = symbols.filter(text.any_of("usr", nodes))
+    else:
+        symbols = symbols.join(F.broadcast(facts.spark.createDataFrame([(n,) for n in nodes], "usr string")), "usr", "left_semi")
+    names = {r["usr"]: r["name"] for r in symbols.collect()}
+    if from_usr not in names:
+        return []
+    page: list[tuple[list[str], list[str], int]] = []
+    # Partial paths of one sequence of names go on together, the least sequence first.
+    left = [([names[from_usr]], [[from_usr]])]
+    while left and len(page) < limit:
+        told, partial = left.pop()
+        page += sorted((told, p, len(p) - 1) for p in partial if p[-1] == to_usr)
+        following: dict[str, list[list[str]]] = {}
+        for p in partial:
+            for b in useful.get(p[-1], ()):
+                if b in names and b not in p and len(p) + ahead[b] <= depth:
+                    following.setdefault(names[b], []).append([*p, b])
+        left += [([*told, n], following[n]) for n in sorted(following, reverse=True)]
+    return page[:limit]
+
+
+def distances_to(facts: Facts, to_usr: str, depth: int, target: str | None = None) -> DataFrame:
     """``(usr, hops)``: fewest calls from each symbol to ``to_usr``, up to ``depth``."""
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(to_usr, 0)], "usr string, hops int")
-    reached = frontier
+    frontier = facts.spark.createDataFrame([(to_usr, 0)], "usr string, hops int")
+    reached, edges = frontier, _edges(facts, target, "callee_usr")
     for hop in range(1, depth + 1):
         step = (
             edges.join(frontier.select(F.col("usr").alias("callee_usr")), "callee_usr", "left_semi")
@@ -78,15 +155,16 @@ class _Search:
         start = facts.symbols.filter(F.col("usr") == from_usr).select(
             F.array("usr").alias("usrs"), F.array("name").alias("names"), F.col("usr").alias("tip")
         )
-        # Read once, used by every hop of both passes.
-        edges = cut_lineage(_edges(facts, target))
         # The first call is spent before the distance of its callee counts.
-        hops_left = distances_to(edges, to_usr, depth - 1)
+        hops_left = distances_to(facts, to_usr, depth - 1, target)
         names = facts.symbols.select(F.col("usr").alias("callee_usr"), F.col("name").alias("callee_name"))
         # Only edges towards the destination, with the hops still needed after them.
-        useful = edges.join(
-            hops_left.select(F.col("usr").alias("callee_usr"), "hops"), "callee_usr"
-        ).join(names, "callee_usr")
+        useful = (
+            _edges(facts, target, "callee_usr")
+            .join(hops_left.select(F.col("usr").alias("callee_usr"), "hops"), "callee_usr")
+            .distinct()
+            .join(names, "callee_usr")
+        )
         return cls(start, cut_lineage(useful), to_usr, depth)
 
     def grow(self, partial: DataFrame, hop: int) -> DataFrame:
@@ -139,19 +217,27 @@ def first_call_paths(
     target: str | None = None,
     limit: int = common.PAGE["call_paths"],
     width: int = 100_000,
+    most_edges: int = MOST_EDGES,
 ) -> DataFrame:
     """The first ``limit`` simple paths in name order, without listing the others.
 
-    Where a hop gives more than ``width`` partial paths, those first in order
-    go on and the rest is put aside. Work put aside is taken up again, least
+    Up to ``most_edges`` calls around both ends are read off at once. Beyond
+    that partial paths grow by joins; where a hop gives more than ``width`` of
+    them, those first in order go on and the rest is put aside. Work put aside is taken up again, least
     first, until no partial path left can precede the page that was found, so
-    the page is exact whatever the width.
+    the page is exact either way.
     """
     if from_usr == to_usr:
         return _trivial(facts, from_usr)
-    search = _Search.prepare(facts, from_usr, to_usr, depth_bound(max_depth), target)
+    depth = depth_bound(max_depth)
+    forward = _neighbourhood(facts, from_usr, "caller_usr", (depth + 1) // 2, target, most_edges)
+    backward = forward is not None and _neighbourhood(facts, to_usr, "callee_usr", depth // 2, target, most_edges)
+    if forward is not None and backward is not None:
+        page = _read_off(facts, forward | backward, from_usr, to_usr, depth, limit)
+        return _paths(facts, page)
+    search = _Search.prepare(facts, from_usr, to_usr, depth, target)
     # Pages are bounded by the limit, so they may meet on the driver.
-    page: list[tuple[list[str], list[str], int]] = []
+    page = []
     waiting: list[tuple[list[str], int, DataFrame]] = [([], 1, search.start)]
     while waiting:
         least = min(range(len(waiting)), key=lambda i: waiting[i][0])
@@ -176,6 +262,10 @@ def first_call_paths(
                 rest = rest.filter(F.col("names") <= edge)
         if seen["n"]:
             waiting.append((list(seen["least"]), hop + 1, rest))
+    return _paths(facts, page)
+
+
+def _paths(facts: Facts, page: list[tuple[list[str], list[str], int]]) -> DataFrame:
     return facts.spark.createDataFrame(
         [(usrs, names, hops) for names, usrs, hops in page], "usrs array<string>, names array<string>, hops int"
     )

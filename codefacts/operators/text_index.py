@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.facts import Facts
+from codefacts.functions.text import MOST_NAMED, any_of
 
 #: Blobs of a block: the bits of a long.
 BLOCK = 64
 #: Hex digits of a block's name, the beginning of its first hash.
 NAME_DIGITS = 24
-#: Hashes that are named in a filter; more are joined, and beyond the second bound all contents are read.
-MOST_NAMED, MOST_JOINED = 500, 200_000
+#: Hashes that are joined with contents; beyond it all contents are read.
+MOST_JOINED = 200_000
 #: Asked lines that are sent to every task at once; more go in several rounds, each over its own range of hashes.
 MOST_LINES = 200_000
 #: Alternatives that one place of a regular expression may stand for.
@@ -252,14 +253,6 @@ def candidates(facts: Facts, clauses: Iterable[list[bytes]]) -> DataFrame:
     return places.filter(F.getbit("members", F.col("slot")) == 1).select("hash")
 
 
-def _any_of(column: str, values: list[str]) -> Column:
-    """Equalities in a balanced tree: Parquet tests each against a page's range, but of a list only the least and greatest value."""
-    if len(values) <= 1:
-        return F.col(column) == values[0] if values else F.lit(False)
-    half = len(values) // 2
-    return _any_of(column, values[:half]) | _any_of(column, values[half:])
-
-
 def chosen_contents(facts: Facts, pattern: str, regex: bool, wanted: DataFrame | None) -> DataFrame:
     """``(hash, content)`` of the blobs that may hold a match, of those in ``wanted`` (blob_hash) if it is given.
 
@@ -277,7 +270,7 @@ def chosen_contents(facts: Facts, pattern: str, regex: bool, wanted: DataFrame |
         return contents
     named = [r["hash"] for r in chosen.limit(MOST_NAMED + 1).collect()]
     if len(named) <= MOST_NAMED:
-        return contents.filter(_any_of("hash", sorted(named)))
+        return contents.filter(any_of("hash", sorted(named)))
     if chosen.limit(MOST_JOINED + 1).count() <= MOST_JOINED:
         return contents.join(F.broadcast(chosen), "hash", "left_semi")
     return contents

@@ -682,7 +682,7 @@ ORACLE |= {
     for name, same in {
         "list_callers": "list_callers_all", "list_callers_target": "list_callers_target_all", "list_linked_callers": "list_linked_callers",
         "list_inline_instances": "list_inline_instances", "find_symbol_exact": "find_symbol_exact", "describe_type": "describe_type_fields",
-        "location_snippets": "location_snippets",
+        "location_snippets": "location_snippets", "list_call_paths": "list_call_paths",
     }.items()
 }
 ORACLE |= {

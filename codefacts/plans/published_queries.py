@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.facts import Facts
-from codefacts.operators import callgraph, common, inlining, source_text, symbols, types
+from codefacts.operators import call_paths, callgraph, common, inlining, source_text, symbols, types
 from codefacts.plans import snapshot, sql_query
-from codefacts.plans.queries import TARGET, TEXT_REGEX, facts_of, longs, query
+from codefacts.plans.queries import TARGET, TEXT_REGEX, facts_of, joined_paths, longs, query
 from codefacts.seed import Seed
 from codefacts.session import ensure_checkpoint_dir
 
@@ -110,6 +110,13 @@ def _explain_call(facts: Facts) -> DataFrame:
     return inlining.explain_call(facts, pair["caller_usr"], pair["callee_usr"], TARGET)[0]
 
 
+@published_query("list_call_paths")
+def _list_call_paths(facts: Facts) -> DataFrame:
+    """The first paths from the busiest caller to the busiest callee."""
+    ends = (_busiest(facts, common.CGRAPH, end) for end in ("caller_usr", "callee_usr"))
+    return joined_paths(call_paths.first_call_paths(facts, *ends))
+
+
 @published_query("location_snippets")
 def _location_snippets(facts: Facts) -> DataFrame:
     rows = common.with_location(facts.symbol_definitions.select("file", "line").distinct(), facts, True)

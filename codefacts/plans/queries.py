@@ -229,7 +229,7 @@ def _path_ends(facts: Facts) -> tuple[str, str]:
     return ends["a"], ends["b"]
 
 
-def _joined_paths(paths: DataFrame) -> DataFrame:
+def joined_paths(paths: DataFrame) -> DataFrame:
     return paths.select(
         F.array_join("names", " -> ").alias("names"),
         F.array_join("usrs", " -> ").alias("usrs"),
@@ -240,14 +240,14 @@ def _joined_paths(paths: DataFrame) -> DataFrame:
 @query("list_call_paths")
 def _call_paths(facts: Facts, seed: Seed) -> DataFrame:
     a, b = _path_ends(facts)
-    return _joined_paths(call_paths.first_call_paths(facts, a, b))
+    return joined_paths(call_paths.first_call_paths(facts, a, b))
 
 
 @query("simple_paths")
 def _simple_paths(facts: Facts, seed: Seed) -> DataFrame:
     """All simple paths of the usual depth, no page."""
     a, b = _path_ends(facts)
-    return _joined_paths(call_paths.list_call_paths(facts, a, b))
+    return joined_paths(call_paths.list_call_paths(facts, a, b))
 
 
 # -- symbols --------------------------------------------------------------------

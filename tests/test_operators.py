@@ -336,18 +336,31 @@ def test_paths_equal_brute_force(spark, seed):
     assert got == _brute_paths(edges, "a", "g", 4)
 
 
-@pytest.mark.parametrize("limit, width", [(3, 2), (50, 4), (4, 100)])
-def test_first_paths_are_exact_at_any_width(spark, limit, width):
+@pytest.mark.parametrize("limit, width, most_edges", [(3, 2, 0), (50, 4, 0), (4, 100, 9), (3, 1, 1000), (50, 1, 1000)])
+def test_first_paths_are_exact_at_any_width(spark, limit, width, most_edges):
     rng = random.Random(limit)
     nodes = "abcdefg"
     edges = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(26)} | {("a", "b"), ("f", "g")})
     names = {n: "x" if n in "bd" else n for n in nodes}  # two symbols share a name
     facts = _graph(spark, edges, names)
-    found = call_paths.first_call_paths(facts, "a", "g", 5, limit=limit, width=width)
+    found = call_paths.first_call_paths(facts, "a", "g", 5, limit=limit, width=width, most_edges=most_edges)
     want = sorted(([names[u] for u in p], list(p)) for p in _brute_paths(edges, "a", "g", 5))[:limit]
     assert [(list(r["names"]), list(r["usrs"])) for r in call_paths.ordered(found).collect()] == want
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_paths_read_off_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    nodes = "abcdefghij"
+    edges = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(30)})
+    names = {n: rng.choice("xyz") if n not in "ag" else n for n in nodes}
+    facts = _graph(spark, edges, names)
+    for depth, limit in ((1, 5), (4, 3), (6, 1000)):
+        found = call_paths.first_call_paths(facts, "a", "g", depth, limit=limit)
+        want = sorted(([names[u] for u in p], list(p)) for p in _brute_paths(edges, "a", "g", depth))[:limit]
+        assert [(list(r["names"]), list(r["usrs"])) for r in call_paths.ordered(found).collect()] == want
+
+
 def test_paths_order_and_depth(spark):
     facts = _graph(spark, [("s", "m2"), ("s", "m1"), ("m1", "e"), ("m2", "e"), ("e", "s"), ("m1", "m2")], {"m1": "zz", "m2": "aa"})
     found = call_paths.ordered(call_paths.list_call_paths(facts, "s", "e")).collect()
