@@ -93,7 +93,7 @@ SEED: dict[str, str] = {
         FROM link_rows GROUP BY target, pk, name""",
     "object_defs": "SELECT DISTINCT name, object, nm_kind, unit FROM link_rows",
     "map_origins": """
-        SELECT target, name, max(object) AS object FROM link_rows WHERE nk % 2 = 0 GROUP BY target, name""",
+        SELECT target, name, max(object) AS object FROM link_rows WHERE (nk + pk) % 7 <> 0 GROUP BY target, name""",
     "looked_up": """
         SELECT name, usr FROM (
           SELECT name, usr, row_number() OVER (PARTITION BY name ORDER BY
