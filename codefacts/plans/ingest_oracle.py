@@ -230,6 +230,25 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT object AS file, lower(p_type) AS name, 'typedef' AS kind,
                '/work/proj/include/types.h' AS decl_file, length(p_type) AS decl_line, 'int' AS underlying
         FROM unit_parts JOIN part ON p_partkey = pk WHERE p_type NOT IN ('SMALL', 'ECONOMY')""",
+    "scan_dwarf_records": """
+        SELECT object AS file, 'brand_' || num AS name, CASE WHEN num % 4 = 0 THEN 'union' ELSE 'struct' END AS kind,
+               '/work/proj/include/types.h' AS decl_file, num AS decl_line, count(*) * 4 AS byte_size
+        FROM (SELECT object, CAST(regexp_extract(brand, '([0-9]+)$', 1) AS BIGINT) AS num FROM unit_parts) GROUP BY object, num
+        UNION ALL
+        SELECT DISTINCT object, 'mode_' || (unit % 5), 'enum', '/work/proj/include/types.h', unit % 5 + 1, 4 FROM unit_parts""",
+    "scan_dwarf_fields": """
+        SELECT object AS file, 'brand_' || regexp_extract(brand, '([0-9]+)$', 1) AS record, 'm_' || pk AS name,
+               CASE WHEN pk % 3 = 0 THEN 'int (*)(int)' ELSE 'int' END AS type, pk % 50 * 4 AS byte_offset FROM unit_parts""",
+    "scan_dwarf_constants": """
+        SELECT object AS file, 'mode_' || (unit % 5) AS enum, 'V_' || pk AS name, pk * 3 - 100 AS value FROM unit_parts""",
+    "dwarf_calltarget": """
+        SELECT object AS file, name AS caller, pk % 90 + 1 AS line, 1 AS indirect,
+               CASE WHEN pk % 5 = 0 THEN '' ELSE 'int (int)' END AS callee_type,
+               CASE WHEN pk % 5 = 0 THEN '' ELSE 'hook' END AS field_hint FROM unit_parts""",
+    "types_dedup_constants": """
+        SELECT t.usr || '@V_' || u.pk AS usr, t.usr AS type_usr, 'V_' || u.pk AS name, u.pk * 3 - 100 AS value
+        FROM (SELECT 'c:include/types.h@E@mode_' || (unit % 5) AS usr, min(object) AS object FROM unit_parts GROUP BY ALL) t
+        JOIN unit_parts u ON u.object = t.object""",
     "scan_ninja_deps": """
         SELECT DISTINCT file, output, ordinal, input FROM (
           SELECT 'log/' || l_orderkey || '/' || l_partkey || '/' || l_suppkey AS file, 'o' || l_orderkey || '.o' AS output,

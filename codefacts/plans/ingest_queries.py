@@ -199,6 +199,57 @@ def _scan_dwarf_types(facts: Facts, seed: Seed) -> DataFrame:
     return longs(found.select("file", "name", "kind", "decl_file", "decl_line", "underlying"))
 
 
+@lru_cache(maxsize=8)
+def debug_details_of(seed: Seed) -> tuple[DataFrame, DataFrame]:
+    """Entries and rendered types of the records, enums and calling functions."""
+    entries = cut_lineage(debug_info.with_parents(debug_info.entries(dumps_of(seed).dwarf_details())))
+    return entries, cut_lineage(debug_info.render_types(entries))
+
+
+def _detail_types(seed: Seed) -> DataFrame:
+    return debug_info.type_records(*debug_details_of(seed))
+
+
+@query("scan_dwarf_records")
+def _scan_dwarf_records(facts: Facts, seed: Seed) -> DataFrame:
+    return longs(_detail_types(seed).select("file", "name", "kind", "decl_file", "decl_line", "byte_size"))
+
+
+@query("scan_dwarf_fields")
+def _scan_dwarf_fields(facts: Facts, seed: Seed) -> DataFrame:
+    owners = _detail_types(seed).select("file", "type_offset", F.col("name").alias("record"))
+    fields = debug_info.record_fields(*debug_details_of(seed))
+    return longs(fields.join(owners, ["file", "type_offset"]).select("file", "record", "name", "type", "byte_offset"))
+
+
+@query("scan_dwarf_constants")
+def _scan_dwarf_constants(facts: Facts, seed: Seed) -> DataFrame:
+    owners = _detail_types(seed).select("file", "type_offset", F.col("name").alias("enum"))
+    constants = debug_info.enum_constants(debug_details_of(seed)[0])
+    return longs(constants.join(owners, ["file", "type_offset"]).select("file", "enum", "name", "value"))
+
+
+@query("dwarf_calltarget")
+def _dwarf_calltarget(facts: Facts, seed: Seed) -> DataFrame:
+    """Indirect calls through a parameter with the type of what they call."""
+    dies, rendered = debug_details_of(seed)
+    sites, stripped = debug_info.call_sites(dies), debug_info.stripped_types(dies)
+    pointers = debug_info.function_pointers(dies, rendered, stripped)
+    typed = debug_info.argument_targets(sites, dies, stripped, pointers)
+    found = debug_info.with_targets(sites, typed, typed.limit(0))
+    return longs(found.select("file", "caller", "line", "indirect", "callee_type", "field_hint"))
+
+
+@query("types_dedup_constants")
+def _types_constants(facts: Facts, seed: Seed) -> DataFrame:
+    """The constants of each enum as the unit that speaks for it prints them."""
+    in_project = paths.resolve(F.col("decl_file"), BUILD_DIR, PROJECT_ROOT)
+    records = _detail_types(seed).filter(F.col("kind") == "enum").withColumn("at", in_project)
+    records = records.withColumnRenamed("file", "object").withColumns({"decl_file": F.col("at.rel"), "in_project": F.col("at.in_project")}).drop("at")
+    constants = debug_info.enum_constants(debug_details_of(seed)[0]).withColumnRenamed("file", "object")
+    return longs(debug_ingest.dedup_constants(constants, debug_ingest.type_sightings(records)))
+
+
 @query("scan_ninja_deps")
 def _scan_dependencies(facts: Facts, seed: Seed) -> DataFrame:
     return longs(dependency_log.dependencies(dumps_of(seed).dependency_logs()))

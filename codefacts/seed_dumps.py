@@ -614,6 +614,84 @@ class Dumps:
             out = out.unionByName(more)
         return out
 
+    @cache
+    def dwarf_details(self) -> DataFrame:
+        """Further entries of each unit: a record per brand, an enum, and functions that call their function-pointer parameter.
+
+        Records and their members, the enum and its constants and the functions
+        follow one another in strides of the number of parts.
+        """
+        quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        ref = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+        header = F.lit(f'"{PROJECT_ROOT}/include/types.h"')
+        unit, pk, stride = F.col("unit"), F.col("pk"), self.seed.n_parts() + 2
+        number = F.regexp_extract("brand", r"(\d+)$", 1).cast("long")
+        rows = self.unit_parts().select("unit", "pk", "name", number.alias("number"))
+        units = self.titles().select("unit")
+        int_type, signature, pointer = F.lit(48), F.lit(64), F.lit(128)
+        offset = lambda symbol, place=0: symbol * LINES_PER_SYMBOL + place
+        heads = [
+            (0, self._entry(F.lit(11), 0, "compile_unit", ("name", quoted(F.concat(F.lit("../src/unit_"), unit.cast("string"), F.lit(".c")))), ("comp_dir", F.lit(f'"{BUILD_DIR}"')))),
+            (48, self._entry(int_type, 1, "base_type", ("byte_size", F.lit("0x04")), ("encoding", F.lit("DW_ATE_signed")), ("name", F.lit('"int"')))),
+            (64, self._entry(signature, 1, "subroutine_type", ("prototyped", F.lit("true")), ("type", ref(int_type)))),
+            (96, self._entry(F.lit(96), 2, "formal_parameter", ("type", ref(int_type)))),
+            (128, self._entry(pointer, 1, "pointer_type", ("byte_size", F.lit("0x08")), ("type", ref(signature)))),
+        ]
+        out = [self._entry_lines(units, unit, F.lit(0), F.lit(place), entry) for place, entry in heads]
+        records = rows.groupBy("unit", "number").agg(F.count("*").alias("n"))
+        record = F.col("number") * stride
+        for tag, kind in (("union_type", F.col("number") % 4 == 0), ("structure_type", F.col("number") % 4 != 0)):
+            entry = self._entry(
+                offset(record), 1, tag, ("name", quoted(F.concat(F.lit("brand_"), F.col("number").cast("string")))),
+                ("byte_size", ref(F.col("n") * 4)), ("decl_file", header), ("decl_line", F.col("number").cast("string")),
+            )
+            out.append(self._entry_lines(records.filter(kind), unit, record, F.lit(0), entry))
+        member = record + pk + 1
+        out.append(self._entry_lines(
+            rows, unit, member, F.lit(0),
+            self._entry(
+                offset(member), 2, "member", ("name", quoted(F.concat(F.lit("m_"), pk.cast("string")))),
+                ("type", ref(F.when(pk % 3 == 0, pointer).otherwise(int_type))), ("data_member_location", ref(pk % 50 * 4)),
+            ),
+        ))
+        modes = F.lit(64) * stride
+        out.append(self._entry_lines(
+            units, unit, modes, F.lit(0),
+            self._entry(
+                offset(modes), 1, "enumeration_type", ("name", quoted(F.concat(F.lit("mode_"), (unit % 5).cast("string")))),
+                ("byte_size", F.lit("0x04")), ("decl_file", header), ("decl_line", (unit % 5 + 1).cast("string")),
+            ),
+        ))
+        constant = modes + pk + 1
+        out.append(self._entry_lines(
+            rows, unit, constant, F.lit(0),
+            self._entry(offset(constant), 2, "enumerator", ("name", quoted(F.concat(F.lit("V_"), pk.cast("string")))), ("const_value", (pk * 3 - 100).cast("string"))),
+        ))
+        host = F.lit(65) * stride + pk + 1
+        out.append(self._entry_lines(
+            rows, unit, host, F.lit(0),
+            self._entry(offset(host), 1, "subprogram", ("name", quoted(F.col("name"))), ("prototyped", F.lit("true")), ("type", ref(int_type)), ("low_pc", F.lit("0x0000000000001040"))),
+        ))
+        # Every second function takes an integer before the pointer; every fifth call is not through a parameter.
+        out.append(self._entry_lines(
+            rows.filter(pk % 2 == 0), unit, host, F.lit(64), self._entry(offset(host, 64), 2, "formal_parameter", ("name", F.lit('"n"')), ("type", ref(int_type)))
+        ))
+        out.append(self._entry_lines(
+            rows, unit, host, F.lit(128), self._entry(offset(host, 128), 2, "formal_parameter", ("name", F.lit('"hook"')), ("type", ref(pointer)))
+        ))
+        register = F.when(pk % 5 == 0, F.lit("DW_OP_reg0 RAX")).when(pk % 2 == 0, F.lit("DW_OP_reg4 RSI")).otherwise(F.lit("DW_OP_entry_value(DW_OP_reg5 RDI)"))
+        out.append(self._entry_lines(
+            rows, unit, host, F.lit(1024),
+            self._entry(
+                offset(host, 1024), 2, "call_site", ("call_target", register), ("call_return_pc", ref(pk + 4096)),
+                ("call_file", F.lit(f'"{PROJECT_ROOT}/src/a.c"')), ("call_line", (pk % 90 + 1).cast("string")),
+            ),
+        ))
+        lines = out[0]
+        for more in out[1:]:
+            lines = lines.unionByName(more)
+        return lines
+
     # -- build metadata -----------------------------------------------------------
 
     @cache
