@@ -109,3 +109,26 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFra
         return df
     share = int(0.95 * most / n * (1 << 30))
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < share).limit(most)
+
+
+def most_counted(counts: DataFrame, n: str, most: int, scratch: Scratch, name: str) -> DataFrame:
+    """About ``most`` rows with the largest ``n``, 1 or more: all of them, if there are no more.
+
+    A histogram of the counts, sixteen steps to each doubling, tells from which
+    step on all rows fit; of the step below, as many as still fit are chosen by
+    a hash of the row. So no task sends more than its share of the result.
+    """
+    held = scratch.store(counts, name)
+    step = F.floor(F.log2(F.col(n)) * 16).cast("int")
+    sizes = {r["step"]: r["rows"] for r in held.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()}
+    left, cut = most, None
+    for at in sorted(sizes, reverse=True):
+        if sizes[at] > left:
+            cut = at
+            break
+        left -= sizes[at]
+    if cut is None:
+        return held
+    share = int(0.99 * left / sizes[cut] * (1 << 30))
+    chosen = F.pmod(F.xxhash64(*held.columns), F.lit(1 << 30)) < share
+    return held.filter((step > cut) | ((step == cut) & chosen))

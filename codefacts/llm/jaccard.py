@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import Scratch, require
+from codefacts.llm.common import Scratch, most_counted, require
 from codefacts.llm.components import components
 from codefacts.llm.shingles import WIDTH, mix, shingle_sets, to_signed
 
@@ -68,8 +68,8 @@ class Joined:
     classes: DataFrame
 
 
-def _frequent(slim: DataFrame, width: int) -> np.ndarray:
-    """Tokens that many documents of some task hold, the most frequent last. Bounded by ``FREQUENT_LIMIT``."""
+def _frequent(slim: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
+    """Tokens that many documents of some task hold, the most frequent last. About ``FREQUENT_LIMIT`` in all come to the driver."""
 
     def run(batches):
         sketch, heavy = np.zeros(SKETCH, np.uint16), {}
@@ -85,7 +85,8 @@ def _frequent(slim: DataFrame, width: int) -> np.ndarray:
         yield _heavy_rows(heavy)
 
     found = slim.select("body").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(FREQUENT_LIMIT).toPandas()
+    top = most_counted(found, "n", FREQUENT_LIMIT, scratch, "frequent").toPandas()
+    scratch.drop("frequent")
     return top.sort_values(["n", "token"])["token"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -369,7 +370,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     require(docs, key, text)
     scratch = Scratch(docs.sparkSession, "jaccard")
     slim = docs.select(F.col(key).cast("bigint").alias("doc_key"), F.col(text).alias("body"))
-    order = _Order(_frequent(slim.select("body"), width))
+    order = _Order(_frequent(slim.select("body"), width, scratch))
     signed = scratch.store(_signatures(slim, order, width, percent), "signatures")
     slim = slim.filter("doc_key IS NOT NULL")
     known = signed.filter("doc_key IS NOT NULL AND n > 0")
