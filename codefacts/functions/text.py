@@ -87,19 +87,46 @@ def java_quote(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def literal_columns(line: Column, pattern: str) -> Column:
-    """1-based byte columns of every non-overlapping occurrence in a line."""
-    pieces = F.split(line, java_quote(pattern), -1)
-    gaps = F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.octet_length(p).cast("int")
+#: Occurrences whose places are added up in one array; longer lists are added up part by part.
+PIECES = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running_sums(values: Column) -> Column:
+    return F.aggregate(
+        values,
+        F.array().cast("array<int>"),
+        lambda seen, v: F.concat(seen, F.array(F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit(0)) + v)),
     )
+
+
+def literal_columns(line: Column, pattern: str) -> Column:
+    """1-based byte columns of every non-overlapping occurrence in a line.
+
+    The k-th starts after k pieces and k - 1 patterns. Running sums copy their
+    array at every step, so they are made over parts and over the parts' totals.
+    """
     width = len(pattern.encode("utf-8"))
 
-    def advance(seen: Column, gap: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit(1 - width))
-        return F.concat(seen, F.array(previous + F.lit(width) + gap))
+    def places(steps: Column) -> Column:
+        last_part = F.greatest(F.floor((F.size(steps) - 1) / PIECES).cast("int"), F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last_part), lambda i: _running_sums(F.slice(steps, i * PIECES + 1, F.lit(PIECES))))
+        return _let(parts, joined)
+
+    def joined(parts: Column) -> Column:
+        totals = _running_sums(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))))
+        before = F.concat(F.array(F.lit(0)), F.slice(totals, F.lit(1), F.size(parts) - 1))
+        return F.flatten(F.zip_with(parts, before, lambda p, base: F.transform(p, lambda x: x + base - F.lit(width - 1))))
+
+    def steps(pieces: Column) -> Column:
+        ends = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        return F.transform(ends, lambda p: F.octet_length(p).cast("int") + F.lit(width))
 
-    return F.aggregate(gaps, F.array().cast("array<int>"), advance)
+    return _let(F.split(line, java_quote(pattern), -1), lambda pieces: _let(steps(pieces), places))
 
 
 def regex_matches(pattern: str):

@@ -259,8 +259,11 @@ def link_plane(build: Build, facts: dict[str, DataFrame]) -> dict[str, DataFrame
             rows, origins, object_defs, facts["object_sources"], facts["symbols"], names
         )
     )
+    # A large binary is disassembled by several tasks, each over its own addresses.
+    functions = listing.filter("is_function AND address <> ''").select("file", "address")
+    parts = tools.address_parts(linked, functions)
     calls = disassembly.direct_calls(
-        build.inspected("disassembly", linked, tools.DISASSEMBLY, r"^[0-9a-fA-F]+\s+<|\s(call|jmp)\s")
+        build.inspected("disassembly", parts, tools.DISASSEMBLY, r"^[0-9a-fA-F]+\s+<|\s(call|jmp)\s")
     ).withColumnRenamed("file", "target")
     edges = link_ingest.edges_objdump(calls, link_ingest.address_index(resolved), names)
     return {

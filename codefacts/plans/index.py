@@ -33,6 +33,10 @@ from codefacts.plans.snapshot import Catalog
 from codefacts.session import cut_lineage, exists
 
 
+#: Files that are named one by one when live contents are read; of more, the whole folder is read.
+MOST_NAMED_FILES = 20_000
+
+
 @dataclass
 class Answer:
     """Main rows, further row sets by name, and whether a page cut the rows."""
@@ -134,14 +138,28 @@ class Index:
                 facts.target_sources.filter(F.col("target") == target), f"target {target!r} lists no sources"
             )
 
-    def _live(self, project_root: str | None = None) -> DataFrame:
-        root = project_root or self._project_root
-        if not root:
+    def _live(self, wanted: DataFrame, path_prefix: str = "") -> DataFrame:
+        """``(path, content)`` of the project's files that are ``wanted`` (path).
+
+        Names are listed first, below the directory of the prefix, and no
+        content is read for it. The files that are wanted are then named by
+        their metadata, so that no other file is opened.
+        """
+        if not self._project_root:
             raise ValueError("comparing with live files needs project_root")
-        return (
-            self._facts.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select(paths.relative_to(paths.plain_path(F.col("path")), root).alias("path"), "content")
-        )
+        spark, root = self._facts.spark, self._project_root
+        folder = path_prefix.rpartition("/")[0]
+        base = f"{root}/{folder}" if folder else root
+        if not exists(spark, base):
+            return spark.createDataFrame([], "path string, content binary")
+        base = re.sub(r"([\\*?\[\]{}])", r"\\\1", base)
+        tree = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+        relative = paths.relative_to(paths.plain_path(F.col("path")), root).alias("path")
+        listed = tree.select(relative, F.col("_metadata.file_path").alias("uri"))
+        named = listed.join(wanted.select("path").distinct(), "path", "left_semi").limit(MOST_NAMED_FILES + 1).collect()
+        if len(named) <= MOST_NAMED_FILES:
+            tree = tree.filter(F.col("_metadata.file_path").isin([r["uri"] for r in named]))
+        return tree.select(relative, "content")
 
     def _live_file(self, path: str) -> DataFrame:
         """One file of the project, or no row where it does not exist."""
@@ -163,8 +181,9 @@ class Index:
     def list_source_drift(self, target: str | None = None, path_prefix: str = "") -> Answer:
         facts = self._facts
         self._has_sources(facts, target)
-        rows = source_text.list_source_drift(facts, self._live(), target, path_prefix).orderBy("path")
         checked = source_text.files(facts, target, path_prefix).filter(F.col("table_ord") == 0)
+        live = self._live(checked, path_prefix)
+        rows = source_text.list_source_drift(facts, live, target, path_prefix).orderBy("path")
         return Answer(rows, {"checked": checked.agg(F.count(F.lit(1)).alias("checked"))})
 
     def search_source(

@@ -18,6 +18,10 @@ from codefacts.operators.ids import assign_ids
 from codefacts.session import cut_lineage
 
 POINTER = "CURRENT"
+#: A reader's lease on a version is a file of this prefix, followed by the version and a name of its own.
+LEASE = ".lease-"
+#: Versions and leases younger than this many seconds are never removed: a publication or an opening may be under way.
+GRACE_SECONDS = 3600.0
 # Derived when read, never stored: one row per target and losing object would
 # repeat every candidate list once per target.
 VIEWS = ("link_losers",)
@@ -247,6 +251,13 @@ class Snapshot:
     version: str
     facts: Facts
     properties: dict[str, str]
+    lease: str = ""
+
+    def close(self) -> None:
+        """Give the version back; questions asked before may still run until ``vacuum`` removes it."""
+        if self.lease:
+            fs, _, lease = _filesystem(self.facts.spark, self.lease)
+            fs.delete(lease, False)
 
     def counts(self) -> dict[str, int]:
         return {
@@ -256,9 +267,50 @@ class Snapshot:
         }
 
 
-def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """Open the current version in a session of its own; refuse another schema version."""
-    version = current_version(spark, path)
+def _take_lease(spark: SparkSession, path: str) -> tuple[str, str]:
+    """The current version and a lease on it, taken before the version is looked at again."""
+    while True:
+        version = current_version(spark, path)
+        lease = f"{path.rstrip('/')}/{LEASE}{version}.{uuid.uuid4().hex}"
+        fs, _, file = _filesystem(spark, lease)
+        fs.create(file, True).close()
+        if current_version(spark, path) == version:
+            return version, lease
+        fs.delete(file, False)
+
+
+def vacuum(spark: SparkSession, path: str, grace: float = GRACE_SECONDS, lease_seconds: float | None = None) -> list[str]:
+    """Remove versions that are neither current nor leased, also those whose publication failed; returns their names.
+
+    What is younger than ``grace`` seconds stays. A lease whose reader was lost
+    counts until it is ``lease_seconds`` old, if that is given.
+    """
+    current = current_version(spark, path)
+    fs, jvm, root = _filesystem(spark, path)
+    now = datetime.now(timezone.utc).timestamp() * 1000
+    held, removed = {current}, []
+    entries = list(fs.listStatus(root))
+    for entry in entries:
+        name = entry.getPath().getName()
+        if name.startswith(LEASE):
+            if lease_seconds is not None and now - entry.getModificationTime() > 1000 * lease_seconds:
+                fs.delete(entry.getPath(), False)
+            else:
+                held.add(name.removeprefix(LEASE).rpartition(".")[0])
+    for entry in entries:
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in held and now - entry.getModificationTime() > 1000 * grace:
+            fs.delete(entry.getPath(), True)
+            removed.append(name)
+    return sorted(removed)
+
+
+def open_snapshot(spark: SparkSession, path: str, leased: bool = False) -> Snapshot:
+    """Open the current version in a session of its own; refuse another schema version.
+
+    A leased version is kept by ``vacuum`` until the snapshot is closed.
+    """
+    version, lease = _take_lease(spark, path) if leased else (current_version(spark, path), "")
     base = f"{path.rstrip('/')}/{version}"
     session = spark.newSession()
     meta = session.read.parquet(f"{base}/meta")
@@ -284,7 +336,7 @@ def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
     if "object_defs" in facts:
         losers = lambda: link_ingest.losers_view(facts.link_resolutions, facts.object_defs)
         facts = Facts(session, {**builders, "link_losers": losers}, copies)
-    return Snapshot(path, version, facts, properties)
+    return Snapshot(path, version, facts, properties, lease)
 
 
 class Catalog:
@@ -294,7 +346,8 @@ class Catalog:
         self._spark = spark
         self._path = path
         self._lock = threading.Lock()
-        self._snapshot = open_snapshot(spark, path)
+        self._snapshot = open_snapshot(spark, path, leased=True)
+        self._retired: Snapshot | None = None
 
     @property
     def snapshot(self) -> Snapshot:
@@ -304,8 +357,12 @@ class Catalog:
         """Open the current version and swap it in; on any failure the old one stays."""
         with self._lock:
             old = self._snapshot
-            fresh = open_snapshot(self._spark, self._path)
+            fresh = open_snapshot(self._spark, self._path, leased=True)
             self._snapshot = fresh
+            # questions under way keep the version before; the one before that is given back
+            if self._retired:
+                self._retired.close()
+            self._retired = old
         return {
             "path": self._path,
             "previous_version": old.version,
