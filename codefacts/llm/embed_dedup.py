@@ -62,18 +62,20 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
 
 
 def _prepared(vectors: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """vec_key, lab, size, vec (finite, not zero) and its digest of rows that can link."""
+    """vec_key, lab, size, vec (finite, not zero) and its digest of every row; the last three null where a row cannot link."""
 
     def run(frames):
         for frame in frames:
-            frame = frame[usable(frame["vec"])]
-            plain = [np.asarray(v, float) + 0.0 for v in frame["vec"]]  # minus zero becomes zero
-            digests = [sha256(v.tobytes()).digest() for v in plain]
-            held = {k: pd.Series(v, index=frame.index, dtype=object) for k, v in (("vec", plain), ("digest", digests))}
-            yield frame.assign(size=[len(v) for v in plain], **held)[["vec_key", "lab", "size", "vec", "digest"]]
+            good = usable(frame["vec"]) & frame["vec_key"].notna().to_numpy() & frame["lab"].notna().to_numpy()
+            plain = [np.asarray(v, float) + 0.0 if ok else None for v, ok in zip(frame["vec"], good, strict=True)]  # minus zero becomes zero
+            held = {
+                "size": pd.array([None if v is None else len(v) for v in plain], "Int32"), "vec": pd.Series(plain, index=frame.index, dtype=object),
+                "digest": pd.Series([None if v is None else sha256(v.tobytes()).digest() for v in plain], index=frame.index, dtype=object),
+            }
+            yield frame.assign(vec_key=frame["vec_key"].astype("Int64"), **held)[["vec_key", "lab", "size", "vec", "digest"]]
 
     slim = vectors.select(F.col(key).cast("bigint").alias("vec_key"), F.col(label).cast("string").alias("lab"), F.col(vector).cast("array<double>").alias("vec"))
-    return slim.filter("vec_key IS NOT NULL AND lab IS NOT NULL AND vec IS NOT NULL").mapInPandas(run, "vec_key bigint, lab string, size int, vec array<double>, digest binary")
+    return slim.mapInPandas(run, "vec_key bigint, lab string, size int, vec array<double>, digest binary")
 
 
 def fit_rotation(classes: DataFrame, max_fitted: int = MAX_FITTED) -> dict[int, Rotation]:
@@ -203,28 +205,36 @@ def near_duplicates(
     share the links of their representative, the smallest key. Vectors that
     are null, empty, zero or hold null or non-finite components, rows without
     a label and vectors of another length link with nothing and are their own
-    component. Every row has a result, repeated rows as often as they occur;
-    rows of one key count as different vectors. An empty table gives an empty
-    result.
+    component. Every row has a result of its own, repeated rows as often as they
+    occur; rows of one key count as different vectors, also in several labels.
+    Rows without a key link with nothing. An empty table gives an empty result.
     """
     require(vectors, key, label, vector)
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     scratch = Scratch(vectors.sparkSession, "embed-dedup")
     hashed = scratch.store(_prepared(vectors, key, label, vector), "hashed")
-    classes = hashed.groupBy("lab", "digest").agg(F.min("vec_key").alias("vec_key"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("vec").alias("vec"))
-    classes = scratch.store(classes, "classes")
-    links = scratch.store(near_duplicate_links(classes.select("vec_key", "lab", "size", "vec"), threshold, tile, scratch), "links")
+    classes = hashed.filter("digest IS NOT NULL").groupBy("lab", "digest")
+    classes = classes.agg(F.min("vec_key").alias("smallest"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("vec").alias("vec"))
+    # a number of its own for each class: one key may stand in several labels
+    classes = scratch.store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    compared = classes.select(F.col("node").alias("vec_key"), "lab", "size", "vec")
+    links = scratch.store(near_duplicate_links(compared, threshold, tile, scratch), "links")
     scratch.drop("placed")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("vec_key").alias("b"), F.col("copies").alias("n"))
-    outside = both.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("outside"))
-    grouped = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "linked").withColumnRenamed("node", "rep")
-    members = hashed.select("vec_key", "lab", "digest").join(classes.select("lab", "digest", "copies", F.col("vec_key").alias("rep")), ["lab", "digest"])
-    found = members.join(outside, "rep", "left").join(grouped, "rep", "left")
-    found = found.groupBy("vec_key").agg(
-        F.max(F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component")
-    )
-    rows = vectors.select(F.col(key).cast("bigint").alias("vec_key")).join(found, "vec_key", "left")
-    out = rows.select("vec_key", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_key").alias("component"))
-    return Deduplicated(out.withColumn("kept", F.col("vec_key").eqNullSafe(F.col("component"))), links)
+    sizes = classes.select(F.col("node").alias("b"), F.col("copies").alias("n"))
+    outside = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("outside"))
+    grouped = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "linked").withColumnRenamed("component", "root")
+    placed = classes.drop("vec").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = placed.groupBy("root").agg(F.min("smallest").alias("component"))
+    found = placed.join(outside, "node", "left").join(roots, "root")
+    found = found.select("lab", "digest", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), "component")
+    # rows that cannot link have no digest and meet nothing
+    able = hashed.filter("digest IS NOT NULL").select("vec_key", "lab", "digest").join(found, ["lab", "digest"]).select("vec_key", "n_links", "component")
+    alone = hashed.filter("digest IS NULL").select("vec_key", F.lit(0).alias("n_links"), F.col("vec_key").alias("component"))
+    out = able.unionByName(alone).select("vec_key", F.col("n_links").cast("bigint").alias("n_links"), "component")
+    named = links
+    for end in ("a", "b"):
+        named = named.join(classes.select(F.col("node").alias(end), F.col("smallest").alias(f"key_{end}")), end)
+    named = named.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "cosine")
+    return Deduplicated(out.withColumn("kept", F.col("vec_key").eqNullSafe(F.col("component"))), named)
