@@ -84,14 +84,23 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def ranked(numbers: np.ndarray) -> np.ndarray:
-    """Numbers whose low bits are their place, so that a minimum names the leftmost smallest gram."""
-    return (numbers & ~PLACE) | np.arange(len(numbers), dtype=np.uint64)
+def anchors(numbers: np.ndarray, width: int, most: int = int(PLACE) + 1) -> np.ndarray:
+    """The place of the leftmost smallest gram of each ``width`` grams in a row.
+
+    The low bits of a number give way to its place, so that a minimum names it.
+    Texts of more grams than these bits count are worked off in overlapping pieces.
+    """
+    out, step = [np.zeros(0, np.int64)], most - width + 1
+    for at in range(0, len(numbers) - width + 1, step):
+        piece = numbers[at : at + most]
+        placed = (piece & ~PLACE) | np.arange(len(piece), dtype=np.uint64)
+        out.append((sliding_min(placed, width) & PLACE).astype(np.int64) + at)
+    return np.concatenate(out)
 
 
 def stretch_anchors(numbers: np.ndarray) -> np.ndarray:
     """The place of the anchor of every short stretch of grams; those of windows are among them."""
-    return (sliding_min(ranked(numbers), NEAR) & PLACE).astype(np.int64)
+    return anchors(numbers, NEAR)
 
 
 def near_anchors(numbers: np.ndarray) -> np.ndarray:
@@ -119,7 +128,7 @@ def segments_of(data: np.ndarray, window: int, repeated) -> list[Segment]:
     left = np.flatnonzero(np.cumsum(ruled[:-1]) == 0)
     if not len(left):
         return []
-    anchor = (sliding_min(ranked(numbers), window - GRAM + 1) & PLACE).astype(np.int64)
+    anchor = anchors(numbers, window - GRAM + 1)
     ends = np.flatnonzero((np.diff(left) != 1) | (np.diff(anchor[left]) != 0))
     first, last = left[np.concatenate(([0], ends + 1))], left[np.concatenate((ends, [len(left) - 1]))]
     return list(zip(first.tolist(), last.tolist(), anchor[first].tolist(), strict=True))
@@ -369,7 +378,7 @@ def _resolved(pieces: DataFrame, splitters: list[bytes], window: int) -> DataFra
 
 
 def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc_key, mark, body) and their repeated stretches as (doc_key, mark, spans of start and stop in bytes).
+    """The documents as (doc_key, mark, body, keyed) and their repeated stretches as (doc_key, mark, spans of start and stop in bytes).
 
     ``mark`` is a hash of key and text: rows of equal key and text share their
     result, and each is a place where the other's strings also start.
@@ -379,7 +388,11 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
         raise ValueError(f"a repeat must be of {GRAM + NEAR} bytes at least")
     scratch = Scratch(docs.sparkSession, "repeats")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("doc_key"), F.xxhash64(key, text).alias("mark"), F.col(text).alias("body"))
+    keyed = F.col(key).isNotNull()
+    marked = docs.select(
+        F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("doc_key"), F.xxhash64(keyed, F.col(key), F.col(text)).alias("mark"), F.col(text).alias("body"), keyed.alias("keyed")
+    )
+    slim = marked.drop("keyed")
     bits = _repeated_grams(slim, window, parts)
     runs, places = _runs(slim, bits, window, scratch)
     splitters = _splitters(runs, parts)
@@ -391,7 +404,7 @@ def find_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", windo
     hits = places.join(stretches, ["h1", "h2"]).select(
         "doc_key", "mark", F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + window).alias("stop")).alias("span")
     )
-    return slim, hits.groupBy("doc_key", "mark").agg(F.collect_list("span").alias("spans"))
+    return marked, hits.groupBy("doc_key", "mark").agg(F.collect_list("span").alias("spans"))
 
 
 def _joined(spans: list[dict]) -> list[tuple[int, int]]:
@@ -431,7 +444,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, span), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_key", "n_bytes", "spans", "kept"])
 
-    both = slim.withColumn("own_key", F.when(F.col("doc_key") != -1, F.col("doc_key"))).join(spans, ["doc_key", "mark"], "left")
+    # a key of -1 and none stand for different documents
+    both = slim.withColumn("own_key", F.when(F.col("keyed"), F.col("doc_key"))).join(spans, ["doc_key", "mark"], "left")
     return both.select(F.col("own_key").alias("doc_key"), "body", "spans").mapInArrow(
         cut, "doc_key bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     )
