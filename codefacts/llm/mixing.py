@@ -157,5 +157,8 @@ def mix(
 
 
 def sample_mix(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with the columns of ``docs``."""
-    return mix(docs, **options).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The sampled documents, with the columns of ``docs``, whatever their names."""
+    own = {"n_tokens", "keep_probability", "kept"} | {f"mix_{n}" for n in options.get("marginals") or ("source", "lang", "topic")}
+    aside = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in {o.lower() for o in own}}
+    kept = mix(docs.withColumnsRenamed(aside), **options).filter("kept")
+    return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

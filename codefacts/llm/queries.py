@@ -30,7 +30,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return mixed.select(
         "doc_id", F.col("mix_topic").alias("topic"), "n_tokens", F.round("keep_probability", 6).alias("keep_probability"), F.col("kept").cast("int").alias("kept")
     )
@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     model = toxicity.fit_toxicity(docs, labels.filter(fold != 0))
-    scored = toxicity.score_toxicity(docs, model)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", (fold == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
     )
@@ -72,7 +72,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, secrets.fit_formats(docs)).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"] != "format")
 

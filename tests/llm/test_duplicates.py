@@ -269,3 +269,31 @@ def test_parts_are_balanced_and_cut_few_edges():
     part = ann.balanced_parts(x, graph, 4)
     assert np.bincount(part).max() <= 106
     assert (part[graph] == part[:, None]).mean() > 0.95
+
+
+def test_one_key_in_two_labels_is_two_vectors(spark):
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, near, 0), (2, [1.0, 0.01, 0.1], 0), (2, far, 1), (3, [0.0, 1.0, 0.01], 1), (4, far, 1), (None, far, 1), (5, far, None), (2, far, 1)]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS))
+    got = Counter((r["vec_key"], r["n_links"], r["component"], r["kept"]) for r in found.vectors.collect())
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), *[(2, 3, 2, True)] * 2, (3, 3, 2, False), (4, 3, 2, False), (None, 0, None, True), (5, 0, 5, True)])
+    assert {(r["a"], r["b"]) for r in found.links.collect()} <= {(1, 2), (2, 1), (2, 3), (3, 2)}
+
+
+def test_a_key_of_minus_one_stays_a_key(spark):
+    long = " ".join(str(i * 7919) for i in range(300))
+    docs = spark.createDataFrame([(-1, long), (None, long), (-1, "x"), (None, "x"), (4, None)], DOCS)
+    found = sorted((str(r["doc_key"]), r["n_bytes"], len(r["spans"])) for r in repeats.remove_repeats(docs).collect())
+    assert found == sorted([("-1", len(long), 1), ("None", len(long), 1), ("-1", 1, 0), ("None", 1, 0), ("4", 0, 0)])
+
+
+def test_anchors_of_long_texts_are_those_of_short_ones():
+    numbers = np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(3)
+    numbers[100:160] = numbers[100]
+    for width in (5, 60, 369):
+        whole = repeats.anchors(numbers, width)
+        top = numbers & ~repeats.PLACE
+        assert whole.tolist() == [i + int(np.argmin(top[i : i + width])) for i in range(len(numbers) - width + 1)]
+        for most in (width, width + 1, 700, 5000):
+            assert (repeats.anchors(numbers, width, most) == whole).all()
+    assert len(repeats.anchors(numbers[:3], 5)) == 0

@@ -285,3 +285,17 @@ def test_quotation_is_told_from_abuse():
     text = 'He wrote "nitwit" once. You nitwit!'
     first, second = (m.span() for m in re.finditer("nitwit", text))
     assert toxicity.quoted(text, *first) and not toxicity.quoted(text, *second)
+
+
+def test_thin_queries_and_mixing_stand_clashing_columns(spark, tmp_path):
+    from codefacts.llm import queries
+
+    rows = [(i, f"word{i % 7} and other words here {i}", "en", f"s{i % 3}", 3, 1, "x", "y", 0.5, "t") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept int, spans string, toxicity string, keep_probability double, mix_topic string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op3_source_mixing", "op5_toxicity", "op9_secret_scan"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 60
+    sampled = mixing.sample_mix(docs)
+    assert sampled.columns == docs.columns
+    assert {tuple(r) for r in sampled.collect()} <= set(rows)
