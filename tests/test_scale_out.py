@@ -1,6 +1,7 @@
 """What spreads large inputs and keeps old versions: address parts, named live files, running sums, leases."""
 
 import shutil
+import struct
 import subprocess
 import time
 
@@ -13,7 +14,7 @@ from codefacts.functions import text
 from codefacts.plans import snapshot
 from codefacts.plans.index import Index
 from codefacts.plans.sql_query import sql_query
-from codefacts.sources import disassembly, symbol_listing, tools
+from codefacts.sources import dependency_log, disassembly, symbol_listing, tools
 
 
 needs_tools = pytest.mark.skipif(not all(map(shutil.which, ("as", "ld", "nm", "objdump"))), reason="no binary tools here")
@@ -115,6 +116,45 @@ def test_only_indexed_files_below_the_prefix_are_opened(spark, published, tmp_pa
     assert index._live(facts.sources.select("path"), "other [x]/").count() == 0
 
 
+# -- dependency logs ------------------------------------------------------------------
+
+
+def _record(text: str, number: int) -> bytes:
+    raw = text.encode() + b"\0" * (-len(text.encode()) % 4)
+    return struct.pack("<I", len(raw) + 4) + raw + struct.pack("<I", 0xFFFFFFFF ^ number)
+
+
+def _log(n: int) -> bytes:
+    data = dependency_log.MAGIC + struct.pack("<I", 4)
+    for i in range(n):
+        body = struct.pack("<5I", 2 * i, 1, 0, 2 * i + 1, 1)
+        data += _record(f"o{i}.o", 2 * i) + _record(f"s{i}é.c", 2 * i + 1) + struct.pack("<I", len(body) | 1 << 31) + body
+    return data
+
+
+@pytest.mark.parametrize("size", [1, 3, 64, 1000])
+def test_a_log_in_chunks_gives_the_entries_of_the_whole(size):
+    data = _log(50) + b"\x40\0"
+    whole = list(dependency_log.entries(data))
+    assert len(whole) == 100 and whole[3][1:] == ("o1.o", 1, "s0é.c")
+    assert list(dependency_log.entries(data[i : i + size] for i in range(0, len(data), size))) == whole
+    for bad in (b"", data[:5], data[:14], dependency_log.MAGIC + b"\3\0\0\0"):
+        with pytest.raises(ValueError):
+            list(dependency_log.entries(bad[i : i + size] for i in range(0, len(bad), size)))
+
+
+def test_a_log_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / ".ninja_deps").write_bytes(_log(3))
+    monkeypatch.setattr(dependency_log, "CHUNK_BYTES", 7)
+    want = rows(dependency_log.read_dependencies(spark, str(tmp_path / "one")), "output", "ordinal", "input")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./in", f"file://{tmp_path}")
+    place = "viewfs://logs/in"
+    found = dependency_log.read_dependencies(spark, f"{place}/one", f"{place}/none")
+    assert rows(found, "output", "ordinal", "input") == want and len(want) == 6
+    assert {r["file"] for r in found.collect()} == {f"{place}/one/.ninja_deps"}
+
+
 # -- leases -------------------------------------------------------------------------
 
 
