@@ -30,6 +30,7 @@ from codefacts.sources import (
     debug_info,
     dependency_log,
     disassembly,
+    dump_source,
     folding_dump,
     inline_dump,
     linker_map,
@@ -123,6 +124,19 @@ def _scan_ci_titles(facts: Facts, seed: Seed) -> DataFrame:
     return callgraph_info.titles(dumps_of(seed).ci_lines())
 
 
+@query("scan_datasource_ci")
+def _scan_datasource(facts: Facts, seed: Seed) -> DataFrame:
+    """The call-graph dumps written as files and read through the data source of their own."""
+    spark = facts.spark
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dumps-{uuid.uuid4().hex}"
+    written = dumps_of(seed).ci_lines().repartition("file").sortWithinPartitions("file", "block", "pos")
+    written.select("file", "line").write.partitionBy("file").text(root)
+    dump_source.register(spark)
+    lines = spark.read.format(dump_source.NAME).option("pattern", "part-*").load(root)
+    named = F.url_decode(F.regexp_extract("file", r"/file=([^/]+)/[^/]*$", 1))
+    return longs(callgraph_info.nodes(lines.withColumn("file", named)))
+
+
 @query("scan_icf")
 def _scan_icf(facts: Facts, seed: Seed) -> DataFrame:
     return folding_dump.members(dumps_of(seed).icf_lines())

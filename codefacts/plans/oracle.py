@@ -685,6 +685,7 @@ ORACLE |= {
         "location_snippets": "location_snippets", "list_call_paths": "list_call_paths",
     }.items()
 }
+ORACLE["scan_datasource_ci"] = ORACLE["scan_ci"]
 ORACLE |= {
     "published_in_target": f"""
         SELECT usr, name, kind, coalesce(signature, '') AS signature FROM symbols

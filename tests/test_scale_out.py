@@ -14,7 +14,7 @@ from codefacts.functions import text
 from codefacts.plans import snapshot
 from codefacts.plans.index import Index
 from codefacts.plans.sql_query import sql_query
-from codefacts.sources import dependency_log, disassembly, symbol_listing, tools
+from codefacts.sources import dependency_log, disassembly, dump_source, symbol_listing, tools
 
 
 needs_tools = pytest.mark.skipif(not all(map(shutil.which, ("as", "ld", "nm", "objdump"))), reason="no binary tools here")
@@ -116,6 +116,27 @@ def test_only_indexed_files_below_the_prefix_are_opened(spark, published, tmp_pa
     assert index._live(facts.sources.select("path"), "other [x]/").count() == 0
 
 
+# -- the data source ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("split", [1, 7, 1 << 20])
+def test_data_source_reads_every_line_once(spark, tmp_path, split):
+    dump_source.register(spark)
+    texts = {"a.ci": "one\r\n\nthree é\nlast", "b.ci": "\n", "empty.ci": "", "other.txt": "no"}
+    (tmp_path / "sub").mkdir()
+    for name, body in texts.items():
+        (tmp_path / "sub" / name).write_bytes(body.encode())
+    reader = lambda **options: spark.read.format(dump_source.NAME).options(**{"pattern": "*.ci", "splitBytes": split} | options)
+    lines = reader().load(str(tmp_path))
+    found = [(r["file"].rpartition("/")[2], r["line"]) for r in lines.orderBy("file", "block", "pos").collect()]
+    assert found == [("a.ci", "one"), ("a.ci", ""), ("a.ci", "three é"), ("a.ci", "last"), ("b.ci", "")]
+    assert rows(reader(keep="^(one|last)$").load(str(tmp_path)), "line") == [("last",), ("one",)]
+    assert reader().load(str(tmp_path / "sub" / "other.txt")).count() == 1
+    for bad in (reader().load(str(tmp_path / "none")), reader(splitBytes=0).load(str(tmp_path))):
+        with pytest.raises(Exception, match="none|positive"):
+            bad.collect()
+
+
 # -- dependency logs ------------------------------------------------------------------
 
 
