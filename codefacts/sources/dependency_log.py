@@ -90,17 +90,23 @@ def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for file, content in zip(batch["file"], batch["content"]):
-            yield from _frames((file, *entry) for entry in entries([content]))
+    """Entries of whole logs; many small ones share a frame."""
+    return _frames(
+        (file, *entry)
+        for batch in batches
+        for file, content in zip(batch["file"], batch["content"])
+        for entry in entries(bytes(content))
+    )
+
+
+def _opened_entries(file: str) -> Iterator[tuple]:
+    with _opened(file) as log:
+        for entry in entries(iter(lambda: log.read(CHUNK_BYTES), b"")):
+            yield file, *entry
 
 
 def _parse_opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for file in batch["file"]:
-            with _opened(file) as log:
-                chunks = iter(lambda: log.read(CHUNK_BYTES), b"")
-                yield from _frames((file, *entry) for entry in entries(chunks))
+    return _frames(row for batch in batches for file in batch["file"] for row in _opened_entries(file))
 
 
 ENTRIES = "file string, sequence long, output string, ordinal int, input string"
