@@ -15,8 +15,11 @@ hence chosen by content: equal windows have it at the same place.
     Segments met more than once are repeats as a whole.
 4.  What windows of the other segments share stands within the range, since
     segments of one anchor are neighbours in the order and a range ends between
-    anchors. Only an anchor that fills more than a range is divided, and
-    settled in a further step by one row per different window and range.
+    anchors. Only an anchor that fills more than a range is divided. Strings
+    that begin alike are neighbours in the order, so a window can be met beyond
+    the range's end only if the end itself begins with what the window holds
+    from the anchor on. Such windows are settled in a further step by one row
+    per different window and range; which ones, the merged prefixes tell.
 5.  Repeats go back to the places where the segments were met, and the texts
     lose the bytes that they cover.
 """
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from codefacts.llm.common import Scratch, bounded_sample, require
 from codefacts.llm.shingles import _powers, mix, to_signed
-from codefacts.llm.suffix_runs import Suffix, decode, encode, merged
+from codefacts.llm.suffix_runs import Suffix, common_prefix, decode, encode, merged
 
 #: Length of a repeat, in bytes.
 WINDOW = 400
@@ -329,8 +332,20 @@ def _resolved(pieces: DataFrame, splitters: list[bytes], window: int) -> DataFra
         columns = [np.full(n, kind, np.int32), one, two, low, high, number]
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in columns], names=["kind", "h1", "h2", "low", "high", "window"])
 
-    def group(segments: list[Suffix], edge: bool) -> Iterator[pa.RecordBatch]:
-        """Settle the segments of some anchors; those of an anchor that is divided also ask the other parts."""
+    def crossing(segments: list[Suffix], begins: np.ndarray, after: int) -> np.ndarray:
+        """Windows whose bytes from the anchor on also begin a string before the first or after the last segment.
+
+        What a segment shares with a string farther off is the least of the prefixes shared in between; ``after`` is
+        the one that the last segment shares with the string to come.
+        """
+        shared = np.array([s.shared for s in segments] + [after])
+        reach = np.maximum(np.minimum.accumulate(shared[:-1]), np.minimum.accumulate(shared[:0:-1])[::-1])
+        before = np.array([s.before for s in segments])
+        counts = np.diff(begins)
+        return window - np.repeat(before + begins[:-1], counts) + np.arange(begins[-1]) <= np.repeat(reach, counts)
+
+    def group(segments: list[Suffix], after: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Settle the segments of some anchors; with ``after``, they are part of one anchor's and ask the other parts."""
         numbers, begins = _window_numbers(segments, window)
         _, back, counts = np.unique(numbers, return_inverse=True, return_counts=True)
         whole = np.repeat(np.array([s.count > 1 for s in segments]), np.diff(begins))
@@ -339,40 +354,51 @@ def _resolved(pieces: DataFrame, splitters: list[bytes], window: int) -> DataFra
         segment, low, high = _stretches(known, begins)
         zeros = np.zeros(len(segment), np.int64)
         yield rows(0, one[segment], two[segment], low, high, zeros)
-        if edge:
-            asking = np.flatnonzero(~known)
+        if after is not None:
+            across = crossing(segments, begins, after)
+            asking = np.flatnonzero(~known & across)
             of = np.searchsorted(begins, asking, side="right") - 1
             yield rows(1, one[of], two[of], asking - begins[of], asking - begins[of], to_signed(numbers[asking]))
-            there = to_signed(np.unique(numbers[known]))
+            there = to_signed(np.unique(numbers[known & across]))
             zeros = np.zeros(len(there), np.int64)
             yield rows(2, zeros, zeros, zeros, zeros, there)
 
     def merge(batches):
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blobs.setdefault(part, []).append(blob)
+        for part in list(blobs):
+            yield from settle(part, blobs.pop(part))
+
+    def settle(part: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         own, own_size, gram, edge = [], 0, None, False  # segments of the anchor at hand, and whether it is divided
         for s in merged([decode(b) for b in blobs]):
+            if gram is None and part:
+                s.shared = common_prefix(s.text, splitters[part - 1])
             if s.text[:GRAM] != gram:
                 if own and edge:
-                    yield from group(own, True)
+                    yield from group(own, s.shared)
                 else:
                     held += own
                     size += own_size
                 own, own_size, gram = [], 0, s.text[:GRAM]
                 edge = gram in divided
                 if size >= GATHERED_BYTES // 4:
-                    yield from group(held, False)
+                    yield from group(held)
                     held, size = [], 0
             elif own_size >= GATHERED_BYTES // 4:
                 # very many segments of one anchor are settled in parts that ask each other
-                yield from group(own, True)
+                yield from group(own, s.shared)
                 own, own_size, edge = [], 0, True
             own.append(s)
             own_size += len(s.text)
         if held:
-            yield from group(held, False)
+            yield from group(held)
         if own:
-            yield from group(own, edge)
+            beyond = common_prefix(own[-1].text, splitters[part]) if part < len(splitters) else 0
+            yield from group(own, beyond if edge else None)
 
     return pieces.mapInArrow(merge, _MERGED)
 
