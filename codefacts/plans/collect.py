@@ -107,7 +107,7 @@ def check(build: Build) -> DataFrame:
 
 
 def compiler_plane(build: Build) -> dict[str, DataFrame]:
-    cgraph = cut_lineage(build.sidecar_lines("cgraph", "*.cgraph"))
+    cgraph = cut_lineage(symbol_table_dump.observations(build.sidecar_lines("cgraph", "*.cgraph")))
     ci = build.sidecar_lines("ci", "*.ci")
     icf = build.sidecar_lines("icf", "*.icf")
 
@@ -120,12 +120,12 @@ def compiler_plane(build: Build) -> dict[str, DataFrame]:
     sites = callgraph_info.nodes(ci).select(
         F.col("file").alias("object"), "name", build.relative(F.col("decl_file")).alias("decl_file"), "decl_line"
     )
-    nodes = cut_lineage(symbol_table_dump.nodes(cgraph).withColumnRenamed("file", "object"))
+    nodes = cut_lineage(symbol_table_dump.nodes_of(cgraph).withColumnRenamed("file", "object"))
     observed = cut_lineage(symbol_ingest.observe(nodes, sites, units))
     clones = symbol_ingest.attribute_clones(nodes, observed)
     identities = cut_lineage(symbol_ingest.local_identities(observed, clones))
     calls = symbol_ingest.resolve_ends(
-        symbol_table_dump.calls(cgraph).withColumnRenamed("file", "object"), identities
+        symbol_table_dump.calls_of(cgraph).withColumnRenamed("file", "object"), identities
     )
     calls = cut_lineage(calls)
     owners = build.artifacts.select("object", F.col("opt_record").alias("file"))

@@ -25,8 +25,12 @@ BLOCK_ENDS = ("Removing ", "Reclaiming ", "Clearing ")
 KEPT = ("Type:", "Body removed", "Visibility:", "Address is taken.", "Clone of ", "Referring:", "Calls:")
 
 
-def _observations(lines: DataFrame) -> DataFrame:
-    """Attribute lines with the header (``obs``) of the block they belong to."""
+def observations(lines: DataFrame) -> DataFrame:
+    """Headers (empty ``text``) and attribute lines, each with the identity of the block it belongs to.
+
+    Nodes and calls are both read off these rows: whoever needs both stores
+    them, a fraction of the dump, rather than its lines.
+    """
     # Each test is a column of its own so that it runs once per line.
     row, text = F.col("line"), F.col("text")
     says = F.lit(False)
@@ -72,13 +76,22 @@ def _words(text: Column) -> Column:
 
 
 def nodes(lines: DataFrame) -> DataFrame:
+    """The nodes of dumps given as lines, see :func:`nodes_of`."""
+    return nodes_of(observations(lines))
+
+
+def calls(lines: DataFrame) -> DataFrame:
+    """The calls of dumps given as lines, see :func:`calls_of`."""
+    return calls_of(observations(lines))
+
+
+def nodes_of(observed: DataFrame) -> DataFrame:
     """One row per dump and local id.
 
     Flags seen once stay; names, kind and clone parent keep the latest value;
     the visibility list is the longest one observed, the later on a tie, since
     late tables may be stripped.
     """
-    rows = _observations(lines)
     text = F.col("text")
     kind_line = text.startswith("Type:")
     visibility = _words(_after(text, "Visibility:"))
@@ -98,7 +111,7 @@ def nodes(lines: DataFrame) -> DataFrame:
             F.struct(F.size(visibility).alias("n"), order.alias("at"), visibility.alias("v")),
         )
     )["v"]
-    folded = rows.groupBy("file", "local_id").agg(
+    folded = observed.groupBy("file", "local_id").agg(
         latest((text == "") & (F.col("name") != ""), F.col("name")).alias("name"),
         latest((text == "") & (F.col("linkage_name") != ""), F.col("linkage_name")).alias("linkage_name"),
         latest(kind_line & (F.size(_words(_after(text, "Type:"))) > 0),
@@ -125,9 +138,9 @@ def nodes(lines: DataFrame) -> DataFrame:
     )
 
 
-def calls(lines: DataFrame) -> DataFrame:
+def calls_of(observed: DataFrame) -> DataFrame:
     """Outgoing calls per dump: those of the observation that lists most, the later on a tie."""
-    rows = _observations(lines).filter(F.col("text").startswith("Calls:"))
+    rows = observed.filter(F.col("text").startswith("Calls:"))
     found = rows.select(
         "file",
         "local_id",
