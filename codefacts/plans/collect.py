@@ -22,7 +22,7 @@ from codefacts.operators import (
     symbol_ingest,
 )
 from codefacts.plans import snapshot
-from codefacts.session import cut_lineage
+from codefacts.session import cut_lineage, store
 from codefacts.sources import (
     build_description,
     build_tree,
@@ -160,7 +160,7 @@ def compiler_plane(build: Build) -> dict[str, DataFrame]:
 def debug_plane(build: Build, facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     objects = build.object_files()
     lines = build.inspected("debug", objects, tools.DEBUG_INFO, r"DW_TAG_|DW_AT_")
-    dies = cut_lineage(debug_info.with_parents(debug_info.entries(lines)))
+    dies = store(debug_info.with_parents(debug_info.entries(lines)))
     rendered = cut_lineage(debug_info.render_types(dies))
     spot = paths.resolve(F.col("path"), build.build_dir, build.project_root)
     sources = debug_info.units(dies).select(F.col("file").alias("object"), spot["rel"].alias("source"))

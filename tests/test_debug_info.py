@@ -287,3 +287,39 @@ def test_types_and_children(dies, rendered):
     ]
     assert rows(debug_info.enum_constants(dies), "name", "value") == [("NEG", -7), ("ZERO", 0)]
     assert rows(debug_info.units(dies)) == [("a.o", "/p/build/../src/a.c")]
+
+
+def test_every_line_is_read_once(spark, text_lines):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = text_lines(DUMP, file="a.o", per_block=4)
+    n = lines.count()
+    watched = lines.coalesce(1).mapInArrow(counted, lines.schema)
+    debug_info.with_parents(debug_info.entries(watched)).collect()
+    assert read.value == n
+
+
+def test_repeated_lines_are_one_entry_and_files_without_a_name_have_no_parents(spark):
+    def printed(file, block, pos, line):
+        return [(file, block, pos, line)]
+
+    rows_ = []
+    for file in ("a.o", "a.o", None):
+        rows_ += printed(file, 0, 0, "0x0000000b: DW_TAG_compile_unit")
+        rows_ += printed(file, 0, 1, '              DW_AT_name\t("a.c")')
+        rows_ += printed(file, 1, 0, '              DW_AT_comp_dir\t("/p")')
+        rows_ += printed(file, 2, 0, "0x00000030:   DW_TAG_base_type")
+        rows_ += printed(file, 2, 1, "                DW_AT_byte_size\t(0x04)")
+    rows_ += printed("a.o", 2, 1, "                DW_AT_byte_size\t(0x08)")
+    lines = spark.createDataFrame(rows_, "file string, block long, pos long, line string")
+    dies = debug_info.with_parents(debug_info.entries(lines))
+    got = rows(dies, "file", "offset", "name", "comp_dir", "byte_size", "parent")
+    assert got == sorted([
+        ("a.o", 0x0B, "a.c", "/p", None, None), ("a.o", 0x30, "", "", 8, 0x0B),
+        (None, 0x0B, "a.c", "", None, None), (None, 0x30, "", "", 4, None),
+    ], key=str)
