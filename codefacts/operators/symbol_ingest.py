@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.functions import identity
-from codefacts.session import cut_lineage
+from codefacts.session import store
 
 # Visibility words that decide linkage, and linkage by strength.
 PUBLIC_WORDS = ("public", "externally_visible")
@@ -74,14 +74,14 @@ def attribute_clones(nodes: DataFrame, observed: DataFrame) -> DataFrame:
     clones = nodes.filter(F.col("clone_of") != "").select(
         "object", "local_id", "clone_of", "name", "linkage_name", "address_taken"
     )
-    clones = cut_lineage(clones)
+    clones = store(clones)
     parents, out = observed.select("object", "local_id", "usr"), None
     while True:
         known = parents.select("object", F.col("local_id").alias("clone_of"), "usr")
         level = clones.join(known, ["object", "clone_of"]).select(
             "object", "local_id", "usr", "name", "linkage_name", "address_taken"
         )
-        level = cut_lineage(level)
+        level = store(level)
         out = level if out is None else out.unionByName(level)
         if level.isEmpty():
             return out

@@ -25,7 +25,7 @@ BLOCK_ENDS = ("Removing ", "Reclaiming ", "Clearing ")
 KEPT = ("Type:", "Body removed", "Visibility:", "Address is taken.", "Clone of ", "Referring:", "Calls:")
 
 
-def observations(lines: DataFrame) -> DataFrame:
+def observations(lines: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
     """Headers (empty ``text``) and attribute lines, each with the identity of the block it belongs to.
 
     Nodes and calls are both read off these rows: whoever needs both stores
@@ -34,7 +34,7 @@ def observations(lines: DataFrame) -> DataFrame:
     # Each test is a column of its own so that it runs once per line.
     row, text = F.col("line"), F.col("text")
     says = F.lit(False)
-    for label in KEPT:
+    for label in kept:
         says = says | text.startswith(label)
     ends = text.startswith(NEEDED) | text.endswith(TABLE_TITLE) | (text == "") | ~row.startswith(" ")
     for label in BLOCK_ENDS:
@@ -52,7 +52,8 @@ def observations(lines: DataFrame) -> DataFrame:
         F.when(starts, F.regexp_extract(row, HEADER, 3)).alias("linkage_name"),
         F.struct("block", "pos").alias("at"),
     )
-    relevant = read.filter(F.col("role").isNotNull())
+    # Only what is asked of a line later travels with it.
+    relevant = read.filter(F.col("role").isNotNull()).withColumn("text", F.when(F.col("role") == "says", text).otherwise(""))
     marked = carry_forward(relevant, {"obs": F.when(F.col("role") != "says", header)})
     # After this only headers and attribute lines are left.
     return marked.filter(F.col("obs.local_id").isNotNull() & (F.col("role") != "end")).select(
@@ -63,7 +64,7 @@ def observations(lines: DataFrame) -> DataFrame:
         F.col("obs.at").alias("at"),
         "block",
         "pos",
-        F.when(starts, F.lit("")).otherwise(text).alias("text"),
+        "text",
     )
 
 
@@ -77,12 +78,12 @@ def _words(text: Column) -> Column:
 
 def nodes(lines: DataFrame) -> DataFrame:
     """The nodes of dumps given as lines, see :func:`nodes_of`."""
-    return nodes_of(observations(lines))
+    return nodes_of(observations(lines, tuple(label for label in KEPT if label != "Calls:")))
 
 
 def calls(lines: DataFrame) -> DataFrame:
     """The calls of dumps given as lines, see :func:`calls_of`."""
-    return calls_of(observations(lines))
+    return calls_of(observations(lines, ("Calls:",)))
 
 
 def nodes_of(observed: DataFrame) -> DataFrame:
