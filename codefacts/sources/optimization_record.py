@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,8 @@ def read_documents(spark: SparkSession, root: str, pattern: str = "*opt-record.j
 def inline_passes(trees: pd.Series) -> pd.Series:
     """Pass id to pass name for the passes of the inline group, at any depth."""
 
+    # Documents of one compiler run share their tree of passes.
+    @lru_cache(maxsize=256)
     def walk(tree: str | None) -> dict[str, str]:
         found, todo = {}, list(json.loads(tree or "[]"))
         while todo:
@@ -44,7 +47,7 @@ def inline_passes(trees: pd.Series) -> pd.Series:
             todo.extend(node.get("children") or [])
         return found
 
-    return trees.map(walk)
+    return pd.Series([walk(tree) for tree in trees], index=trees.index, dtype=object)
 
 
 def _text(item: Column) -> Column:
@@ -56,6 +59,11 @@ def _node(item: Column) -> Column:
     return F.nullif(F.try_variant_get(item, "$.symtab_node", "string"), F.lit(""))
 
 
+def _once(value: Column) -> Column:
+    """The value as one generated row: what is read off it later does not compute it again."""
+    return F.explode(F.array(value))
+
+
 def _reason(tail: Column) -> Column:
     first = F.trim(F.substring_index(tail, "\n", 1))
     no_comma = F.trim(F.regexp_replace(first, "^,", ""))
@@ -68,43 +76,50 @@ def records(documents: DataFrame) -> DataFrame:
     ``a -> b`` names the caller first, ``a into b`` and ``a to b`` the callee;
     a message with fewer than two nodes or other wording is no decision.
     """
-    top = F.from_json("document", "array<string>")
+    read = documents.select("file", _once(F.from_json("document", "array<string>")).alias("top"))
+    top = F.col("top")
     version = F.get_json_object(top[0], "$.format")
     checked = F.when(
         version.eqNullSafe(F.lit(FORMAT)), top[2]
     ).otherwise(F.raise_error(F.concat(F.lit("unsupported optimization-record format "),
                                        F.coalesce(version, F.lit("?")))).cast("string"))
-    rows = documents.select(
-        "file", inline_passes(top[1]).alias("passes"), F.explode(F.from_json(checked, RECORD)).alias("r")
+    # The tree of passes is read once a document, not once a record.
+    rows = read.select("file", "top", _once(inline_passes(top[1])).alias("passes")).select(
+        "file", "passes", F.explode(F.from_json(checked, RECORD)).alias("r")
     ).filter(F.col("r.kind").isin(SUCCESS, FAILURE))
+    nodes = F.transform("r.message", _node)
     named = rows.select(
         "file",
         F.col("passes")[F.col("r.pass")].alias("pass"),
         (F.col("r.kind") == SUCCESS).alias("inlined"),
-        F.transform("r.message", _text).alias("texts"),
-        F.transform("r.message", _node).alias("nodes"),
+        _once(F.struct(F.transform("r.message", _text).alias("texts"), nodes.alias("nodes"))).alias("said"),
         "r.location",
-    ).filter(F.col("pass").isNotNull())
+    ).filter(F.col("pass").isNotNull()).select("file", "pass", "inlined", "location", "said.*")
 
     spots = F.filter(
         F.sequence(F.lit(1), F.size("nodes")), lambda i: F.try_element_at("nodes", i).isNotNull()
     )
-    two = named.filter(F.size(F.col("nodes")) > 0).withColumn("spots", spots).filter(F.size("spots") >= 2)
+    two = named.filter(F.size(F.col("nodes")) > 0).select("*", _once(spots).alias("spots")).filter(F.size("spots") >= 2)
     a, b, last = (F.try_element_at("spots", F.lit(i)) for i in (1, 2, -1))
     # The two nodes a decision names, the words between them and those after the last node.
     between = F.array_join(F.slice("texts", a + 1, b - a - 1), "")
     after = F.array_join(F.slice("texts", last + 1, F.size("texts") - last), "")
-    split = two.select(
+    parts = F.struct(
+        F.try_element_at("nodes", a).alias("first"), F.try_element_at("nodes", b).alias("second"),
+        between.alias("between"), after.alias("tail"),
+    )
+    between = F.col("parts.between")
+    split = two.select("file", "pass", "inlined", "location", _once(parts).alias("parts")).select(
         "file",
         "pass",
         "inlined",
         "location",
-        F.try_element_at("nodes", a).alias("first"),
-        F.try_element_at("nodes", b).alias("second"),
+        "parts.first",
+        "parts.second",
         F.when(between.contains("->"), "caller_first")
         .when(between.contains(" into ") | between.contains(" to "), "callee_first")
         .alias("order"),
-        after.alias("tail"),
+        "parts.tail",
     ).filter(F.col("order").isNotNull() & F.col("first").rlike(NODE) & F.col("second").rlike(NODE))
     caller = F.when(F.col("order") == "caller_first", F.col("first")).otherwise(F.col("second"))
     callee = F.when(F.col("order") == "caller_first", F.col("second")).otherwise(F.col("first"))
