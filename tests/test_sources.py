@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 import struct
 
 import pytest
@@ -400,3 +401,55 @@ RELOCATION RECORDS FOR [.text.f]:
     assert rows(object_tables.function_symbols(symbols).drop("file")) == [
         ("compute", ".text", 16, 41), ("f", ".text.f", 0, 5),
     ]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _watched(spark, df):
+    """``df`` and a count of the rows read of it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.coalesce(1).mapInArrow(counted, df.schema), read
+
+
+def test_dependency_logs_are_parsed_once(spark):
+    logs = spark.createDataFrame([(f"f{i}", b"# ninjadeps\n\x04\x00\x00\x00") for i in range(3)], "file string, content binary")
+    watched, read = _watched(spark, logs)
+    assert dependency_log.dependencies(watched).collect() == []
+    assert read.value == 3
+
+
+def test_inline_dumps_leave_text_behind(text_lines):
+    plan = _optimized(inline_dump.inlined_callees(text_lines(INLINE))).split("\n")
+    below = [after for line, after in zip(plan, plan[1:]) if "Window [last(" in line and "Window [" not in after]
+    assert below and not any(re.search(r"(\[|, )line#\d+[,\]]", line) for line in below)
+
+
+def test_nodes_leave_calls_behind(text_lines):
+    assert "Calls:" not in _optimized(symbol_table_dump.nodes(text_lines("f/1 (f)\n  Calls: g/2")))
+
+
+def test_messages_of_records_are_read_once(spark):
+    docs = spark.createDataFrame([("f", "[]")], "file string, document string")
+    plan = _optimized(optimization_record.records(docs))
+    assert (plan.count("schemaOfVariant("), plan.count("ArrowEvalPython")) == (1, 1)
+
+
+def test_observing_resolves_no_clones(spark, tmp_path, monkeypatch):
+    from codefacts.operators import symbol_ingest
+    import codefacts.plans.ingest_queries  # noqa: F401  (it registers the query)
+    from codefacts.plans.queries import REGISTRY
+
+    spark.sql("SELECT 5L AS l_orderkey, 1L AS l_partkey, 1 AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT 1L AS p_partkey, 'a b' AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, 45 AS p_size").write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    monkeypatch.setattr(symbol_ingest, "attribute_clones", lambda *_: pytest.fail("clones were resolved"))
+    assert rows(REGISTRY["symbol_observe"](spark, str(tmp_path)), "name", "object") == [("a_b_1", "obj/u_5.c.o")]
