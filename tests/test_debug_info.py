@@ -304,6 +304,21 @@ def test_every_line_is_read_once(spark, text_lines):
     assert read.value == n
 
 
+def test_layouts_are_the_same_by_their_own_attributes_alone(dies, rendered, spark, text_lines):
+    for per_block in (4, 1000):
+        lines = text_lines(DUMP, file="a.o", per_block=per_block)
+        few = debug_info.with_parents(debug_info.entries(lines, debug_info.TYPE_ATTRIBUTES))
+        assert not {"call_target", "linkage_name", "has_low_pc"} & set(few.columns)
+        place = ["offset", "depth", "tag", "parent"]
+        assert rows(few, *place) == rows(dies, *place)
+        texts = debug_info.render_types(few)
+        assert rows(texts, "offset", "text") == rows(rendered, "offset", "text")
+        assert rows(debug_info.type_records(few, texts)) == rows(debug_info.type_records(dies, rendered))
+        fields = ["type_offset", "name", "type", "place", "byte_offset"]
+        assert rows(debug_info.record_fields(few, texts), *fields) == rows(debug_info.record_fields(dies, rendered), *fields)
+        assert rows(debug_info.enum_constants(few)) == rows(debug_info.enum_constants(dies))
+
+
 def test_repeated_lines_are_one_entry_and_files_without_a_name_have_no_parents(spark):
     def printed(file, block, pos, line):
         return [(file, block, pos, line)]
