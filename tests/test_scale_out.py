@@ -227,3 +227,17 @@ def test_statements_see_their_own_snapshot_and_leave_views_alone(spark, publishe
         assert sql_query(one, count)["rows"] == [[7]] and sql_query(two, count)["rows"] == [[3]]
     assert [tuple(r) for r in spark.sql("SELECT * FROM symbols").collect()] == [("mine",)]
     spark.catalog.dropTempView("symbols")
+
+
+def test_publication_samples_few_rows_for_the_driver_and_puts_the_setting_back(spark, tmp_path, monkeypatch):
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    usual, seen, write = spark.conf.get(key), [], snapshot._write_sorted
+
+    def watched(*args):
+        seen.append(int(spark.conf.get(key)))
+        write(*args)
+
+    monkeypatch.setattr(snapshot, "_write_sorted", watched)
+    snapshot.publish(mini_facts(spark), str(tmp_path / "idx"))
+    assert seen and max(seen) <= 20
+    assert spark.conf.get(key) == usual
