@@ -3,6 +3,8 @@
 import pytest
 from conftest import rows
 
+from codefacts.plans import ingest_queries
+from codefacts.seed import Seed
 from codefacts.sources import debug_info
 
 DUMP = """
@@ -319,6 +321,19 @@ def test_layouts_are_the_same_by_their_own_attributes_alone(dies, rendered, spar
         assert rows(debug_info.enum_constants(few)) == rows(debug_info.enum_constants(dies))
 
 
+def test_members_meet_stored_owners_and_records_are_laid_out_once(spark, tmp_path, dies, rendered):
+    plan = debug_info.record_fields(dies, rendered)._jdf.queryExecution().optimizedPlan().toString()
+    assert "structure_type" not in plan
+    unit = spark.sql("SELECT 3L AS l_orderkey, 1L AS l_partkey, 2L AS l_suppkey")
+    part = spark.sql("SELECT 1L AS p_partkey, 'a b' AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, 30 AS p_size")
+    unit.write.parquet(f"{tmp_path}/lineitem.parquet")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    seed = Seed(spark, str(tmp_path))
+    kinds = ingest_queries._detail_types(seed)
+    assert "Join" not in kinds._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(kinds, "name", "kind") == [("brand_1", "struct"), ("mode_3", "enum")]
+
+
 def test_repeated_lines_are_one_entry_and_files_without_a_name_have_no_parents(spark):
     def printed(file, block, pos, line):
         return [(file, block, pos, line)]
