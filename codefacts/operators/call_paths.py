@@ -66,10 +66,11 @@ def _neighbourhood(facts: Facts, usr: str, end: str, hops: int, target: str | No
         else:
             asked = facts.spark.createDataFrame([(n,) for n in names], f"{end} string")
             step = edges.join(F.broadcast(asked), end, "left_semi")
-        rows = step.distinct().limit(most + 1 - len(met)).collect()
-        met |= {(r["caller_usr"], r["callee_usr"]) for r in rows}
-        if len(met) > most:
+        step = step.distinct()
+        # Counted first: a limited collect takes up to the limit from every task.
+        if step.count() > most - len(met):
             return None
+        met |= {(r["caller_usr"], r["callee_usr"]) for r in step.collect()}
         far = 1 if end == "caller_usr" else 0
         frontier = {e[far] for e in met} - seen
         seen |= frontier

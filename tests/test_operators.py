@@ -361,6 +361,18 @@ def test_paths_read_off_equal_brute_force(spark, seed):
         assert [(list(r["names"]), list(r["usrs"])) for r in call_paths.ordered(found).collect()] == want
 
 
+def test_calls_around_an_end_are_collected_only_if_they_are_few(spark, monkeypatch):
+    names = {"a": "main", "b": "b", "g": "out", **{f"n{i}": "x" for i in range(8)}}
+    edges = [("a", "b"), *(("b", f"n{i}") for i in range(8)), *((f"n{i}", "g") for i in range(8))]
+    facts = _graph(spark, edges, names)
+    kind = type(facts.call_edges)
+    taken, collect = [], kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: taken.append(collect(df)) or taken[-1])
+    assert call_paths._neighbourhood(facts, "a", "caller_usr", 2, None, 5) is None
+    assert sum(map(len, taken)) <= 5
+    assert len(call_paths._neighbourhood(facts, "a", "caller_usr", 2, None, 9)) == 9
+
+
 def test_paths_order_and_depth(spark):
     facts = _graph(spark, [("s", "m2"), ("s", "m1"), ("m1", "e"), ("m2", "e"), ("e", "s"), ("m1", "m2")], {"m1": "zz", "m2": "aa"})
     found = call_paths.ordered(call_paths.list_call_paths(facts, "s", "e")).collect()
