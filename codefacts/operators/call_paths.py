@@ -123,10 +123,10 @@ def _read_off(facts: Facts, met: set[tuple[str, str]], from_usr: str, to_usr: st
     return page[:limit]
 
 
-def distances_to(facts: Facts, to_usr: str, depth: int, target: str | None = None) -> DataFrame:
-    """``(usr, hops)``: fewest calls from each symbol to ``to_usr``, up to ``depth``."""
+def distances_to(facts: Facts, to_usr: str, depth: int, target: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """``(usr, hops)``: fewest calls from each symbol to ``to_usr``, up to ``depth``; ``edges`` if they are at hand."""
     frontier = facts.spark.createDataFrame([(to_usr, 0)], "usr string, hops int")
-    reached, edges = frontier, _edges(facts, target, "callee_usr")
+    reached, edges = frontier, _edges(facts, target, "callee_usr") if edges is None else edges
     for hop in range(1, depth + 1):
         step = (
             edges.join(frontier.select(F.col("usr").alias("callee_usr")), "callee_usr", "left_semi")
@@ -156,13 +156,14 @@ class _Search:
         start = facts.symbols.filter(F.col("usr") == from_usr).select(
             F.array("usr").alias("usrs"), F.array("name").alias("names"), F.col("usr").alias("tip")
         )
+        # Every hop asks the calls again: they are resolved once.
+        edges = cut_lineage(_edges(facts, target, "callee_usr"))
         # The first call is spent before the distance of its callee counts.
-        hops_left = distances_to(facts, to_usr, depth - 1, target)
+        hops_left = distances_to(facts, to_usr, depth - 1, target, edges)
         names = facts.symbols.select(F.col("usr").alias("callee_usr"), F.col("name").alias("callee_name"))
         # Only edges towards the destination, with the hops still needed after them.
         useful = (
-            _edges(facts, target, "callee_usr")
-            .join(hops_left.select(F.col("usr").alias("callee_usr"), "hops"), "callee_usr")
+            edges.join(hops_left.select(F.col("usr").alias("callee_usr"), "hops"), "callee_usr")
             .distinct()
             .join(names, "callee_usr")
         )

@@ -373,6 +373,21 @@ def test_calls_around_an_end_are_collected_only_if_they_are_few(spark, monkeypat
     assert len(call_paths._neighbourhood(facts, "a", "caller_usr", 2, None, 9)) == 9
 
 
+def test_calls_are_resolved_once_for_all_hops(spark):
+    edges = [(f"s{i}", f"s{i + 1}") for i in range(6)]
+    facts = _graph(spark, edges)
+    read, calls = spark.sparkContext.accumulator(0), facts.call_edges
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = Facts(spark, {"symbols": lambda: facts.symbols, "call_edges": lambda: calls.mapInArrow(counted, calls.schema)})
+    assert call_paths.list_call_paths(watched, "s0", "s6").count() == 1
+    assert read.value == len(edges)
+
+
 def test_paths_order_and_depth(spark):
     facts = _graph(spark, [("s", "m2"), ("s", "m1"), ("m1", "e"), ("m2", "e"), ("e", "s"), ("m1", "m2")], {"m1": "zz", "m2": "aa"})
     found = call_paths.ordered(call_paths.list_call_paths(facts, "s", "e")).collect()
