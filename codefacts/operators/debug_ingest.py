@@ -17,24 +17,18 @@ def lookup_symbols(rows: DataFrame, symbols: DataFrame, name: str, out: str) ->
     ``rows`` need ``source``, the project-relative path of the object's unit.
     """
     known = symbols.select("usr").distinct()
-    outer = known.select(F.col("usr").alias("__outer"))
-    inner = known.select(F.col("usr").alias("__inner"))
+    outer = known.select(F.col("usr").alias("__outer"), F.lit(True).alias("__is_outer"))
+    inner = known.select(F.col("usr").alias("__inner"), F.lit(True).alias("__is_inner"))
     fn = F.lit("function")
-    tried = rows.withColumns(
-        {
-            "__try_outer": identity.symbol_usr(fn, F.lit(""), F.col(name)),
-            "__try_inner": F.when(
-                F.coalesce("source", F.lit("")) != "",
-                identity.symbol_usr(fn, F.col("source"), F.col(name)),
-            ),
-        }
-    )
-    return (
-        tried.join(outer, F.col("__try_outer") == F.col("__outer"), "left")
-        .join(inner, F.col("__try_inner") == F.col("__inner"), "left")
-        .withColumn(out, F.when(F.col(name) != "", F.coalesce("__outer", "__inner")))
-        .drop("__outer", "__inner", "__try_outer", "__try_inner")
+    as_outer = identity.symbol_usr(fn, F.lit(""), F.col(name))
+    as_inner = F.when(
+        F.coalesce("source", F.lit("")) != "", identity.symbol_usr(fn, F.col("source"), F.col(name))
     )
+    # The identities are spelled where they are compared: rows cross each shuffle with a mark in their place.
+    found = rows.join(outer, as_outer == F.col("__outer"), "left").drop("__outer")
+    found = found.join(inner, as_inner == F.col("__inner"), "left").drop("__inner")
+    usr = F.when(F.col("__is_outer"), as_outer).when(F.col("__is_inner"), as_inner)
+    return found.withColumn(out, F.when(F.col(name) != "", usr)).drop("__is_outer", "__is_inner")
 
 
 def signatures(subprograms: DataFrame) -> DataFrame:

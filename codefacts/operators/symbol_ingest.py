@@ -37,30 +37,39 @@ def observe(nodes: DataFrame, ci_nodes: DataFrame, object_sources: DataFrame) ->
     ``object_sources``: object, source. A definition without a call-graph node
     falls back to the object's source at line 0.
     """
-    named = nodes.withColumn("own", F.coalesce(F.nullif("name", F.lit("")), F.col("linkage_name"))).filter(
-        (F.col("own") != "") & (F.col("clone_of") == "")
+    own = F.coalesce(F.nullif("name", F.lit("")), F.col("linkage_name"))
+    # Only what the result is made of crosses the shuffles of the joins below.
+    named = nodes.filter((own != "") & (F.col("clone_of") == "")).select(
+        "object",
+        "local_id",
+        "name",
+        "linkage_name",
+        F.coalesce(F.nullif("kind", F.lit("")), F.lit("function")).alias("kind"),
+        linkage_of(F.col("visibility")).alias("linkage"),
+        "address_taken",
+        (F.col("analyzed") & ~F.col("body_removed")).alias("has_body"),
+        F.array_contains("visibility", WEAK_WORD).alias("is_weak"),
     )
     sources = object_sources.select("object", F.col("source").alias("tu"))
-    sites = ci_nodes.select("object", F.col("name").alias("own"), "decl_file", "decl_line")
-    rows = named.join(sources, "object", "left").join(sites, ["object", "own"], "left")
-    kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("function"))
-    linkage = linkage_of(F.col("visibility"))
-    scope = F.when(linkage == "internal", F.coalesce("tu", F.lit(""))).otherwise(F.lit(""))
+    sites = ci_nodes.select(F.col("object").alias("__object"), F.col("name").alias("__own"), "decl_file", "decl_line")
+    at = (F.col("object") == F.col("__object")) & (own == F.col("__own"))
+    rows = named.join(sources, "object", "left").join(sites, at, "left").withColumn("own", own)
+    scope = F.when(F.col("linkage") == "internal", F.coalesce("tu", F.lit(""))).otherwise(F.lit(""))
     file = F.coalesce(F.nullif("decl_file", F.lit("")), F.col("tu"), F.lit(""))
     return rows.select(
         "object",
         "local_id",
-        identity.symbol_usr(kind, scope, F.col("own")).alias("usr"),
+        identity.symbol_usr(F.col("kind"), scope, F.col("own")).alias("usr"),
         F.col("own").alias("name"),
-        kind.alias("kind"),
-        linkage.alias("linkage"),
+        "kind",
+        "linkage",
         "address_taken",
         F.col("name").alias("plain_name"),
         "linkage_name",
-        (F.col("analyzed") & ~F.col("body_removed")).alias("has_body"),
+        "has_body",
         file.alias("file"),
         F.coalesce("decl_line", F.lit(0)).alias("line"),
-        F.array_contains("visibility", WEAK_WORD).alias("is_weak"),
+        "is_weak",
     )
 
 

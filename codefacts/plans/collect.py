@@ -113,8 +113,9 @@ def compiler_plane(build: Build) -> dict[str, DataFrame]:
 
     titles = callgraph_info.titles(ci)
     spot = paths.resolve(F.col("title"), build.build_dir, build.project_root)
-    titled = titles.select(
-        F.col("file").alias("object"), spot["rel"].alias("rel"), spot["in_project"].alias("in_project")
+    # stored, so that joins know it has one row per object
+    titled = store(
+        titles.select(F.col("file").alias("object"), spot["rel"].alias("rel"), spot["in_project"].alias("in_project"))
     )
     units = titled.select("object", F.col("rel").alias("source"))
     sites = callgraph_info.nodes(ci).select(
