@@ -5,6 +5,7 @@ from conftest import rows
 
 from codefacts.plans import ingest_queries
 from codefacts.seed import Seed
+from codefacts.session import store
 from codefacts.sources import debug_info
 
 DUMP = """
@@ -353,3 +354,19 @@ def test_repeated_lines_are_one_entry_and_files_without_a_name_have_no_parents(s
         ("a.o", 0x0B, "a.c", "/p", None, None), ("a.o", 0x30, "", "", 8, 0x0B),
         (None, 0x0B, "a.c", "", None, None), (None, 0x30, "", "", 4, None),
     ], key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_places_of_earlier_blocks_are_sent_to_tasks_only_while_they_are_few(spark, text_lines, dies, monkeypatch, most):
+    monkeypatch.setattr(debug_info, "MOST_SENT", most)
+    stored = []
+    monkeypatch.setattr(debug_info, "store", lambda df: stored.append(store(df)) or stored[-1])
+    few = debug_info.with_parents(debug_info.entries(text_lines(DUMP, file="a.o", per_block=4)))
+    assert rows(few, "offset", "depth", "tag", "parent") == rows(dies, "offset", "depth", "tag", "parent")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (most == 0)
+    # Only what an entry asks for is kept.
+    built, carried = stored[0], stored[-1]
+    asked = built.filter("parent IS NULL AND depth > 0").select("file", "depth", "block").distinct()
+    assert carried.join(asked, ["file", "depth", "block"], "left_anti").count() == 0
+    assert 0 < carried.count() <= asked.count()
