@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codefacts.facts import Facts
 from codefacts.functions.text import MOST_NAMED, any_of
+from codefacts.session import store
 
 #: Blobs of a block: the bits of a long.
 BLOCK = 64
@@ -76,21 +77,28 @@ def _spans(facts: Facts, asked: DataFrame, context: int) -> DataFrame:
 def windows(facts: Facts, rows: DataFrame, context: int, most_lines: int = MOST_LINES) -> DataFrame:
     """``(blob_hash, line, snippet)`` of the distinct places in ``rows``.
 
-    The asked places of a blob travel to its content, which is never shuffled:
+    The asked places of a blob travel to its content, which is not shuffled for it:
     they are sent to every task if they are few. Where they are many, ranges of
     hashes take turns; contents are sorted by hash when stored, so each range
-    reads its own part of them.
+    reads its own part of them and of the places. Contents that are not stored
+    would be derived anew for each range; they are dealt out by hash as it is,
+    and many places meet them there.
     """
-    asked = rows.select("blob_hash", F.col("line").cast("int").alias("line")).filter("blob_hash IS NOT NULL AND line > 0").distinct()
-    n = asked.count()
-    rounds = -(-n // most_lines) or 1
-    cuts = ["", *(f"{i * 16**6 // rounds:06x}" for i in range(1, rounds)), "g"]
+    asked = store(rows.select("blob_hash", F.col("line").cast("int").alias("line")).filter("blob_hash IS NOT NULL AND line > 0").distinct())
+    rounds = -(-asked.count() // most_lines) or 1
     spans, out = _spans(facts, asked, context), None
     contents = facts.blobs.select(F.col("hash").alias("blob_hash"), "content")
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        within = (F.col("blob_hash") >= low) & (F.col("blob_hash") < high)
-        met = contents.filter(within).join(F.broadcast(spans.filter(within)), "blob_hash")
-        part = met.select("blob_hash", F.transform("asked", lambda w: _cut(F.col("content"), w)).alias("cut"))
+    if rounds == 1:
+        met = [contents.join(F.broadcast(spans), "blob_hash")]
+    elif "blob_lines" not in facts:
+        met = [contents.join(spans.hint("merge"), "blob_hash")]
+    else:
+        spans = store(spans.repartitionByRange("blob_hash").sortWithinPartitions("blob_hash"))
+        cuts = ["", *(f"{i * 16**6 // rounds:06x}" for i in range(1, rounds)), "g"]
+        ranges = [(F.col("blob_hash") >= low) & (F.col("blob_hash") < high) for low, high in zip(cuts, cuts[1:], strict=False)]
+        met = [contents.filter(within).join(F.broadcast(spans.filter(within)), "blob_hash") for within in ranges]
+    for part in met:
+        part = part.select("blob_hash", F.transform("asked", lambda w: _cut(F.col("content"), w)).alias("cut"))
         out = part if out is None else out.unionByName(part)
     return out.select("blob_hash", F.explode("cut").alias("cut")).select("blob_hash", "cut.line", "cut.snippet")
 

@@ -1,5 +1,6 @@
 """Stored copies, line offsets and trigrams: same answers, less read."""
 
+import hashlib
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from codefacts.facts import Facts
 from codefacts.functions import text
 from codefacts.operators import callgraph, common, inlining, source_text, text_index, types
+from codefacts.operators.source_ingest import dedup_blobs
 from codefacts.plans import snapshot
 from codefacts.plans.index import Index
 
@@ -210,3 +212,32 @@ def test_index_search_reads_contents_once(spark, stored):
     for part in (answer.rows, *answer.parts.values()):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert "contains(" not in plan.lower()
+
+
+def test_derived_contents_are_made_once_for_many_windows(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    texts = [("".join(f"line {i} {j}\n" for j in range(30)),) for i in range(60)]
+    raw = spark.createDataFrame(texts, "t string").selectExpr("cast(t AS binary) AS content").mapInArrow(counted, "content binary")
+    facts = Facts.of(spark, {"blobs": dedup_blobs(raw)})
+    hashes = spark.createDataFrame(texts, "t string").select(F.sha2(F.col("t").cast("binary"), 256).alias("blob_hash"))
+    asked = hashes.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("line")))
+    found = text_index.windows(facts, asked, 1, 100).select("blob_hash", "line", "snippet.start_line", "snippet.end_line", "snippet.text")
+    got = found.collect()
+    # Once for the lines and once for the windows, whatever the number of rounds.
+    assert len(got) == 1800 and made.value <= 2 * len(texts)
+    by_hash = {hashlib.sha256(t.encode()).hexdigest(): t.splitlines() for (t,) in texts}
+    for h, line, first, last, text_ in got:
+        assert (first, last) == (max(line - 1, 1), min(line + 1, 30))
+        assert text_ == "\n".join(by_hash[h][first - 1 : last])
+
+
+def test_places_of_many_windows_are_worked_out_once(stored):
+    asked = stored.facts.sources.select("blob_hash", F.lit(2).alias("line"))
+    plan = text_index.windows(stored.facts, asked, 1, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "line_starts" not in plan and "collect_list" not in plan
