@@ -370,3 +370,27 @@ def test_places_of_earlier_blocks_are_sent_to_tasks_only_while_they_are_few(spar
     asked = built.filter("parent IS NULL AND depth > 0").select("file", "depth", "block").distinct()
     assert carried.join(asked, ["file", "depth", "block"], "left_anti").count() == 0
     assert 0 < carried.count() <= asked.count()
+
+
+def test_call_targets_are_the_same_by_their_own_attributes_alone(dies, rendered, spark, text_lines):
+    table = spark.createDataFrame([("a.o", 0, 20, 1, "/p/src/a.c")], "file string, address long, line int, column int, source string")
+
+    def found(entries, texts):
+        sites, stripped = debug_info.call_sites(entries, table), debug_info.stripped_types(entries)
+        pointers = debug_info.function_pointers(entries, texts, stripped)
+        typed = debug_info.argument_targets(sites, entries, stripped, pointers)
+        return rows(debug_info.with_targets(sites, typed, typed.limit(0)))
+
+    few = debug_info.with_parents(debug_info.entries(text_lines(DUMP, file="a.o", per_block=4), debug_info.CALL_ATTRIBUTES)).cache()
+    assert not {"decl_file", "const_value", "has_low_pc"} & set(few.columns)
+    got = found(few, debug_info.render_types(few))
+    assert got and got == found(dies, rendered)
+
+
+def test_climbing_names_only_scopes(dies, monkeypatch):
+    stored = []
+    monkeypatch.setattr(debug_info, "store", lambda df: stored.append(store(df)) or stored[-1])
+    debug_info.enclosing(dies, "call_site")
+    scopes = dies.filter("tag IN ('subprogram', 'inlined_subroutine')")
+    assert rows(stored[0], "file", "at") == rows(scopes, "file", "offset")
+    assert scopes.count() < dies.count()
